@@ -32,10 +32,14 @@ CLEANED = f"""cleaned AS (
          THEN coalesce(text_translated, '') ELSE text END AS text
   FROM reviews)"""
 KEEP = f"lambda w: length(w) > 1 AND NOT list_contains({_list(STOP_WORDS)}, w)"
+HAS = "coalesce(length({x}), 0) > 0"
+GUARD = f"""guard AS (
+  SELECT slug, count_if({HAS.format(x='text')}) AS count FROM cleaned GROUP BY slug),
+okc AS (SELECT * FROM cleaned WHERE slug IN (SELECT slug FROM guard WHERE count >= 3))"""
 DOCS = f"""docs AS (
   SELECT slug, pos, list_filter(regexp_extract_all(text, '\\p{{L}}+'), {KEEP}) AS words
-  FROM cleaned WHERE coalesce(length(text), 0) > 0)"""
-BASE = f"WITH {REVIEWS},\n{CLEANED},\n{DOCS}"
+  FROM okc WHERE coalesce(length(text), 0) > 0)"""
+BASE = f"WITH {REVIEWS},\n{CLEANED},\n{GUARD},\n{DOCS}"
 
 
 def grams(n: int) -> str:
@@ -101,3 +105,149 @@ def oracle_sql() -> dict[str, str]:
         "corpus_stats": CORPUS_STATS,
         "doc_freq": DOC_FREQ,
     }
+
+
+def rr(num: str, den: str, digits: int) -> str:
+    """Exact half-even rounding of num/den (non-negative integers)."""
+    sc, d = f"(({num}) * {10 ** digits})", f"({den})"
+    return (f"(CASE WHEN {d} > 0 THEN ({sc} // {d} + CASE WHEN 2 * ({sc} % {d}) > {d} OR "
+            f"(2 * ({sc} % {d}) = {d} AND ({sc} // {d}) % 2 = 1) THEN 1 ELSE 0 END) "
+            f"/ {float(10 ** digits)}::DOUBLE END)")
+
+
+NEG = "coalesce(rating, 5) <= 2 AND " + HAS.format(x="text")
+PRE = f"WITH {REVIEWS},\n{CLEANED}"
+
+REPLY_ECHO = f"{PRE}\nSELECT slug, pos, text FROM cleaned WHERE {HAS.format(x='text')}"
+MIN_DOCS_GUARD = f"""{PRE},\n{GUARD}
+SELECT slug, count, CASE WHEN count < 3 THEN 'too few texts' ELSE 'ok' END AS status FROM guard"""
+NEG_REVIEWS = f"{PRE}\nSELECT slug, pos, rating FROM cleaned WHERE {NEG}"
+
+
+def _rs(src: str) -> str:
+    return f"""SELECT slug, count(*) AS total, count_if({HAS.format(x='text')}) AS with_text,
+  {rr('sum(rating)', 'count(rating)', 2)} AS avg_rating, count_if({NEG}) AS neg_count,
+  {rr(f'count_if({NEG}) * 100', 'count(*)', 1)} AS neg_rate_pct,
+  count_if(rating = 5) AS r5, count_if(rating = 4) AS r4, count_if(rating = 3) AS r3,
+  count_if(rating = 2) AS r2, count_if(rating = 1) AS r1
+FROM {src} GROUP BY slug"""
+
+
+RATING_SUMMARY = f"""{PRE}, rs AS ({_rs('cleaned')})
+SELECT slug, total, with_text, avg_rating, neg_count, neg_rate_pct FROM rs"""
+RATING_HIST = f"""{PRE}, rs AS ({_rs('cleaned')})
+SELECT slug, r5, r4, r3, r2, r1 FROM rs"""
+
+
+def _months(src: str) -> str:
+    return f"""m0 AS (
+  SELECT slug, left(date_abs, 7) AS month, count(*) AS reviews, sum(rating) AS rating_sum,
+    count(rating) AS rating_n
+  FROM {src} WHERE {HAS.format(x='date_abs')} AND {HAS.format(x='text')}
+  GROUP BY slug, left(date_abs, 7) HAVING count(*) >= 2),
+m1 AS (SELECT *, count(*) OVER (PARTITION BY slug) AS months FROM m0),
+m AS (SELECT slug, month, reviews, {rr('rating_sum', 'rating_n', 2)} AS avg_rating,
+        rating_sum / rating_n AS avg_raw FROM m1 WHERE months >= 3),
+tx AS (SELECT slug, month, avg_raw,
+         row_number() OVER (PARTITION BY slug ORDER BY month) AS ra,
+         row_number() OVER (PARTITION BY slug ORDER BY month DESC) AS rd FROM m),
+t0 AS (SELECT slug, round_even(avg(avg_raw) FILTER (WHERE ra <= 3), 2) AS early_avg,
+         round_even(avg(avg_raw) FILTER (WHERE rd <= 3), 2) AS recent_avg
+       FROM tx GROUP BY slug HAVING count(*) >= 6),
+t AS (SELECT slug, early_avg, recent_avg,
+        CASE WHEN recent_avg < early_avg - 0.2::DOUBLE THEN 'declining'
+             WHEN recent_avg > early_avg + 0.2::DOUBLE THEN 'improving' ELSE 'stable' END AS direction
+      FROM t0)"""
+
+
+MONTHLY = f"{PRE},\n{_months('cleaned')}\nSELECT slug, month, reviews, avg_rating, avg_raw FROM m"
+TREND = f"{PRE},\n{_months('cleaned')}\nSELECT slug, early_avg, recent_avg, direction FROM t"
+
+WF_CTE = """wf0 AS (SELECT slug, term AS word, sum(f) AS count, min(pos) AS first_pos,
+        arg_min(first_i, pos) AS first_i FROM tf GROUP BY slug, term),
+wf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY count DESC,
+        first_pos, first_i) AS rank FROM wf0) WHERE rank <= 100)"""
+NEG_CTE = f"""negt AS (SELECT slug, text FROM okc WHERE {NEG}),
+hits AS (SELECT v.slug, v.word, v.rank AS vrank,
+          sum((length(n.text) - length(replace(n.text, v.word, ''))) // length(v.word)) AS count
+         FROM negt n JOIN wf v ON n.slug = v.slug GROUP BY v.slug, v.word, v.rank),
+neg AS (SELECT * FROM (SELECT slug, word, count, row_number() OVER (PARTITION BY slug
+          ORDER BY count DESC, vrank) AS rank FROM hits WHERE count > 0) WHERE rank <= 50)"""
+
+NEG_WORD_FREQ = f"""{BASE},
+{tf_ctes(1)},
+{WF_CTE},
+{NEG_CTE}
+SELECT slug, rank, word, count FROM neg"""
+
+SUMMARY = f"""{BASE},
+{tf_ctes(1)},
+{WF_CTE},
+{NEG_CTE},
+rs AS ({_rs('okc')}),
+{_months('okc')},
+lists AS (SELECT slug,
+    string_agg(word, '|' ORDER BY rank) FILTER (WHERE rank <= 15) AS top_words,
+    string_agg(word, '|' ORDER BY rank) FILTER (WHERE rank <= 10) AS top_keywords
+  FROM wf GROUP BY slug),
+nlists AS (SELECT slug, string_agg(word, '|' ORDER BY rank) FILTER (WHERE rank <= 5) AS neg_top_words
+  FROM neg GROUP BY slug)
+SELECT g.slug, rs.total, g.count AS with_text, rs.avg_rating, rs.r5, rs.r4, rs.r3, rs.r2, rs.r1,
+  rs.neg_rate_pct,
+  CASE WHEN g.count >= 3 THEN coalesce(l.top_words, '') END AS top_words,
+  CASE WHEN g.count >= 3 THEN coalesce(l.top_keywords, '') END AS top_keywords,
+  CASE WHEN g.count >= 3 THEN coalesce(nl.neg_top_words, '') END AS neg_top_words,
+  t.early_avg, t.recent_avg, t.direction,
+  CASE WHEN g.count < 3 THEN 'too few texts' END AS error
+FROM guard g LEFT JOIN rs USING (slug) LEFT JOIN lists l USING (slug)
+  LEFT JOIN nlists nl USING (slug) LEFT JOIN t USING (slug)"""
+
+CHART_MANIFEST = f"""{BASE},
+{tf_ctes(1)},
+{WF_CTE},
+{NEG_CTE},
+{_months('okc')},
+okg AS (SELECT slug FROM guard WHERE count >= 3)
+SELECT slug, c AS chart FROM okg, (VALUES ('word_freq'), ('bm25_unigram'), ('bm25_2gram'), ('bm25_3gram')) v(c)
+UNION ALL SELECT slug, 'neg_word_freq' FROM neg GROUP BY slug HAVING count(*) >= 6
+UNION ALL SELECT DISTINCT slug, 'monthly_volume_rating' FROM m"""
+
+LABEL = ("CASE WHEN {s} = '' THEN '?' ELSE {s} END").format(
+    s=_strip("regexp_replace(term, '[^\\pL\\pN\\pM_\\s\\x{4E00}-\\x{9FFF}]', '', 'g')"))
+
+
+def bm25_chart() -> str:
+    parts = [f"SELECT * FROM ({bm25(n, 25)[len('WITH '):].join(['WITH ', ''])})" for n in (1, 2, 3)]
+    body = "\nUNION ALL\n".join(parts)
+    return f"""WITH b AS ({body})
+SELECT slug, n, rank, {LABEL} AS label, score,
+  count(*) OVER (PARTITION BY slug, n) - rank AS bar FROM b"""
+
+
+NEG_CHART = f"""{BASE},
+{tf_ctes(1)},
+{WF_CTE},
+{NEG_CTE},
+nk AS (SELECT *, count(*) OVER (PARTITION BY slug) AS k FROM neg)
+SELECT slug, rank, word, count, least(k, 25) - rank AS bar FROM nk WHERE k >= 6 AND rank <= 25"""
+
+_BASIC = oracle_sql
+
+
+def oracle_sql() -> dict[str, str]:  # noqa: F811
+    d = _BASIC()
+    d.update({
+        "reply_echo": REPLY_ECHO,
+        "min_docs_guard": MIN_DOCS_GUARD,
+        "neg_reviews": NEG_REVIEWS,
+        "rating_summary": RATING_SUMMARY,
+        "rating_hist": RATING_HIST,
+        "monthly": MONTHLY,
+        "trend": TREND,
+        "neg_word_freq": NEG_WORD_FREQ,
+        "summary": SUMMARY,
+        "chart_manifest": CHART_MANIFEST,
+        "bm25_chart": bm25_chart(),
+        "neg_chart": NEG_CHART,
+    })
+    return d

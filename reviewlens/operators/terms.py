@@ -135,15 +135,27 @@ def count_order() -> list:
     return [F.col("count").desc(), F.col("first").asc()]
 
 
-def top_words(docs: DataFrame, k: int = 100) -> DataFrame:
-    """(slug, rank, word, count): the k most frequent kept words per store."""
-    wf = word_freq(term_freq(docs, (1,)))
+def top_words(docs: DataFrame, k: int = 100, min_docs: int = 0) -> DataFrame:
+    """(slug, rank, word, count): the k most frequent kept words per store.
+
+    Stores with fewer than ``min_docs`` documents are left out (the
+    small-corpus guard); their document count comes from the same shuffled
+    term table, so the guard costs no extra pass over the text.
+    """
+    tf = term_freq(docs, (1,))
+    wf = word_freq(tf)
+    if min_docs > 0:
+        ok = stats_from_tf(tf).where(F.col("n_docs") >= min_docs).select("slug")
+        wf = wf.join(ok, "slug", "left_semi")
     return top_k(wf, k, count_order()).select("slug", "rank", "word", "count")
 
 
 def top_terms(docs: DataFrame, ns=(1,), k: int = 100, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
-    """(slug, n, rank, term, score): BM25 top k per store and n, score rounded to 2."""
-    bm = bm25_terms(term_freq(docs, ns), cfg.k1, cfg.b)
+    """(slug, n, rank, term, score): BM25 top k per store and n, score rounded to 2.
+
+    Stores with fewer than ``cfg.min_docs`` documents are left out.
+    """
+    bm = bm25_terms(term_freq(docs, ns), cfg.k1, cfg.b).where(F.col("n_docs") >= cfg.min_docs)
     return (top_k(bm, k, score_order(), by=("slug", "n"))
             .select("slug", "n", "rank", "term", F.round("score", 2).alias("score")))
 

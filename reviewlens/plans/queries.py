@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.config import DEFAULT
+from reviewlens.functions.text import has_text
+from reviewlens.operators import clean as C
+from reviewlens.operators import ratings as R
 from reviewlens.operators import terms as T
 from reviewlens.plans import adapters as A
+from reviewlens.plans import analyze as AN
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -23,22 +27,91 @@ def bm25(n: int):
 
 def word_freq(spark, sf):
     """Top 100 kept words per store by count, ties by first appearance."""
-    return T.top_words(_docs(spark, sf), DEFAULT.top_words)
+    return T.top_words(_docs(spark, sf), DEFAULT.top_words, DEFAULT.min_docs)
 
 
 def corpus_stats(spark, sf):
     """N (documents with text, empty ones included), total tokens and avgdl per store."""
-    s = T.corpus_stats(_docs(spark, sf))
+    s = T.corpus_stats(_docs(spark, sf)).where(F.col("n_docs") >= DEFAULT.min_docs)
     return s.select("slug", "n_docs", "total", F.round("avgdl", 6).alias("avgdl"))
 
 
 def doc_freq(spark, sf):
     """Document frequency, total term frequency and idf of every unigram per store."""
     bm = T.bm25_terms(T.term_freq(_docs(spark, sf), (1,)), DEFAULT.k1, DEFAULT.b)
+    bm = bm.where(F.col("n_docs") >= DEFAULT.min_docs)
     return bm.select("slug", "term", "df", "tf",
                      F.round(T.idf(F.col("n_docs"), F.col("df")), 6).alias("idf"))
 
 
+def _cleaned(spark, sf):
+    return C.strip_reply_echo(A.reviews(spark, sf))
+
+
+def _parts(spark, sf):
+    return AN.analysis(A.reviews(spark, sf), DEFAULT)
+
+
+def reply_echo(spark, sf):
+    """Reviews with text after owner-reply echo removal."""
+    return C.with_text(_cleaned(spark, sf)).select("slug", "pos", "text")
+
+
+def min_docs_guard(spark, sf):
+    """Per store: texts after cleaning and whether the analysis runs."""
+    return C.guard_min_docs(_cleaned(spark, sf), DEFAULT.min_docs)
+
+
+def neg_reviews(spark, sf):
+    """Negative reviews (rating <= 2, missing = 5, 0 included) with text."""
+    return C.negatives(_cleaned(spark, sf), DEFAULT.neg_max_rating).select("slug", "pos", "rating")
+
+
+def rating_summary(spark, sf):
+    """Total, with text, average rating, negatives and negative rate per store."""
+    return R.rating_summary(_cleaned(spark, sf), DEFAULT)
+
+
+def rating_hist(spark, sf):
+    """Zero-filled 5..1 star counts per store."""
+    return R.rating_hist(_cleaned(spark, sf))
+
+
+def monthly(spark, sf):
+    """Monthly review volume and average rating (qualifying months only)."""
+    return R.monthly(_cleaned(spark, sf), DEFAULT)
+
+
+def trend(spark, sf):
+    """Early vs recent monthly average and direction, stores with >= 6 months."""
+    return R.trend(R.monthly(_cleaned(spark, sf), DEFAULT), DEFAULT)
+
+
+def neg_word_freq(spark, sf):
+    """Top-100 words counted as substrings of negative texts, top 50 per store."""
+    return _parts(spark, sf)["neg_word_freq"]
+
+
+def summary(spark, sf):
+    """The analysis record of every store, flattened."""
+    return AN.summary(A.reviews(spark, sf), DEFAULT)
+
+
+def chart_manifest(spark, sf):
+    """Which chart series every analyzed store gets."""
+    return AN.chart_manifest(_parts(spark, sf), DEFAULT)
+
+
+def bm25_chart(spark, sf):
+    """BM25 chart bars (top 25 per n, cleaned labels, bottom-up order)."""
+    return AN.chart_series(_parts(spark, sf), DEFAULT)
+
+
+def neg_chart(spark, sf):
+    """Negative-word chart bars (first 25, stores with more than 5 words)."""
+    return AN.neg_chart(_parts(spark, sf), DEFAULT)
+
+
 QUERIES = {
     "bm25_unigram": bm25(1),
     "bm25_2gram": bm25(2),
@@ -46,4 +119,16 @@ QUERIES = {
     "word_freq": word_freq,
     "corpus_stats": corpus_stats,
     "doc_freq": doc_freq,
+    "reply_echo": reply_echo,
+    "min_docs_guard": min_docs_guard,
+    "neg_reviews": neg_reviews,
+    "rating_summary": rating_summary,
+    "rating_hist": rating_hist,
+    "monthly": monthly,
+    "trend": trend,
+    "neg_word_freq": neg_word_freq,
+    "summary": summary,
+    "chart_manifest": chart_manifest,
+    "bm25_chart": bm25_chart,
+    "neg_chart": neg_chart,
 }
