@@ -251,3 +251,146 @@ def oracle_sql() -> dict[str, str]:  # noqa: F811
         "neg_chart": NEG_CHART,
     })
     return d
+
+
+# --- ingest ------------------------------------------------------------------
+PAYLOADS = f"payloads AS ({A.PAYLOADS_SQL.format(ts_us=A.DUCK_TS_US, ts_ms=A.DUCK_TS_MS)})"
+PAYLOAD_FILTER_CTE = """f AS (SELECT * FROM payloads
+  WHERE contains(url, 'listugcposts') AND status = 200 AND length(body) > 1000)"""
+POSTS_CTE = f"""pb AS (SELECT slug, arrival, CASE WHEN starts_with(body, ')]}}''')
+      THEN {_strip('substr(body, 5)')} ELSE body END AS b FROM f),
+pj AS (SELECT slug, arrival, CAST(b AS JSON) AS j FROM pb WHERE json_valid(b)),
+pe AS (SELECT slug, arrival, unnest(range(CAST(json_array_length(j, '$[2]') AS BIGINT))) AS seq, j
+       FROM pj WHERE json_type(j, '$[2]') = 'ARRAY'),
+pq AS (SELECT slug, arrival, seq, json_extract(j, '$[2][' || seq || ']') AS post FROM pe),
+pr AS (SELECT slug, arrival, seq, json_type(post, '$[0][1][2]') AS tt,
+         json_extract(post, '$[0][1][2]') AS tsj, json_extract(post, '$[0][1][4][5][0]') AS nj,
+         json_extract_string(post, '$[0][1][4][5][0]') AS ns FROM pq),
+posts AS (SELECT slug, coalesce(ns, '') AS name,
+    strftime(make_timestamp(CAST(tsj AS BIGINT)), '%Y-%m-%d') AS date_abs,
+    CAST(tsj AS BIGINT) AS timestamp_us, arrival, seq
+  FROM pr WHERE nj IS NOT NULL AND tt IN ('BIGINT', 'UBIGINT', 'DOUBLE')
+    AND CAST(tsj AS DOUBLE) > 1400000000000000)"""
+PAYLOAD_FILTER = f"WITH {PAYLOADS},\n{PAYLOAD_FILTER_CTE}\nSELECT slug, arrival, url, status FROM f"
+PAYLOAD_POSTS = f"WITH {PAYLOADS},\n{PAYLOAD_FILTER_CTE},\n{POSTS_CTE}\nSELECT * FROM posts"
+MATCH_CTE = """mr AS (SELECT slug, pos, name, row_number() OVER (PARTITION BY slug, name ORDER BY pos) AS k
+       FROM reviews),
+mp AS (SELECT slug, name, date_abs, timestamp_us, row_number() OVER (PARTITION BY slug, name
+       ORDER BY timestamp_us DESC, arrival, seq) AS k FROM posts),
+matched AS (SELECT mr.slug, mr.pos, mr.name, mp.date_abs, mp.timestamp_us
+            FROM mr LEFT JOIN mp USING (slug, name, k))"""
+MATCH_BASE = f"WITH {REVIEWS},\n{PAYLOADS},\n{PAYLOAD_FILTER_CTE},\n{POSTS_CTE},\n{MATCH_CTE}"
+MATCH_DATES = f"{MATCH_BASE}\nSELECT * FROM matched"
+MATCH_METRICS = f"""{MATCH_BASE}
+SELECT slug, count(*) AS count, count(date_abs) AS matched_dates FROM matched GROUP BY slug"""
+
+CARDS = f"cards AS ({A.CARDS_SQL.format(**A.DUCK_CARD_BLOCKS)})"
+SCALAR_INGEST = f"""WITH {CARDS},
+c1 AS (SELECT slug, pos, aria, len(blocks) AS nb,
+  CASE WHEN len(blocks) >= 2 THEN coalesce(blocks[1], '') ELSE '' END AS tr,
+  CASE WHEN len(blocks) >= 2 THEN coalesce(blocks[2], '') WHEN len(blocks) = 1
+       THEN coalesce(blocks[1], '') ELSE '' END AS tx FROM cards),
+c2 AS (SELECT *, CASE WHEN tx <> '' THEN tx ELSE tr END AS text FROM c1)
+SELECT slug, pos, coalesce(TRY_CAST(regexp_extract(aria, '(\\d)', 1) AS INT), 0) AS rating, text,
+  CASE WHEN tr <> '' AND tr <> text THEN tr ELSE '' END AS text_translated FROM c2"""
+
+EN = ("[a-zA-Z\\x{C0}-\\x{FF}\\t\\n\\x{0B}\\f\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}"
+      "\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}0-9.,!?''\"()\\-:;]")
+DETECT_LANG = f"""WITH {REVIEWS}, t AS (SELECT slug, pos, coalesce(text, '') AS t FROM reviews)
+SELECT slug, pos, CASE
+  WHEN regexp_matches(t, '[\\x{{3040}}-\\x{{309F}}\\x{{30A0}}-\\x{{30FF}}]') THEN 'ja'
+  WHEN regexp_matches(t, '[\\x{{AC00}}-\\x{{D7AF}}]') THEN 'ko'
+  WHEN regexp_full_match(replace(t, chr(10), ''), '{EN}+') THEN 'en'
+  ELSE 'zh' END AS lang FROM t"""
+
+PLACES = f"places AS ({A.PLACES_SQL})"
+SLUGIFY = f"""WITH {PLACES},
+p1 AS (SELECT page_id, {_strip("replace(title, ' - Google 地圖', '')")} AS name,
+  {_strip("replace(address_label, '地址: ', '')")} AS address,
+  regexp_replace(resolved_url, '\\?entry=.*$', '') AS place_url FROM places)
+SELECT page_id, name, address, place_url,
+  left(lower(trim(regexp_replace(name, '[^\\pL\\p{{Nd}}\\pM\\p{{Pc}}]', '_', 'g'), '_')), 30) AS slug,
+  concat(replace(replace(place_url, '!4m6!3m5', '!4m8!3m7'), '!16s', '!9m1!1b1!16s'), '?entry=ttu') AS review_url
+FROM p1"""
+
+# --- comparisons ---------------------------------------------------------------
+COMPARE_STORES = f"""{PRE},
+a AS (SELECT slug, count(*) AS reviews, {rr('sum(rating)', 'count(rating)', 2)} AS avg_rating,
+  count_if({HAS.format(x='text')}) AS with_text, {rr(f'count_if({NEG}) * 100', 'count(*)', 1)} AS neg_rate_pct,
+  count_if({HAS.format(x='owner_reply')}) AS replies,
+  {rr(f"count_if({HAS.format(x='owner_reply')}) * 100", 'count(*)', 1)} AS reply_rate_pct,
+  min(TRY_CAST(left(date_abs, 4) AS INT)) AS first_year FROM cleaned GROUP BY slug)
+SELECT *, rank() OVER (ORDER BY avg_rating DESC NULLS LAST) AS rank FROM a"""
+COMPARE_ROLLUP = f"""{PRE}
+SELECT slug, count(*) AS reviews, {rr('sum(rating)', 'count(rating)', 2)} AS avg_rating,
+  count_if({HAS.format(x='text')}) AS with_text, count_if({NEG}) AS negatives,
+  count_if({HAS.format(x='owner_reply')}) AS replies
+FROM cleaned GROUP BY ROLLUP (slug)"""
+SENTIMENT_SHARE = f"""{PRE},
+a AS (SELECT slug, count(*) AS reviews, count_if(coalesce(rating, 5) >= 4) AS positive,
+  count_if(coalesce(rating, 5) = 3) AS neutral, count_if(coalesce(rating, 5) <= 2) AS negative
+  FROM cleaned GROUP BY slug)
+SELECT *, {rr('positive * 100', 'reviews', 1)} AS positive_pct, {rr('neutral * 100', 'reviews', 1)} AS neutral_pct,
+  {rr('negative * 100', 'reviews', 1)} AS negative_pct FROM a"""
+PHOTO_SHARE = f"""{PRE},
+a AS (SELECT slug, count(*) AS reviews, count_if(photos > 0) AS with_photos, sum(photos) AS photos
+  FROM cleaned GROUP BY slug)
+SELECT *, {rr('with_photos * 100', 'reviews', 1)} AS photo_pct FROM a"""
+YEARLY_CTE = f"""y AS (SELECT slug, CAST(TRY_CAST(left(date_abs, 4) AS INT) AS VARCHAR) AS period,
+  count(*) AS reviews, {rr('sum(rating)', 'count(rating)', 2)} AS avg_rating
+  FROM cleaned WHERE {HAS.format(x='date_abs')} GROUP BY 1, 2)"""
+YEARLY = f"{PRE},\n{YEARLY_CTE}\nSELECT * FROM y"
+FIRST_LAST_YEAR = f"""{PRE},\n{YEARLY_CTE},
+a AS (SELECT slug, min(period) AS first_period, arg_min(avg_rating, period) AS first_avg,
+  max(period) AS last_period, arg_max(avg_rating, period) AS last_avg FROM y GROUP BY slug)
+SELECT *, round(last_avg - first_avg, 2) AS change FROM a"""
+KEYWORD_COUNTS = f"""{PRE},
+t AS (SELECT slug, text FROM cleaned WHERE {HAS.format(x='text')}),
+w AS (SELECT unnest(['the', 'and', 'de', 'la', 'und', 'que']) AS word),
+c AS (SELECT slug, word, (length(text) - length(replace(text, word, ''))) // length(word) AS c FROM t, w)
+SELECT slug, word, sum(c) AS mentions, count_if(c > 0) AS reviews FROM c GROUP BY slug, word"""
+NEG_RATIO = f"""{PRE},
+r AS (SELECT slug, count_if({NEG}) / count(*) * 100 AS rate FROM cleaned GROUP BY slug),
+b AS (SELECT rate FROM r WHERE slug = 'src0')
+SELECT slug, round(rate, 4) AS neg_rate_pct, round((SELECT rate FROM b), 4) AS base_rate_pct,
+  round(rate / (SELECT rate FROM b), 4) AS ratio FROM r"""
+SHARED_NEG_WORDS = f"""{BASE},
+{tf_ctes(1)},
+{WF_CTE},
+{NEG_CTE}
+SELECT word, count(*) AS stores, sum(count) AS count FROM neg GROUP BY word
+HAVING count(*) = (SELECT count(DISTINCT slug) FROM neg)"""
+SAMPLE_REVIEWS = f"""{PRE},
+s AS (SELECT slug, pos, rating,
+  CASE WHEN coalesce(rating, 5) <= 2 THEN 'negative' WHEN coalesce(rating, 5) >= 4 THEN 'positive'
+       ELSE 'neutral' END AS sentiment,
+  (length(text) - length(replace(text, 'the', ''))) // 3 AS mentions
+  FROM cleaned WHERE {HAS.format(x='text')} AND contains(text, 'the')),
+r AS (SELECT *, row_number() OVER (PARTITION BY slug, sentiment ORDER BY mentions DESC, pos) AS rank FROM s)
+SELECT slug, sentiment, rank, pos, rating, mentions FROM r WHERE rank <= 3"""
+
+_MID = oracle_sql
+
+
+def oracle_sql() -> dict[str, str]:  # noqa: F811
+    d = _MID()
+    d.update({
+        "payload_filter": PAYLOAD_FILTER,
+        "payload_posts": PAYLOAD_POSTS,
+        "match_dates": MATCH_DATES,
+        "match_metrics": MATCH_METRICS,
+        "scalar_ingest": SCALAR_INGEST,
+        "detect_lang": DETECT_LANG,
+        "slugify": SLUGIFY,
+        "compare_stores": COMPARE_STORES,
+        "compare_rollup": COMPARE_ROLLUP,
+        "sentiment_share": SENTIMENT_SHARE,
+        "photo_share": PHOTO_SHARE,
+        "yearly": YEARLY,
+        "first_last_year": FIRST_LAST_YEAR,
+        "keyword_counts": KEYWORD_COUNTS,
+        "neg_ratio": NEG_RATIO,
+        "shared_neg_words": SHARED_NEG_WORDS,
+        "sample_reviews": SAMPLE_REVIEWS,
+    })
+    return d

@@ -54,7 +54,7 @@ SELECT concat('src', cast(event_id % 20 AS string)) AS slug,
          '?id=', cast(event_id AS string)) AS url,
   CASE WHEN user_id % 23 = 0 THEN 503 ELSE 200 END AS status,
   CASE WHEN event_id % 89 = 0 THEN concat('nope', repeat('x', 1200))
-       ELSE concat(')]}', chr(39), chr(10), '[null,null,[[["id', cast(event_id AS string), '",[0,0,',
+       ELSE concat(')]}}', chr(39), chr(10), '[null,null,[[["id', cast(event_id AS string), '",[0,0,',
                    cast(CASE WHEN event_id % 97 = 0 THEN {ts_ms} ELSE {ts_us} END AS string),
                    ',0,[0,0,0,0,0,["u', cast(user_id % 17 AS string), '"]]]]]],"',
                    repeat('p', 1100), '"]') END AS body,
@@ -87,10 +87,31 @@ FROM documents d
 FIXTURE_ID2LABEL = {0: "Na", 1: "VC", 2: "Nh", 3: "Nc", 4: "D", 5: "VH", 6: "PERIODCATEGORY",
                     7: "COMMACATEGORY", 8: "P", 9: "Neu", 10: "Nf", 11: "DE", 12: "VA"}
 
-# cards: review cards written as HTML pages (one page per document) plus the
-# provided raw pages.
-CARD_PAGES_SQL = """
-SELECT page_id, url, html FROM pages
+# cards: rating label and text blocks of a review card, per document.
+CARDS_SQL = """
+SELECT d.source AS slug, d.doc_id AS pos,
+  CASE WHEN d.doc_id % 41 = 0 THEN 'none'
+       ELSE concat(cast(1 + d.doc_id % 5 AS string), CASE WHEN d.doc_id % 2 = 0 THEN '.5' ELSE '' END, ' 顆星') END AS aria,
+  CASE d.doc_id % 4 WHEN 0 THEN {empty} WHEN 1 THEN {one}
+       WHEN 2 THEN {two_a} ELSE {two_b} END AS blocks
+FROM documents d
+"""
+SPARK_CARD_BLOCKS = dict(empty="array()", one="array(d.text)",
+                         two_a="array(concat('translated ', substring(d.text, 1, 30)), d.text)",
+                         two_b="array(substring(d.text, 1, 30), '')")
+DUCK_CARD_BLOCKS = dict(empty="[]::VARCHAR[]", one="[d.text]",
+                        two_a="[concat('translated ', substring(d.text, 1, 30)), d.text]",
+                        two_b="[substring(d.text, 1, 30), '']")
+
+# places: what resolving a short link yields: page title, address label and
+# the final URL (place path segments, sometimes an ``?entry=`` tail).
+PLACES_SQL = """
+SELECT page_id,
+  concat(regexp_extract(html, '<title>(.*?)</title>', 1), ' - Google 地圖') AS title,
+  concat('地址: ', url) AS address_label,
+  concat(url, '/data=!4m6!3m5!1s', cast(page_id AS string), '!16s%2Fg%2F', cast(page_id % 7 AS string),
+         CASE WHEN page_id % 3 = 0 THEN '?entry=ttu&g_ep=Eg' ELSE '' END) AS resolved_url
+FROM pages
 """
 
 
@@ -133,3 +154,13 @@ def labels_in(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages")
+
+
+def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _with_views(spark, sf_dir, ("documents",))
+    return spark.sql(CARDS_SQL.format(**SPARK_CARD_BLOCKS))
+
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _with_views(spark, sf_dir, ("pages",))
+    return spark.sql(PLACES_SQL)

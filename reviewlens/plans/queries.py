@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.config import DEFAULT
-from reviewlens.functions.text import has_text
+from reviewlens.functions import text as TX
+from reviewlens.operators import compare as X
+from reviewlens.operators import match as M
+from reviewlens.sources import payloads as P
 from reviewlens.operators import clean as C
 from reviewlens.operators import ratings as R
 from reviewlens.operators import terms as T
@@ -112,6 +115,108 @@ def neg_chart(spark, sf):
     return AN.neg_chart(_parts(spark, sf), DEFAULT)
 
 
+def payload_filter(spark, sf):
+    """Captured responses kept as review-list API payloads."""
+    return P.filter_payloads(A.payloads(spark, sf)).select("slug", "arrival", "url", "status")
+
+
+def _posts(spark, sf):
+    return P.explode_posts(P.filter_payloads(A.payloads(spark, sf)))
+
+
+def payload_posts(spark, sf):
+    """Posts parsed from payload bodies: name, date, timestamp, capture order."""
+    return _posts(spark, sf)
+
+
+def match_dates(spark, sf):
+    """Positional match of reviews to posts by (store, name, k-th occurrence)."""
+    m = M.match_dates(A.reviews(spark, sf), _posts(spark, sf))
+    return m.select("slug", "pos", "name", "date_abs", "timestamp_us")
+
+
+def match_metrics(spark, sf):
+    """Reviews and matched dates per store."""
+    return M.match_metrics(M.match_dates(A.reviews(spark, sf), _posts(spark, sf)))
+
+
+def scalar_ingest(spark, sf):
+    """Card fields: rating from the label, text and translation from the blocks."""
+    c = A.cards(spark, sf)
+    t = TX.pick_text(F.col("blocks"))
+    return c.select("slug", "pos", TX.parse_rating(F.col("aria")).alias("rating"),
+                    t["text"].alias("text"), t["text_translated"].alias("text_translated"))
+
+
+def detect_lang(spark, sf):
+    """Script-based language of every review text."""
+    return A.reviews(spark, sf).select("slug", "pos", TX.detect_lang(F.col("text")).alias("lang"))
+
+
+def slugify(spark, sf):
+    """Resolved place: name, address, canonical URL, slug and review URL."""
+    p = A.places(spark, sf)
+    name = TX.clean_label(F.col("title"), TX.TITLE_SUFFIX)
+    place = TX.canonical_url(F.col("resolved_url"))
+    return p.select("page_id", name.alias("name"),
+                    TX.clean_label(F.col("address_label"), TX.ADDRESS_PREFIX).alias("address"),
+                    place.alias("place_url"), TX.slugify(name).alias("slug"),
+                    TX.review_url(place).alias("review_url"))
+
+
+def compare_stores(spark, sf):
+    """Comparison table with rating rank."""
+    return X.compare_stores(_cleaned(spark, sf))
+
+
+def compare_rollup(spark, sf):
+    """Per-store counts with a grand-total row."""
+    return X.compare_rollup(_cleaned(spark, sf))
+
+
+def sentiment_share(spark, sf):
+    """Positive / neutral / negative shares per store."""
+    return X.sentiment_share(_cleaned(spark, sf))
+
+
+def photo_share(spark, sf):
+    """Share of reviews with photos per store."""
+    return X.photo_share(_cleaned(spark, sf))
+
+
+def yearly(spark, sf):
+    """Yearly volume and average rating of all dated reviews."""
+    return X.yearly(_cleaned(spark, sf))
+
+
+def first_last_year(spark, sf):
+    """First vs latest year average per store."""
+    return X.first_last_year(X.yearly(_cleaned(spark, sf)))
+
+
+KEYWORDS = ("the", "and", "de", "la", "und", "que")
+
+
+def keyword_counts(spark, sf):
+    """Mentions and mentioning reviews of chosen keywords per store."""
+    return X.keyword_counts(_cleaned(spark, sf), KEYWORDS)
+
+
+def neg_ratio(spark, sf):
+    """Negative rate of every store relative to store src0."""
+    return X.neg_ratio(_cleaned(spark, sf), "src0")
+
+
+def shared_neg_words(spark, sf):
+    """Negative keywords found in every analyzed store."""
+    return X.shared_neg_words(_parts(spark, sf)["neg_word_freq"])
+
+
+def sample_reviews(spark, sf):
+    """Top 3 reviews per store and sentiment mentioning 'the'."""
+    return X.sample_reviews(_cleaned(spark, sf), "the", 3)
+
+
 QUERIES = {
     "bm25_unigram": bm25(1),
     "bm25_2gram": bm25(2),
@@ -131,4 +236,21 @@ QUERIES = {
     "chart_manifest": chart_manifest,
     "bm25_chart": bm25_chart,
     "neg_chart": neg_chart,
+    "payload_filter": payload_filter,
+    "payload_posts": payload_posts,
+    "match_dates": match_dates,
+    "match_metrics": match_metrics,
+    "scalar_ingest": scalar_ingest,
+    "detect_lang": detect_lang,
+    "slugify": slugify,
+    "compare_stores": compare_stores,
+    "compare_rollup": compare_rollup,
+    "sentiment_share": sentiment_share,
+    "photo_share": photo_share,
+    "yearly": yearly,
+    "first_last_year": first_last_year,
+    "keyword_counts": keyword_counts,
+    "neg_ratio": neg_ratio,
+    "shared_neg_words": shared_neg_words,
+    "sample_reviews": sample_reviews,
 }
