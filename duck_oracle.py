@@ -6,7 +6,7 @@ the adapters are the same SQL texts the Spark side runs.
 
 from __future__ import annotations
 
-from reviewlens.config import STOP_WORDS
+from reviewlens.config import PUNCT_TAGS, STOP_WORDS, VERB_TAGS
 from reviewlens.plans import adapters as A
 
 
@@ -394,3 +394,70 @@ def oracle_sql() -> dict[str, str]:  # noqa: F811
         "sample_reviews": SAMPLE_REVIEWS,
     })
     return d
+
+
+# --- text ----------------------------------------------------------------------
+TOKENIZE = f"""{PRE},
+t AS (SELECT slug, pos, regexp_extract_all(text, '\\p{{L}}+') AS w FROM cleaned WHERE {HAS.format(x='text')})
+SELECT slug, pos, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM t"""
+DOCS_ALL = f"""docs AS (
+  SELECT slug, pos, list_filter(regexp_extract_all(text, '\\p{{L}}+'), {KEEP}) AS words
+  FROM cleaned WHERE {HAS.format(x='text')})"""
+
+
+def _ng(n: int) -> str:
+    return f"""SELECT slug, pos, {n} AS n, unnest(g) AS gram, generate_subscripts(g, 1) - 1 AS i
+  FROM (SELECT slug, pos, {grams(n)} AS g FROM docs)"""
+
+
+NGRAMS = f"""{PRE},\n{DOCS_ALL}
+{_ng(2)}
+UNION ALL
+{_ng(3)}"""
+
+from reviewlens.plans.adapters import FIXTURE_ID2LABEL as _ID2L  # noqa: E402
+
+TAG_LIST = _list([_ID2L[i] for i in range(len(_ID2L))])
+LABELS = f"l AS ({A.DUCK_LABELS_SQL})"
+SEG_CTE = f"""{LABELS},
+c AS (SELECT slug, pos, ws, tag, regexp_extract_all(text, '(?s).') AS chars FROM l),
+cm AS (SELECT *, greatest(least(len(chars), len(ws) - 2), 0) AS m FROM c),
+ce AS (SELECT slug, pos, len(tag) AS ntag, unnest(chars[1:m]) AS ch,
+         unnest(list_zip(ws[2:m + 1], tag[2:m + 1])) AS lt,
+         generate_subscripts(chars[1:m], 1) - 1 AS ci FROM cm),
+cf AS (SELECT *, CASE WHEN ci = 0 OR lt[1] = 0 THEN 1 ELSE 0 END AS st FROM ce),
+cw AS (SELECT *, sum(st) OVER (PARTITION BY slug, pos ORDER BY ci) - 1 AS i FROM cf),
+tok AS (SELECT slug, pos, i, string_agg(ch, '' ORDER BY ci) AS word,
+  arg_min(CASE WHEN ci + 1 < ntag - 1 THEN coalesce({TAG_LIST}[lt[2] + 1], 'X') ELSE 'X' END, ci) AS tag
+  FROM cw GROUP BY slug, pos, i)"""
+DECODE_WORDS = f"WITH {SEG_CTE}\nSELECT slug, pos, i, word FROM tok"
+TAG_WORDS = f"WITH {SEG_CTE}\nSELECT slug, pos, i, word, tag FROM tok"
+KEEP_TOK = (f"NOT list_contains({_list(PUNCT_TAGS)}, tag) AND NOT list_contains({_list(STOP_WORDS)}, word)"
+            f" AND NOT (length(word) = 1 AND NOT list_contains({_list(VERB_TAGS)}, tag))")
+KEPT_CTE = f"""kept AS (SELECT slug, pos, word, tag,
+  row_number() OVER (PARTITION BY slug, pos ORDER BY i) - 1 AS i FROM tok WHERE {KEEP_TOK})"""
+KEEP_TOKENS = f"WITH {SEG_CTE},\n{KEPT_CTE}\nSELECT slug, pos, i, word, tag FROM kept"
+
+
+def bm25_tagged() -> str:
+    q = bm25(1)
+    body = q[q.index("g AS (SELECT slug, pos"):]
+    docs = """docs AS (SELECT l.slug, l.pos, coalesce(list(k.word ORDER BY k.i) FILTER (WHERE k.word IS NOT NULL), []) AS words
+  FROM (SELECT slug, pos FROM l) l LEFT JOIN kept k ON l.slug = k.slug AND l.pos = k.pos GROUP BY l.slug, l.pos)"""
+    return f"WITH {SEG_CTE},\n{KEPT_CTE},\n{docs},\n{body}"
+
+
+_TXT = oracle_sql
+
+
+def oracle_sql() -> dict[str, str]:  # noqa: F811
+    d = _TXT()
+    d.update({
+        "tokenize": TOKENIZE,
+        "ngrams": NGRAMS,
+        "decode_words": DECODE_WORDS,
+        "tag_words": TAG_WORDS,
+        "keep_tokens": KEEP_TOKENS,
+        "bm25_tagged": bm25_tagged(),
+    })
+    return d

@@ -180,6 +180,9 @@ def ngrams(words, n: int) -> Column:
     if n == 1:
         return w
     size = F.size(w)
-    grams = F.transform(F.sequence(F.lit(1), size - n + 1),
-                        lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+    k = F.greatest(size - n + 1, F.lit(0))
+    # n shifted copies zipped together: the lambda reads only its argument,
+    # so the cost is linear in the document length.
+    shifted = F.arrays_zip(*[F.slice(w, j + 1, k).alias(f"g{j}") for j in range(n)])
+    grams = F.transform(shifted, lambda z: F.concat_ws(" ", *[z[f"g{j}"] for j in range(n)]))
     return F.when(size >= n, grams).otherwise(F.array().cast("array<string>"))

@@ -11,6 +11,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from reviewlens.session import balance
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
@@ -72,13 +74,13 @@ DUCK_TS_MS = "epoch_us(ts) // 1000"
 # and the last entry the end marker.  Values follow a fixed arithmetic rule.
 LABELS_SQL = """
 SELECT d.source AS slug, d.doc_id AS pos, d.text AS text,
-  transform(sequence(0, length(d.text) + 1), i -> CAST(CASE WHEN (d.doc_id * 31 + i * 17) % 5 = 0 THEN 0 ELSE 1 END AS INT)) AS ws,
+  transform(sequence(0, length(d.text) + 1), i -> CAST(CASE WHEN (d.doc_id * 31 + (i % 1000) * (i % 1000) * 7) % 5 = 0 THEN 0 ELSE 1 END AS INT)) AS ws,
   transform(sequence(0, length(d.text) + 1), i -> CAST((d.doc_id + i * 7) % 13 AS INT)) AS tag
 FROM documents d
 """
 DUCK_LABELS_SQL = """
 SELECT d.source AS slug, d.doc_id AS pos, d.text AS text,
-  list_transform(range(0, length(d.text) + 2), lambda i: CAST(CASE WHEN (d.doc_id * 31 + i * 17) % 5 = 0 THEN 0 ELSE 1 END AS INT)) AS ws,
+  list_transform(range(0, length(d.text) + 2), lambda i: CAST(CASE WHEN (d.doc_id * 31 + (i % 1000) * (i % 1000) * 7) % 5 = 0 THEN 0 ELSE 1 END AS INT)) AS ws,
   list_transform(range(0, length(d.text) + 2), lambda i: CAST((d.doc_id + i * 7) % 13 AS INT)) AS tag
 FROM documents d
 """
@@ -124,7 +126,8 @@ def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """A provided table; under-split scans are spread over the cores (``balance``)."""
+    return balance(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
 
 
 def _with_views(spark: SparkSession, sf_dir: str, names) -> None:

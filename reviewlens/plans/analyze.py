@@ -127,3 +127,33 @@ def neg_chart(parts: dict, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
     x = x.where(F.col("rank") <= cfg.chart_neg_words)
     return x.select("slug", "rank", "word", "count",
                     (F.least(F.col("k"), F.lit(cfg.chart_neg_words)) - F.col("rank")).alias("bar"))
+
+
+def write_analysis(reviews: DataFrame, root: str, cfg: AnalysisConfig = DEFAULT,
+                   fmt: str = "json") -> dict:
+    """Compute every output once and write it under ``root`` (one folder per table,
+    one sub-folder per store).
+
+    The tokenized documents feed several outputs, so they are written once to
+    the shared checkpoint folder (``spark.checkpoint.dir``) first; a lost
+    executor then re-reads them instead of re-tokenizing everything.
+    """
+    from reviewlens.session import cut_lineage
+    from reviewlens.sources.files import write_results
+
+    cleaned = C.strip_reply_echo(reviews)
+    ok = C.keep_analyzable(cleaned, cfg.min_docs)
+    docs = cut_lineage(T.lexical_docs(ok, cfg, clean=False))
+    parts = analysis(reviews, cfg, docs=docs)
+    tables = {
+        "word_freq": parts["word_freq"],
+        "neg_word_freq": parts["neg_word_freq"],
+        "monthly": parts["monthly"],
+        "summary": summary(reviews, cfg, parts),
+        "charts": chart_manifest(parts, cfg),
+        "bm25_chart": chart_series(parts, cfg),
+    }
+    for n in cfg.ngram_sizes:
+        tables[CHART_NAMES[n]] = parts["bm25"].where(F.col("n") == n).drop("n", "score_raw")
+    write_results(tables, root, fmt)
+    return tables

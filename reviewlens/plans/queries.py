@@ -13,6 +13,7 @@ from reviewlens.sources import payloads as P
 from reviewlens.operators import clean as C
 from reviewlens.operators import ratings as R
 from reviewlens.operators import terms as T
+from reviewlens.operators import tokens as TK
 from reviewlens.plans import adapters as A
 from reviewlens.plans import analyze as AN
 
@@ -217,6 +218,48 @@ def sample_reviews(spark, sf):
     return X.sample_reviews(_cleaned(spark, sf), "the", 3)
 
 
+def tokenize(spark, sf):
+    """Lexical tokens (letter runs) of every cleaned review text, in order."""
+    r = C.with_text(_cleaned(spark, sf))
+    return r.select("slug", "pos", F.posexplode(TX.tokenize(F.col("text"))).alias("i", "word"))
+
+
+def ngrams(spark, sf):
+    """2- and 3-grams of the kept words of every review."""
+    d = T.lexical_docs(A.reviews(spark, sf), DEFAULT)
+    g = d.select("slug", "pos", F.inline(F.array(*[
+        F.struct(F.lit(n).alias("n"), TX.ngrams(F.col("words"), n).alias("grams")) for n in (2, 3)])))
+    return g.select("slug", "pos", "n", F.posexplode("grams").alias("i", "gram"))
+
+
+def _tokens(spark, sf):
+    return TK.tokens_table(A.labels_in(spark, sf), A.FIXTURE_ID2LABEL)
+
+
+def decode_words(spark, sf):
+    """Words decoded from per-character segmentation labels."""
+    l = A.labels_in(spark, sf)
+    return l.select("slug", "pos", F.posexplode(TK.decode_words(F.col("text"), F.col("ws")))
+                    .alias("i", "word"))
+
+
+def tag_words(spark, sf):
+    """Words with the tag of their first character."""
+    return TK.explode_tokens(_tokens(spark, sf))
+
+
+def keep_tokens(spark, sf):
+    """Tokens surviving the keep rule (punctuation tags, stop words, one-char non-verbs)."""
+    t = _tokens(spark, sf).select("slug", "pos", TX.keep_tokens(F.col("tokens")).alias("tokens"))
+    return TK.explode_tokens(t)
+
+
+def bm25_tagged(spark, sf):
+    """Unigram BM25 over documents built from model labels (segment, tag, keep)."""
+    docs = T.tagged_docs(_tokens(spark, sf), DEFAULT)
+    return T.top_terms(docs, (1,), DEFAULT.top_terms, DEFAULT)
+
+
 QUERIES = {
     "bm25_unigram": bm25(1),
     "bm25_2gram": bm25(2),
@@ -253,4 +296,10 @@ QUERIES = {
     "neg_ratio": neg_ratio,
     "shared_neg_words": shared_neg_words,
     "sample_reviews": sample_reviews,
+    "tokenize": tokenize,
+    "ngrams": ngrams,
+    "decode_words": decode_words,
+    "tag_words": tag_words,
+    "keep_tokens": keep_tokens,
+    "bm25_tagged": bm25_tagged,
 }

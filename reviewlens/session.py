@@ -71,3 +71,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def balance(df: DataFrame) -> DataFrame:
+    """Spread an under-split input over the available cores.
+
+    A scan of a few large files (or one Parquet row group) yields fewer
+    partitions than cores, and every per-row text step after it would run in
+    that many tasks.  Only then is the input redistributed round-robin
+    (deterministic: Spark sorts before a round-robin repartition).  Large
+    inputs already have more splits than cores and pass through untouched,
+    so no shuffle is added at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
