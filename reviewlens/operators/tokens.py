@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
@@ -157,8 +158,6 @@ def score_labels(df: DataFrame, loader: Callable[[], Callable[[list[str]], list[
     gets a label; the result is one array of len(text) + 2 labels.
     Rows travel to Python as Arrow batches (iterator pandas UDF).
     """
-    import pandas as pd
-
     @F.pandas_udf(TY.ArrayType(TY.IntegerType()))
     def _score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = loader()
