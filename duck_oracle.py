@@ -461,3 +461,35 @@ def oracle_sql() -> dict[str, str]:  # noqa: F811
         "bm25_tagged": bm25_tagged(),
     })
     return d
+
+
+LIST_STORES = f"WITH {REVIEWS}\nSELECT slug, count(*) AS reviews FROM reviews GROUP BY slug ORDER BY slug"
+_LS = oracle_sql
+
+
+def oracle_sql() -> dict[str, str]:  # noqa: F811
+    d = _LS()
+    d["list_stores"] = LIST_STORES
+    return d
+
+
+def _unescape(x: str) -> str:
+    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{ent}', '{ch}')"
+    return x
+
+
+PAGE_CARDS = f"""WITH li AS (SELECT page_id, regexp_extract_all(html, '<li>(.*?)</li>', 1) AS items FROM pages),
+c AS (SELECT page_id, unnest(items) AS li, generate_subscripts(items, 1) - 1 AS card FROM li)
+SELECT page_id, CAST(card AS INTEGER) AS card,
+  {_strip(_unescape("regexp_extract(li, '<a[^>]*>([^<]*)</a>', 1)"))} AS text,
+  {_unescape("regexp_extract(li, '<a[^>]*href=\"([^\"]*)\"', 1)")} AS href,
+  CAST(len(regexp_extract_all(li, '<a[ >]')) AS INTEGER) AS links
+FROM c"""
+_PC = oracle_sql
+
+
+def oracle_sql() -> dict[str, str]:  # noqa: F811
+    d = _PC()
+    d["page_cards"] = PAGE_CARDS
+    return d

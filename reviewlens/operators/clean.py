@@ -51,13 +51,13 @@ def guard_min_docs(reviews: DataFrame, min_docs: int = 3) -> DataFrame:
             .drop("error"))
 
 
-def keep_analyzable(reviews: DataFrame, min_docs: int = 3) -> DataFrame:
+def keep_analyzable(reviews: DataFrame, min_docs: int = 3, n_stores: int | None = None) -> DataFrame:
     """Reviews of stores that pass the small-corpus guard.
 
-    A left-semi join against the passing slugs.  The slug list is an aggregate
-    output, so AQE broadcasts it only when its runtime size is small; otherwise
-    the semi join is shuffled and a store holding a large share of the rows is
-    split by skew-join handling.
+    A left-semi join against the passing slugs, broadcast when ``n_stores``
+    bounds the list under the limit; otherwise the semi join is shuffled and
+    a store holding a large share of the rows is split by AQE skew handling.
     """
+    from reviewlens.session import broadcast_if
     ok = doc_counts(reviews).where(F.col("count") >= min_docs).select("slug")
-    return reviews.join(ok, "slug", "left_semi")
+    return reviews.join(broadcast_if(ok, n_stores), "slug", "left_semi")

@@ -26,6 +26,7 @@ from reviewlens.config import DEFAULT, AnalysisConfig
 from reviewlens.functions.text import (keep_tokens, keep_words, ngrams,
                                        substring_count, token_words, tokenize)
 from reviewlens.operators.clean import strip_reply_echo, with_text
+from reviewlens.session import broadcast_if, store_count
 
 
 def _sets(cfg: AnalysisConfig) -> dict:
@@ -63,9 +64,12 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
 def term_freq(docs: DataFrame, ns=(1,)) -> DataFrame:
     """(slug, n, pos, term, f, first_i, dl): distinct terms of each n-gram document.
 
-    ``first_i`` is the term's first index in the document, ``dl`` the
-    document length.  An empty document keeps one row with a NULL term so it
-    still counts in N.
+    Exploded and aggregated by (slug, n, pos, term).  A document lives in one
+    row, so the partial aggregate before the shuffle already holds its full
+    counts and only distinct (document, term) pairs are shuffled; the key
+    includes the document, so no store can skew it.  ``first_i`` is the
+    term's first index in the document, ``dl`` the document length.  Empty
+    documents yield no rows; their count enters through ``stats_from_docs``.
     """
     ns = tuple(ns)
     if len(ns) == 1:
@@ -74,16 +78,42 @@ def term_freq(docs: DataFrame, ns=(1,)) -> DataFrame:
     else:
         arr = F.array(*[F.struct(F.lit(n).alias("n"), ngrams(F.col("words"), n).alias("grams"))
                         for n in ns])
-        levels = docs.select("slug", "pos", F.inline(arr))
-    x = levels.select("slug", "n", "pos", F.size("grams").alias("dl"),
-                      F.posexplode_outer("grams").alias("i", "term"))
+        levels = docs.select("slug", "pos", F.inline_outer(arr))
+    # dl is computed before the generator so that exploded rows do not carry
+    # the whole array along.  The outer generator evaluates the (interpreted)
+    # n-gram array once per row; the inner one re-evaluates it per element.
+    # Its empty-document row has a NULL position and is dropped.
+    x = (levels.select("slug", "n", "pos", F.size("grams").alias("dl"), "grams")
+         .select("slug", "n", "pos", "dl", F.posexplode_outer("grams").alias("i", "term"))
+         .where(F.col("i").isNotNull()))
     return (x.groupBy("slug", "n", "pos", "term")
-            .agg(F.count("term").alias("f"), F.min("i").alias("first_i"),
-                 F.max("dl").alias("dl")))
+            .agg(F.count("*").alias("f"), F.min("i").alias("first_i"), F.max("dl").alias("dl")))
+
+
+def stats_from_docs(docs: DataFrame, ns=(1,)) -> DataFrame:
+    """(slug, n, n_docs, total, avgdl) from the documents themselves.
+
+    The n-gram document length is max(words - n + 1, 0), so no n-gram is
+    built and nothing is exploded: one narrow pass and a one-row-per-store
+    aggregate.  (Reading the shuffled term table twice instead would rely on
+    exchange reuse, which plans with lambda functions do not get.)
+    """
+    ns = tuple(ns)
+    size = F.size("words")
+    lv = F.array(*[F.struct(F.lit(n).alias("n"), F.greatest(size - n + 1, F.lit(0)).alias("dl"))
+                   for n in ns])
+    return (docs.select("slug", F.inline_outer(lv))
+            .groupBy("slug", "n").agg(F.count("*").alias("n_docs"), F.sum("dl").alias("total"))
+            .withColumn("avgdl", F.when(F.col("n_docs") > 0, F.col("total") / F.col("n_docs"))
+                        .otherwise(F.lit(1.0))))
 
 
 def stats_from_tf(tf: DataFrame) -> DataFrame:
-    """(slug, n, n_docs, total, avgdl) from a ``term_freq`` table (one row marks each document)."""
+    """(slug, n, n_docs, total, avgdl) from a ``term_freq`` table.
+
+    Counts only documents with at least one term; use ``stats_from_docs``
+    when empty documents must count in N (the BM25 definition).
+    """
     first = F.coalesce(F.col("first_i"), F.lit(0)) == 0
     return (tf.groupBy("slug", "n")
             .agg(F.count_if(first).alias("n_docs"), F.sum("f").alias("total"))
@@ -96,28 +126,61 @@ def idf(n: Column, df: Column) -> Column:
     return F.log((n - df + F.lit(0.5)) / (df + F.lit(0.5)) + F.lit(1.0))
 
 
-def bm25_terms(tf: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(slug, n, term, df, tf, score, first): corpus-level BM25 of every term.
+def bm25_terms(tf: DataFrame, k1: float = 1.5, b: float = 0.75,
+               n_stores: int | None = None, n_levels: int = 3,
+               stats: DataFrame | None = None) -> DataFrame:
+    """See ``bm25``; ``stats`` should come from ``stats_from_docs``."""
+    return _bm25(tf, k1, b, n_stores, n_levels, stats)
+
+
+def bm25(docs: DataFrame, ns=(1,), k1: float = 1.5, b: float = 0.75,
+         n_stores: int | None = None) -> DataFrame:
+    """Corpus BM25 of every term of ``docs`` for each n in ``ns``."""
+    return _bm25(term_freq(docs, ns), k1, b, n_stores, len(tuple(ns)), stats_from_docs(docs, ns))
+
+
+def _bm25(tf: DataFrame, k1: float = 1.5, b: float = 0.75,
+          n_stores: int | None = None, n_levels: int = 3,
+          stats: DataFrame | None = None) -> DataFrame:
+    """(slug, n, term, df, tf, n_docs, score, first_pos, first_i): corpus BM25 of every term.
 
     score = sum over documents of idf * f * (k1 + 1) / (f + k1 * (1 - b + b * dl / avgdl)).
-    ``first`` = struct(pos, first_i) of the term's first appearance (tie-break).
+    (first_pos, first_i) is the term's first appearance (tie-break).
+
+    The NULL term of empty documents is kept as one group with a NULL score
+    (it sorts last and ``ranked_terms`` drops it after ranking): filtering it
+    earlier would be pushed into one branch only and stop Spark from reusing
+    the shuffled term table for the statistics.
+
+    The statistics (one row per store and n; ``stats_from_docs`` when
+    given, else derived from ``tf``) are broadcast when ``n_stores`` proves
+    them small; otherwise they are shuffle-joined.
     """
-    stats = stats_from_tf(tf).select("slug", "n", "n_docs", "avgdl")
-    t = tf.where(F.col("term").isNotNull()).join(stats, ["slug", "n"])
+    st = stats if stats is not None else stats_from_tf(tf)
+    st = st.select("slug", "n", "n_docs", "avgdl")
+    bound = None if n_stores is None else n_stores * n_levels
+    t = tf.join(broadcast_if(st, bound), ["slug", "n"])
     f = F.col("f")
-    norm = f * F.lit(k1 + 1.0) / (f + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
+    dl = F.col("dl")
+    norm = f * F.lit(k1 + 1.0) / (f + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * dl / F.col("avgdl")))
     agg = (t.groupBy("slug", "n", "term")
            .agg(F.count("*").alias("df"), F.sum("f").alias("tf"), F.sum(norm).alias("tfn"),
-                F.max("n_docs").alias("n_docs"), F.min(F.struct("pos", "first_i")).alias("first")))
-    return (agg.withColumn("score", idf(F.col("n_docs"), F.col("df")) * F.col("tfn"))
-            .drop("tfn"))
+                F.max("n_docs").alias("n_docs"), F.min("pos").alias("first_pos"),
+                F.min_by("first_i", "pos").alias("first_i")))
+    score = F.when(F.col("term").isNotNull(), idf(F.col("n_docs"), F.col("df")) * F.col("tfn"))
+    return agg.withColumn("score", score).drop("tfn")
 
 
 def word_freq(tf: DataFrame) -> DataFrame:
-    """(slug, word, count, first): corpus word counts from unigram ``term_freq``."""
-    return (tf.where((F.col("n") == 1) & F.col("term").isNotNull())
+    """(slug, word, count, first_pos, first_i): corpus word counts from unigram ``term_freq``.
+
+    As in ``bm25_terms`` the NULL word of empty documents stays (count 0) and
+    is dropped after ranking.
+    """
+    return (tf.where(F.col("n") == 1)
             .groupBy("slug", F.col("term").alias("word"))
-            .agg(F.sum("f").alias("count"), F.min(F.struct("pos", "first_i")).alias("first")))
+            .agg(F.sum("f").alias("count"), F.min("pos").alias("first_pos"),
+                 F.min_by("first_i", "pos").alias("first_i")))
 
 
 def top_k(df: DataFrame, k: int, order: list, by=("slug",), rank_col: str = "rank") -> DataFrame:
@@ -128,14 +191,26 @@ def top_k(df: DataFrame, k: int, order: list, by=("slug",), rank_col: str = "ran
 
 def score_order() -> list:
     """Score descending (rounded to 9 places: summation order varies), then first appearance."""
-    return [F.round(F.col("score"), 9).desc(), F.col("first").asc()]
+    return [F.round(F.col("score"), 9).desc_nulls_last(), F.col("first_pos").asc(),
+            F.col("first_i").asc()]
 
 
 def count_order() -> list:
-    return [F.col("count").desc(), F.col("first").asc()]
+    return [F.col("count").desc(), F.col("first_pos").asc(), F.col("first_i").asc_nulls_last()]
+
+
+def ranked_terms(bm: DataFrame, k: int) -> DataFrame:
+    """Top k terms per (slug, n) by score; the empty-document group is dropped after ranking."""
+    return top_k(bm, k, score_order(), by=("slug", "n")).where(F.col("term").isNotNull())
+
+
+def ranked_words(wf: DataFrame, k: int) -> DataFrame:
+    """Top k words per slug by count; the empty-document group is dropped after ranking."""
+    return top_k(wf, k, count_order()).where(F.col("word").isNotNull())
 
 
-def top_words(docs: DataFrame, k: int = 100, min_docs: int = 0) -> DataFrame:
+def top_words(docs: DataFrame, k: int = 100, min_docs: int = 0,
+              n_stores: int | None = None) -> DataFrame:
     """(slug, rank, word, count): the k most frequent kept words per store.
 
     Stores with fewer than ``min_docs`` documents are left out (the
@@ -145,35 +220,43 @@ def top_words(docs: DataFrame, k: int = 100, min_docs: int = 0) -> DataFrame:
     tf = term_freq(docs, (1,))
     wf = word_freq(tf)
     if min_docs > 0:
-        ok = stats_from_tf(tf).where(F.col("n_docs") >= min_docs).select("slug")
-        wf = wf.join(ok, "slug", "left_semi")
-    return top_k(wf, k, count_order()).select("slug", "rank", "word", "count")
+        ok = (docs.groupBy("slug").agg(F.count("*").alias("n_docs"))
+              .where(F.col("n_docs") >= min_docs).select("slug"))
+        n_stores = store_count(docs) if n_stores is None else n_stores
+        wf = wf.join(broadcast_if(ok, n_stores), "slug", "left_semi")
+    return ranked_words(wf, k).select("slug", "rank", "word", "count")
 
 
-def top_terms(docs: DataFrame, ns=(1,), k: int = 100, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
+def top_terms(docs: DataFrame, ns=(1,), k: int = 100, cfg: AnalysisConfig = DEFAULT,
+              n_stores: int | None = None) -> DataFrame:
     """(slug, n, rank, term, score): BM25 top k per store and n, score rounded to 2.
 
     Stores with fewer than ``cfg.min_docs`` documents are left out.
+    ``n_stores`` (counted when not given) bounds the statistics broadcast.
     """
-    bm = bm25_terms(term_freq(docs, ns), cfg.k1, cfg.b).where(F.col("n_docs") >= cfg.min_docs)
-    return (top_k(bm, k, score_order(), by=("slug", "n"))
+    n_stores = store_count(docs) if n_stores is None else n_stores
+    bm = bm25_terms(term_freq(docs, ns), cfg.k1, cfg.b, n_stores, len(tuple(ns)),
+                    stats_from_docs(docs, ns))
+    bm = bm.where(F.col("n_docs") >= cfg.min_docs)
+    return (ranked_terms(bm, k)
             .select("slug", "n", "rank", "term", F.round("score", 2).alias("score")))
 
 
 def mention_counts(neg_reviews: DataFrame, vocab: DataFrame, k: int = 50,
-                   lower: bool = False) -> DataFrame:
+                   lower: bool = False, vocab_rows: int | None = None) -> DataFrame:
     """(slug, rank, word, count): substring hits of vocabulary words in negative texts.
 
     ``vocab`` is (slug, rank, word), e.g. the top 100 words.  Counts are
     non-overlapping substring occurrences summed over the store's negative
     texts; words with no hit are dropped; ranked by count then vocabulary rank.
-    The vocabulary is joined on ``slug`` (an equi-join, AQE broadcasts it when
-    its runtime size allows), never a nested loop.
+    The vocabulary is joined on ``slug`` (an equi-join, never a nested loop):
+    broadcast when ``vocab_rows`` bounds it under the limit, otherwise a
+    shuffle join where AQE splits a store holding many negative reviews.
     """
     text = F.lower(F.col("text")) if lower else F.col("text")
     texts = neg_reviews.select("slug", text.alias("text"))
     v = vocab.select("slug", F.col("rank").alias("vrank"), "word")
-    hits = (texts.join(v, "slug")
+    hits = (texts.join(broadcast_if(v, vocab_rows), "slug")
             .groupBy("slug", "word", "vrank")
             .agg(F.sum(substring_count(F.col("text"), F.col("word"))).alias("count"))
             .where(F.col("count") > 0))

@@ -136,8 +136,11 @@ def tokens_table(df: DataFrame, id2label: dict, text: str = "text", ws: str = "w
 
 def explode_tokens(tokens: DataFrame, col: str = "tokens") -> DataFrame:
     """(slug, pos, i, word, tag): one row per token."""
-    return tokens.select("slug", "pos", F.posexplode(col).alias("i", "t")) \
-                 .select("slug", "pos", "i", F.col("t.word").alias("word"), F.col("t.tag").alias("tag"))
+    # The outer form evaluates a computed array once per row (the inner form
+    # re-evaluates interpreted array expressions); its empty-array row has a
+    # NULL position and is dropped.
+    x = tokens.select("slug", "pos", F.posexplode_outer(col).alias("i", "t")).where(F.col("i").isNotNull())
+    return x.select("slug", "pos", "i", F.col("t.word").alias("word"), F.col("t.tag").alias("tag"))
 
 
 # --- scoring hook -------------------------------------------------------------

@@ -19,47 +19,82 @@ from reviewlens.operators import terms as T
 CHART_NAMES = {1: "bm25_unigram", 2: "bm25_2gram", 3: "bm25_3gram"}
 
 
-def analysis(reviews: DataFrame, cfg: AnalysisConfig = DEFAULT, docs: DataFrame | None = None) -> dict:
-    """All outputs of the analysis as DataFrames keyed by name.
+class _Parts(dict):
+    """Analysis outputs built on first access (queries pay only for what they read)."""
+
+    def __init__(self, makers: dict):
+        super().__init__()
+        self._makers = makers
+
+    def __getitem__(self, key):
+        if not dict.__contains__(self, key):
+            dict.__setitem__(self, key, self._makers[key]())
+        return dict.__getitem__(self, key)
+
+    def keys(self):
+        return self._makers.keys()
+
+
+def analysis(reviews: DataFrame, cfg: AnalysisConfig = DEFAULT, docs: DataFrame | None = None,
+             materialize: bool = True) -> dict:
+    """All outputs of the analysis as DataFrames keyed by name (built lazily).
 
     ``docs`` overrides the default lexical documents, e.g. with documents
     built from model labels (``tokens.segment`` + ``terms.tagged_docs``).
+    With ``materialize`` the top-word vocabulary (at most ``top_words`` rows
+    per store) is written once to the shared checkpoint folder: the word
+    lists and the negative-mention join both read it instead of tokenizing
+    the corpus twice.
     """
+    from reviewlens.session import broadcast_if, cut_lineage, store_count
+    n_stores = store_count(reviews)  # bounds every per-store side table below
     cleaned = C.strip_reply_echo(reviews)
-    guard = C.guard_min_docs(cleaned, cfg.min_docs)
-    ok = C.keep_analyzable(cleaned, cfg.min_docs)
+    ok = C.keep_analyzable(cleaned, cfg.min_docs, n_stores)
     if docs is None:
         docs = T.lexical_docs(ok, cfg, clean=False)
     else:
-        docs = docs.join(ok.select("slug").distinct(), "slug", "left_semi")
-    # Unigram counts get their own term table so that queries needing only
-    # word counts do not pay for n-gram BM25; a batch job computing both
-    # checkpoints ``docs`` first (see ``write_analysis``).
-    wf = T.top_k(T.word_freq(T.term_freq(docs, (1,))), cfg.top_words, T.count_order())
-    bm = T.bm25_terms(T.term_freq(docs, cfg.ngram_sizes), cfg.k1, cfg.b)
-    terms = T.top_k(bm, cfg.top_terms, T.score_order(), by=("slug", "n"))
-    neg = T.mention_counts(C.negatives(ok, cfg.neg_max_rating),
-                           wf.select("slug", "rank", "word"), cfg.top_neg_words, cfg.lower)
-    months = R.monthly(ok, cfg)
-    return {
-        "guard": guard,
-        "word_freq": wf.select("slug", "rank", "word", "count"),
-        "bm25": terms.select("slug", "n", "rank", "term", F.round("score", 2).alias("score"),
-                             F.col("score").alias("score_raw")),
-        "neg_word_freq": neg,
-        "monthly": months,
-        "trend": R.trend(months, cfg),
-        "ratings": R.rating_summary(ok, cfg),
-        "hist": R.rating_hist(ok),
-    }
-
-
-def _joined_words(df: DataFrame, k: int, col: str, word: str = "word") -> DataFrame:
-    """(slug, col): the first k words of a ranked list joined with '|'."""
-    return (df.where(F.col("rank") <= k)
-            .groupBy("slug")
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", word))),
-                                          lambda x: x[word]), "|").alias(col)))
+        docs = docs.join(broadcast_if(ok.select("slug").distinct(), n_stores), "slug", "left_semi")
+
+    def word_freq():
+        wf = T.ranked_words(T.word_freq(T.term_freq(docs, (1,))), cfg.top_words)
+        wf = wf.select("slug", "rank", "word", "count")
+        return cut_lineage(wf) if materialize else wf
+
+    def bm25():
+        bm = T.bm25_terms(T.term_freq(docs, cfg.ngram_sizes), cfg.k1, cfg.b, n_stores,
+                          len(cfg.ngram_sizes), T.stats_from_docs(docs, cfg.ngram_sizes))
+        terms = T.ranked_terms(bm, cfg.top_terms)
+        return terms.select("slug", "n", "rank", "term", F.round("score", 2).alias("score"),
+                            F.col("score").alias("score_raw"))
+
+    def neg_word_freq():
+        return T.mention_counts(C.negatives(ok, cfg.neg_max_rating),
+                                parts["word_freq"].select("slug", "rank", "word"),
+                                cfg.top_neg_words, cfg.lower, vocab_rows=n_stores * cfg.top_words)
+
+    parts = _Parts({
+        "guard": lambda: C.guard_min_docs(cleaned, cfg.min_docs),
+        "word_freq": word_freq,
+        "bm25": bm25,
+        "neg_word_freq": neg_word_freq,
+        "monthly": lambda: R.monthly(ok, cfg),
+        "trend": lambda: R.trend(parts["monthly"], cfg),
+        "ratings": lambda: R.rating_summary(ok, cfg),
+        "hist": lambda: R.rating_hist(ok),
+    })
+    return parts
+
+
+def _joined_words(df: DataFrame, ks: dict[str, int], word: str = "word") -> DataFrame:
+    """(slug, <col>...): for each output column, the first k words of a ranked list joined with '|'.
+
+    One aggregate per list table (at most max(k) rows per store are collected).
+    """
+    top = max(ks.values())
+    arr = (df.where(F.col("rank") <= top).groupBy("slug")
+           .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", word))),
+                            lambda x: x[word]).alias("_w")))
+    return arr.select("slug", *[F.array_join(F.slice("_w", 1, k), "|").alias(c) for c, k in ks.items()])
 
 
 def summary(reviews: DataFrame, cfg: AnalysisConfig = DEFAULT, parts: dict | None = None) -> DataFrame:
@@ -69,15 +104,15 @@ def summary(reviews: DataFrame, cfg: AnalysisConfig = DEFAULT, parts: dict | Non
     Every piece is a per-store aggregate, so the final joins are on tables
     with one row per store.
     """
-    p = parts or analysis(reviews, cfg)
+    p = parts if parts is not None else analysis(reviews, cfg)
     g = p["guard"].select("slug", F.col("count").alias("with_text"),
                           F.when(F.col("status") != "ok", F.col("status")).alias("error"))
     rs = p["ratings"].drop("with_text", "neg_count")
     out = (g.join(rs, "slug", "left")
            .join(p["hist"], "slug", "left")
-           .join(_joined_words(p["word_freq"], cfg.summary_words, "top_words"), "slug", "left")
-           .join(_joined_words(p["word_freq"], cfg.summary_keywords, "top_keywords"), "slug", "left")
-           .join(_joined_words(p["neg_word_freq"], cfg.summary_neg_words, "neg_top_words"), "slug", "left")
+           .join(_joined_words(p["word_freq"], {"top_words": cfg.summary_words,
+                                                 "top_keywords": cfg.summary_keywords}), "slug", "left")
+           .join(_joined_words(p["neg_word_freq"], {"neg_top_words": cfg.summary_neg_words}), "slug", "left")
            .join(p["trend"], "slug", "left"))
     ok = F.col("error").isNull()
     return out.select(
@@ -138,13 +173,13 @@ def write_analysis(reviews: DataFrame, root: str, cfg: AnalysisConfig = DEFAULT,
     the shared checkpoint folder (``spark.checkpoint.dir``) first; a lost
     executor then re-reads them instead of re-tokenizing everything.
     """
-    from reviewlens.session import cut_lineage
+    from reviewlens.session import cut_lineage, store_count
     from reviewlens.sources.files import write_results
 
     cleaned = C.strip_reply_echo(reviews)
-    ok = C.keep_analyzable(cleaned, cfg.min_docs)
+    ok = C.keep_analyzable(cleaned, cfg.min_docs, store_count(reviews))
     docs = cut_lineage(T.lexical_docs(ok, cfg, clean=False))
-    parts = analysis(reviews, cfg, docs=docs)
+    parts = analysis(reviews, cfg, docs=docs, materialize=False)
     tables = {
         "word_freq": parts["word_freq"],
         "neg_word_freq": parts["neg_word_freq"],

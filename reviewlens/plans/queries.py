@@ -16,6 +16,7 @@ from reviewlens.operators import terms as T
 from reviewlens.operators import tokens as TK
 from reviewlens.plans import adapters as A
 from reviewlens.plans import analyze as AN
+from reviewlens.session import store_count
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -24,14 +25,19 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
 
 def bm25(n: int):
     def q(spark: SparkSession, sf: str) -> DataFrame:
-        return T.top_terms(_docs(spark, sf), (n,), DEFAULT.top_terms, DEFAULT)
+        rv = A.reviews(spark, sf)
+        # stores counted on the raw slug column bound every per-store side table
+        return T.top_terms(T.lexical_docs(rv, DEFAULT), (n,), DEFAULT.top_terms, DEFAULT,
+                           n_stores=store_count(rv))
     q.__doc__ = f"Corpus BM25 of {n}-grams per store, top {DEFAULT.top_terms}."
     return q
 
 
 def word_freq(spark, sf):
     """Top 100 kept words per store by count, ties by first appearance."""
-    return T.top_words(_docs(spark, sf), DEFAULT.top_words, DEFAULT.min_docs)
+    rv = A.reviews(spark, sf)
+    return T.top_words(T.lexical_docs(rv, DEFAULT), DEFAULT.top_words, DEFAULT.min_docs,
+                       n_stores=store_count(rv))
 
 
 def corpus_stats(spark, sf):
@@ -42,8 +48,8 @@ def corpus_stats(spark, sf):
 
 def doc_freq(spark, sf):
     """Document frequency, total term frequency and idf of every unigram per store."""
-    bm = T.bm25_terms(T.term_freq(_docs(spark, sf), (1,)), DEFAULT.k1, DEFAULT.b)
-    bm = bm.where(F.col("n_docs") >= DEFAULT.min_docs)
+    bm = T.bm25(_docs(spark, sf), (1,), DEFAULT.k1, DEFAULT.b)
+    bm = bm.where((F.col("n_docs") >= DEFAULT.min_docs) & F.col("term").isNotNull())
     return bm.select("slug", "term", "df", "tf",
                      F.round(T.idf(F.col("n_docs"), F.col("df")), 6).alias("idf"))
 
@@ -221,15 +227,17 @@ def sample_reviews(spark, sf):
 def tokenize(spark, sf):
     """Lexical tokens (letter runs) of every cleaned review text, in order."""
     r = C.with_text(_cleaned(spark, sf))
-    return r.select("slug", "pos", F.posexplode(TX.tokenize(F.col("text"))).alias("i", "word"))
+    x = r.select("slug", "pos", F.posexplode_outer(TX.tokenize(F.col("text"))).alias("i", "word"))
+    return x.where(F.col("i").isNotNull())
 
 
 def ngrams(spark, sf):
     """2- and 3-grams of the kept words of every review."""
     d = T.lexical_docs(A.reviews(spark, sf), DEFAULT)
-    g = d.select("slug", "pos", F.inline(F.array(*[
+    g = d.select("slug", "pos", F.inline_outer(F.array(*[
         F.struct(F.lit(n).alias("n"), TX.ngrams(F.col("words"), n).alias("grams")) for n in (2, 3)])))
-    return g.select("slug", "pos", "n", F.posexplode("grams").alias("i", "gram"))
+    x = g.select("slug", "pos", "n", F.posexplode_outer("grams").alias("i", "gram"))
+    return x.where(F.col("i").isNotNull())
 
 
 def _tokens(spark, sf):
@@ -239,8 +247,9 @@ def _tokens(spark, sf):
 def decode_words(spark, sf):
     """Words decoded from per-character segmentation labels."""
     l = A.labels_in(spark, sf)
-    return l.select("slug", "pos", F.posexplode(TK.decode_words(F.col("text"), F.col("ws")))
-                    .alias("i", "word"))
+    x = l.select("slug", "pos", F.posexplode_outer(TK.decode_words(F.col("text"), F.col("ws")))
+                 .alias("i", "word"))
+    return x.where(F.col("i").isNotNull())
 
 
 def tag_words(spark, sf):
@@ -256,8 +265,21 @@ def keep_tokens(spark, sf):
 
 def bm25_tagged(spark, sf):
     """Unigram BM25 over documents built from model labels (segment, tag, keep)."""
-    docs = T.tagged_docs(_tokens(spark, sf), DEFAULT)
-    return T.top_terms(docs, (1,), DEFAULT.top_terms, DEFAULT)
+    labelled = A.labels_in(spark, sf)
+    docs = T.tagged_docs(TK.tokens_table(labelled, A.FIXTURE_ID2LABEL), DEFAULT)
+    return T.top_terms(docs, (1,), DEFAULT.top_terms, DEFAULT, n_stores=store_count(labelled))
+
+
+def list_stores(spark, sf):
+    """Store catalogue: every store and its review count, sorted by slug."""
+    from reviewlens.sources.files import store_counts
+    return store_counts(A.reviews(spark, sf))
+
+
+def page_cards(spark, sf):
+    """Navigation cards of every page: link text, target and link count per <li>."""
+    from reviewlens.sources.pages import extract_cards
+    return extract_cards(A.pages(spark, sf), "li", {"text": "a", "href": "a@href"}, {"links": "a"})
 
 
 QUERIES = {
@@ -302,4 +324,6 @@ QUERIES = {
     "tag_words": tag_words,
     "keep_tokens": keep_tokens,
     "bm25_tagged": bm25_tagged,
+    "list_stores": list_stores,
+    "page_cards": page_cards,
 }

@@ -87,3 +87,26 @@ def balance(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
+
+
+# Largest per-store side table broadcast without a shuffle join (rows).  The
+# side tables here carry a handful of numbers and short strings per row, so
+# this caps a broadcast at roughly 100-200 MB.
+BROADCAST_ROWS = 2_000_000
+
+
+def store_count(df: DataFrame) -> int:
+    """Number of distinct stores: one narrow aggregate over the ``slug`` column."""
+    return df.select("slug").distinct().count()
+
+
+def broadcast_if(side: DataFrame, rows_bound: int | None, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``side`` only when a proven upper bound of its rows is under ``limit``.
+
+    Beyond the limit (or with no bound) the side is left to the planner: a
+    shuffle join, with AQE's runtime broadcast and skew-join splitting.
+    """
+    from pyspark.sql import functions as F
+    if rows_bound is not None and rows_bound <= limit:
+        return F.broadcast(side)
+    return side

@@ -46,7 +46,8 @@ def read_reviews_json(spark: SparkSession, root: str) -> DataFrame:
     files = _review_files(spark, root).select(
         F.regexp_extract("path", SLUG_FROM_PATH, 1).alias("slug"),
         F.from_json(F.decode("content", "UTF-8"), T.ArrayType(REVIEW_FIELDS)).alias("rows"))
-    return (files.select("slug", F.posexplode("rows").alias("pos", "r"))
+    return (files.select("slug", F.posexplode_outer("rows").alias("pos", "r"))
+            .where(F.col("pos").isNotNull())
             .select("slug", F.col("pos").cast("long").alias("pos"), "r.*"))
 
 

@@ -39,7 +39,8 @@ def explode_posts(payloads: DataFrame, tz: str = "UTC") -> DataFrame:
     """
     v = payloads.select("slug", "arrival", parse_payload("body").alias("v"))
     posts = v.select("slug", "arrival",
-                     F.posexplode(F.try_variant_get("v", "$[2]", "array<variant>")).alias("seq", "post"))
+                     F.posexplode_outer(F.try_variant_get("v", "$[2]", "array<variant>")).alias("seq", "post"))
+    posts = posts.where(F.col("seq").isNotNull())
     ts_v = F.try_variant_get("post", TS_PATH, "variant")
     kind = F.schema_of_variant(ts_v)
     ts = (F.when(kind.isin(*INTEGRAL), F.try_variant_get("post", TS_PATH, "long"))
