@@ -151,6 +151,44 @@ def tokenize(c, lower: bool = False) -> Column:
     return F.regexp_extract_all(t, F.lit(r"\p{L}+"), 0)
 
 
+def lexical_pattern(tag: str = UNKNOWN_TAG, stop_words=STOP_WORDS, punct_tags=PUNCT_TAGS,
+                    verb_tags=VERB_TAGS) -> str:
+    """One regex for ``keep_words(tokenize(text))`` when every word has ``tag``.
+
+    Tokens are maximal letter runs; the keep rule then drops one-letter runs
+    (unless ``tag`` is a verb tag) and runs equal to a stop word.  Both become
+    part of the pattern: a minimum run length, and a negative lookahead over
+    the stop words that consist of letters only (others can never be a run).
+    The lookbehind keeps matches at run starts.  No per-element lambda runs.
+    """
+    if tag in punct_tags:
+        return r"[^\s\S]"  # matches nothing: every token would be dropped
+    min_len = 1 if tag in verb_tags else 2
+    words = sorted({w for w in stop_words
+                    if len(w) >= min_len and w.isalpha()}, key=lambda w: (-len(w), w))
+    stop = ""
+    if words:
+        alts = "|".join(r"\Q" + w + r"\E" for w in words)
+        stop = r"(?!(?:" + alts + r")(?!\p{L}))"
+    return r"(?<!\p{L})" + stop + r"\p{L}{" + str(min_len) + ",}"
+
+
+def lexical_words(c, lower: bool = False, **sets) -> Column:
+    """Kept words of the default tokenizer (same result as keep_words(tokenize(c)))."""
+    t = _c(c)
+    if lower:
+        t = F.lower(t)
+    return F.regexp_extract_all(t, F.lit(lexical_pattern(**sets)), 0)
+
+
+def lexical_count(c, lower: bool = False, **sets) -> Column:
+    """Number of kept words of the default tokenizer (no array is built)."""
+    t = _c(c)
+    if lower:
+        t = F.lower(t)
+    return F.regexp_count(t, F.lit(lexical_pattern(**sets)))
+
+
 def keep_rule(word: Column, tag: Column, stop_words=STOP_WORDS,
               punct_tags=PUNCT_TAGS, verb_tags=VERB_TAGS) -> Column:
     """A token is kept unless it is punctuation, a stop word, or a one-char non-verb."""

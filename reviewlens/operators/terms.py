@@ -2,18 +2,19 @@
 
 Shuffle plan of the BM25 family (per call, all n-gram sizes at once):
 
-1. ``term_freq``: documents are exploded in place and aggregated by
+1. ``lexical_docs``: tokenizer and keep rule are one regex evaluated in-row.
+2. ``term_freq``: documents are exploded in place and aggregated by
    (slug, n, pos, term).  Every document lives in one row, so the partial
    aggregate before the shuffle already holds the full per-document counts and
    only distinct (document, term) pairs cross the network.  Skew-free: the
    key includes the document.
-2. ``corpus_stats`` is an aggregate of that same shuffled table (the exchange
-   is reused, the text is tokenized once); its output has one row per store
-   and is joined back with AQE choosing a broadcast by runtime size.
-3. ``bm25_terms`` aggregates by (slug, n, term) with a partial aggregate per
+3. ``stats_from_docs``: N and total length per store from document lengths
+   (a regex match count, no array, no explode); one row per store, broadcast
+   when the store count bounds it.
+4. ``bm25_terms`` aggregates by (slug, n, term) with a partial aggregate per
    map task, so a term that is hot in a huge store is pre-combined before the
    shuffle.  The idf factor is constant per term and is applied after the sum.
-4. ``top_k`` ranks inside each store; Spark inserts a ``WindowGroupLimit``
+5. ``top_k`` ranks inside each store; Spark inserts a ``WindowGroupLimit``
    below the shuffle so each map task sends at most k rows per store.
 """
 
@@ -23,8 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlens.config import DEFAULT, AnalysisConfig
-from reviewlens.functions.text import (keep_tokens, keep_words, ngrams,
-                                       substring_count, token_words, tokenize)
+from reviewlens.functions.text import (keep_tokens, lexical_count, lexical_words, ngrams,
+                                       substring_count, token_words)
 from reviewlens.operators.clean import strip_reply_echo, with_text
 from reviewlens.session import broadcast_if, store_count
 
@@ -43,20 +44,25 @@ def lexical_docs(reviews: DataFrame, cfg: AnalysisConfig = DEFAULT,
     owner-reply echo removal first, as the analysis does.
     """
     r = strip_reply_echo(reviews) if clean else reviews
+    # tokenizer and keep rule are one regex; n_words counts the same matches
+    # without building them, for statistics that need only lengths
     return with_text(r).select(
-        "slug", "pos", keep_words(tokenize(F.col("text"), cfg.lower), **_sets(cfg)).alias("words"))
+        "slug", "pos", lexical_words(F.col("text"), cfg.lower, **_sets(cfg)).alias("words"),
+        lexical_count(F.col("text"), cfg.lower, **_sets(cfg)).alias("n_words"))
 
 
 def tagged_docs(tokens: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
     """(slug, pos, words) from a (slug, pos, tokens array<struct<word,tag>>) table."""
-    return tokens.select("slug", "pos",
-                         token_words(keep_tokens(F.col("tokens"), **_sets(cfg))).alias("words"))
+    d = tokens.select("slug", "pos",
+                      token_words(keep_tokens(F.col("tokens"), **_sets(cfg))).alias("words"))
+    return d.withColumn("n_words", F.size("words"))
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
     """(slug, n_docs, total, avgdl) straight from documents; empty documents count in N."""
+    size = F.col("n_words") if "n_words" in docs.columns else F.size("words")
     return (docs.groupBy("slug")
-            .agg(F.count("*").alias("n_docs"), F.sum(F.size("words")).alias("total"))
+            .agg(F.count("*").alias("n_docs"), F.sum(size).alias("total"))
             .withColumn("avgdl", F.when(F.col("n_docs") > 0, F.col("total") / F.col("n_docs"))
                         .otherwise(F.lit(1.0))))
 
@@ -99,7 +105,7 @@ def stats_from_docs(docs: DataFrame, ns=(1,)) -> DataFrame:
     exchange reuse, which plans with lambda functions do not get.)
     """
     ns = tuple(ns)
-    size = F.size("words")
+    size = F.col("n_words") if "n_words" in docs.columns else F.size("words")
     lv = F.array(*[F.struct(F.lit(n).alias("n"), F.greatest(size - n + 1, F.lit(0)).alias("dl"))
                    for n in ns])
     return (docs.select("slug", F.inline_outer(lv))
