@@ -16,7 +16,7 @@ from reviewlens.operators import terms as T
 from reviewlens.operators import tokens as TK
 from reviewlens.plans import adapters as A
 from reviewlens.plans import analyze as AN
-from reviewlens.session import store_count
+from reviewlens.session import cut_lineage, store_count
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -266,7 +266,10 @@ def keep_tokens(spark, sf):
 def bm25_tagged(spark, sf):
     """Unigram BM25 over documents built from model labels (segment, tag, keep)."""
     labelled = A.labels_in(spark, sf)
-    docs = T.tagged_docs(TK.tokens_table(labelled, A.FIXTURE_ID2LABEL), DEFAULT)
+    # Documents built from model labels feed two branches (statistics and
+    # term table); they are written once to the shared checkpoint folder so
+    # that labelling (a model run, in production) never happens twice.
+    docs = cut_lineage(T.tagged_docs(TK.tokens_table(labelled, A.FIXTURE_ID2LABEL), DEFAULT))
     return T.top_terms(docs, (1,), DEFAULT.top_terms, DEFAULT, n_stores=store_count(labelled))
 
 
