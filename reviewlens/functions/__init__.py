@@ -5,7 +5,8 @@ from reviewlens.functions.dates import (micros_to_date, micros_to_local,  # noqa
 from reviewlens.functions.text import (canonical_url, chart_label,  # noqa: F401
                                        clean_label, detect_lang, has_text,
                                        is_reply_echo, keep_rule, keep_tokens,
-                                       keep_words, ngrams, parse_rating,
+                                       keep_words, lexical_count, lexical_pattern,
+                                       lexical_words, ngrams, parse_rating,
                                        pick_text, reply_core, review_url,
                                        slugify, substring_count, token_words,
                                        tokenize, truncate, ustrip)

@@ -86,3 +86,20 @@ def test_micros_to_date(spark):
     df = spark.createDataFrame([(1704067207179575,), (1704040000000000,)], "m long")
     got = [tuple(r) for r in df.select(RF.micros_to_date("m"), RF.micros_to_date("m", "Asia/Taipei")).collect()]
     assert got == [("2024-01-01", "2024-01-01"), ("2023-12-31", "2024-01-01")]
+
+
+def test_lexical_pattern_equals_tokenize_and_keep(spark):
+    import random
+    rnd = random.Random(5)
+    alphabet = ["a", "b", "É", "ß", "好", "吃", "Ｆ", "Ｂ", " ", ",", "1", "_", "\n", "'"]
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 40))) for _ in range(300)]
+    texts += ["ＦＢ ＦＢＸ ab 有 好吃", "ab abc abcd", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    configs = [dict(), dict(stop_words=("ab", "好吃", "a", "x y")), dict(verb_tags=("X",)),
+               dict(punct_tags=("X",)), dict(stop_words=("abc", "ab"), verb_tags=("X",))]
+    for sets in configs:
+        rows = df.select(RF.lexical_words("t", **sets).alias("a"),
+                         RF.keep_words(RF.tokenize("t"), **sets).alias("b"),
+                         RF.lexical_count("t", **sets).alias("c")).collect()
+        for r in rows:
+            assert r.a == r.b and r.c == len(r.b), (sets, r)
