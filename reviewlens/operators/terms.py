@@ -220,8 +220,9 @@ def top_words(docs: DataFrame, k: int = 100, min_docs: int = 0,
     """(slug, rank, word, count): the k most frequent kept words per store.
 
     Stores with fewer than ``min_docs`` documents are left out (the
-    small-corpus guard); their document count comes from the same shuffled
-    term table, so the guard costs no extra pass over the text.
+    small-corpus guard): the per-store document count is an aggregate over
+    the document rows (the word arrays are pruned from it), semi-joined to the
+    word counts with a broadcast bounded by ``n_stores``.
     """
     tf = term_freq(docs, (1,))
     wf = word_freq(tf)
