@@ -18,12 +18,12 @@ def _pct(num: Column, den: Column, digits: int = 1) -> Column:
 def global_rank(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
     """``rank()`` by ``value`` descending over the whole table, without a one-task window.
 
-    Row ordinals come from ``ordinal`` (range partitions plus offsets); rows
+    Row ordinals come from ``ordinal`` (value-range pieces plus offsets); rows
     with equal values then share the smallest ordinal of their value, as
     ``rank()`` does.  NULL values rank last.
     """
     keyed = df.withColumn("_one", F.lit(1))
-    o = ordinal(keyed, ["_one"], [F.col(value).desc_nulls_last()], "_ord")
+    o = ordinal(keyed, ["_one"], [(value, False)], "_ord")
     first = o.groupBy(value).agg(F.min("_ord").alias(name))
     return o.join(first, o[value].eqNullSafe(first[value]), "left") \
             .drop(first[value]).drop("_one", "_ord")

@@ -2,33 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ordinal(df: DataFrame, keys: list[str], order: list[Column], name: str = "k",
-            partitions: int | None = None) -> DataFrame:
-    """Add the 1-based position of each row inside its ``keys`` group in ``order``.
+def ordinal(df: DataFrame, keys: list[str], order: list[tuple[str, bool]], name: str = "k",
+            pieces: int | None = None) -> DataFrame:
+    """Add the 1-based position of each row inside its ``keys`` group.
 
-    Same result as ``row_number()`` over ``partitionBy(keys).orderBy(order)``,
-    but no group has to fit in one task: rows are range-partitioned on
-    (keys, order), ranked inside each (group, range partition) piece, and
-    shifted by the sizes of the group's pieces in earlier partitions.  The
-    offset table has at most one row per (group, partition).
-    ``order`` must make rows unique inside a group.
+    ``order`` is a list of (column, ascending); ascending sorts NULLs first,
+    descending NULLs last (Spark's defaults).  Same result as
+    ``row_number()`` over ``partitionBy(keys).orderBy(order)``, but no group
+    has to fit in one task: rows are cut into pieces by value ranges of the
+    leading order column (``approxQuantile`` boundaries, a list of at most
+    ``pieces`` numbers), ranked inside each (group, piece), and shifted by the
+    sizes of the group's earlier pieces.  Piece ids are computed from the
+    data, so every branch of the plan agrees on them.  The leading order
+    column must be numeric and ``order`` must make rows unique in a group.
     """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    x = df.repartitionByRange(n, *[F.col(k) for k in keys], *order) \
-          .withColumn("_part", F.spark_partition_id())
-    local = x.withColumn("_local", F.row_number().over(
-        Window.partitionBy(*keys, "_part").orderBy(*order)))
-    sizes = x.groupBy(*keys, "_part").agg(F.count("*").alias("_size"))
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_off", F.coalesce(F.sum("_size").over(before), F.lit(0))) \
-                   .drop("_size")
-    return (local.join(offsets, [*keys, "_part"])
+    n = pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lead, asc = order[0]
+    probs = [i / n for i in range(1, n)]
+    bounds = sorted(set(df.approxQuantile(lead, probs, 1.0 / (4 * n)))) if n > 1 else []
+    v = F.col(lead)
+    arr = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>")
+    if asc:
+        piece = F.when(v.isNull(), F.lit(-1)).otherwise(F.size(F.filter(arr, lambda b: b < v)))
+    else:
+        piece = F.when(v.isNull(), F.lit(len(bounds) + 1)).otherwise(F.size(F.filter(arr, lambda b: b > v)))
+    cols = [F.col(c).asc() if a else F.col(c).desc() for c, a in order]
+    x = df.withColumn("_piece", piece)
+    local = x.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, "_piece").orderBy(*cols)))
+    sizes = x.groupBy(*keys, "_piece").agg(F.count("*").alias("_size"))
+    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_off", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
+    return (local.join(offsets, [*keys, "_piece"])
             .withColumn(name, (F.col("_off") + F.col("_local")).cast("long"))
-            .drop("_part", "_local", "_off"))
+            .drop("_piece", "_local", "_off"))
 
 
 def match_dates(reviews: DataFrame, posts: DataFrame) -> DataFrame:
@@ -42,11 +52,11 @@ def match_dates(reviews: DataFrame, posts: DataFrame) -> DataFrame:
     both sides, so no hot name can skew it.
     """
     r = reviews.drop("date_abs", "timestamp_us")
-    r = ordinal(r, ["slug", "name"], [F.col("pos").asc()])
-    seq = [F.col("arrival").asc()] + ([F.col("seq").asc()] if "seq" in posts.columns else [])
+    r = ordinal(r, ["slug", "name"], [("pos", True)])
+    seq = [("arrival", True)] + ([("seq", True)] if "seq" in posts.columns else [])
     p = ordinal(posts.select("slug", "name", "date_abs", "timestamp_us", "arrival",
                              *(["seq"] if "seq" in posts.columns else [])),
-                ["slug", "name"], [F.col("timestamp_us").desc(), *seq])
+                ["slug", "name"], [("timestamp_us", False), *seq])
     p = p.select("slug", "name", "k", "date_abs", "timestamp_us")
     return r.join(p, ["slug", "name", "k"], "left").drop("k")
 
