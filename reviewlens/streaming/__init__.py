@@ -1,0 +1 @@
+"""Streaming: incremental re-analysis of stores as review files land."""
