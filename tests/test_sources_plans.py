@@ -122,3 +122,20 @@ def test_oracle_parity_small(spark, key):
 def test_every_query_has_an_oracle():
     import __spark_entry__ as E
     assert set(E.queries()) == set(E.oracle_sql())
+
+
+def test_broadcast_only_under_a_bound_and_balance_noop(spark):
+    from reviewlens.session import BROADCAST_ROWS, balance, broadcast_if
+    big = spark.range(0, 1000).selectExpr("cast(id % 10 as string) AS slug", "id")
+    side = big.groupBy("slug").count()
+    hinted = big.join(broadcast_if(side, 10), "slug")._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in hinted.lower()
+    unbounded = big.join(broadcast_if(side, BROADCAST_ROWS + 1), "slug")
+    assert "strategy=broadcast" not in unbounded._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" not in big.join(broadcast_if(side, None), "slug")._jdf.queryExecution() \
+        .optimizedPlan().toString()
+    cores = spark.sparkContext.defaultParallelism
+    many = spark.range(0, 1000, numPartitions=cores * 2)
+    assert balance(many) is many
+    one = spark.range(0, 1000, numPartitions=1)
+    assert balance(one).rdd.getNumPartitions() == cores
