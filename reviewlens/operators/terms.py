@@ -102,7 +102,8 @@ def stats_from_docs(docs: DataFrame, ns=(1,)) -> DataFrame:
     The n-gram document length is max(words - n + 1, 0), so no n-gram is
     built and nothing is exploded: one narrow pass and a one-row-per-store
     aggregate.  (Reading the shuffled term table twice instead would rely on
-    exchange reuse, which plans with lambda functions do not get.)
+    exchange reuse, which these plans, containing lambda functions, did not
+    get in our runs.)
     """
     ns = tuple(ns)
     size = F.col("n_words") if "n_words" in docs.columns else F.size("words")
