@@ -117,12 +117,12 @@ def op2(spark, docs: DataFrame) -> DataFrame:
     single = nodes.distinct()
     repeated = nodes.count() > single.count()
     plan = neighbours(single)
-    # a negated id stands for "descending" in the struct above only; ids are longs
-    dealt = with_fingerprint(rows.select(key.alias("k"), "text")).join(plan, "k")
+    # texts move without their fingerprints: both readers of this shuffle compute them, which costs less than moving
+    dealt = with_fingerprint(rows.select(key.alias("k"), "text").join(plan, "k"))
     heads = dealt.select(
         F.col("k_prev").alias("k"),
         F.substring(F.col("text"), F.lit(1), F.floor(F.col("n_prev") / 2).cast("int")).alias("_head"),
-        hashes(F.col("fp")).alias("_next"))
+        hashes(F.col("fp")).cast("array<int>").alias("_next"))
     if repeated:
         heads = heads.dropDuplicates(["k"])
     keep = (F.col("n") - F.floor(F.col("n") / 2)).cast("int")
@@ -134,4 +134,4 @@ def op2(spark, docs: DataFrame) -> DataFrame:
         "doc_id", F.col("n").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         printed(F.col("fp")).alias("fingerprint"), printed(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("_own"), F.col("_edited")).alias("near_edited"),
-        likeness(F.col("_own"), F.col("_next")).alias("near_next"))
+        likeness(F.col("_own").cast("array<int>"), F.col("_next")).alias("near_next"))
