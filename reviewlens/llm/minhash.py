@@ -9,9 +9,10 @@ estimate drops hopeless ones, and the shingle sets themselves decide: a link is
 a Jaccard similarity of distinct shingles of 0.8 or more.
 
 Equal texts are one node from the start.  In a band's bucket every member meets
-three hubs; pairs of members that the links found so far don't already connect
-are compared all.  So members of one class are not paired off, and no link
-between classes is lost.
+three hubs; members that the links found so far don't already connect are
+compared all with all, in blocks where the bucket is large, and only pairs whose
+registers agree leave a block.  So members of one class are not paired off, and
+no proposed link between classes is left out.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +33,9 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS = 25
 ROWS = 5                    # 25 bands of 5: a pair at 0.8 shares a band with probability 0.99995
-SLACK = 0.2                 # a pair is dropped below an estimate of 0.6: 5 standard deviations under 0.8
+SLACK = 0.12                # a pair is dropped below an estimate of 0.68: 3.4 standard deviations under 0.8
+SMALL = 32                  # members of a bucket that a plain join pairs off
+BLOCK = 512                 # members of a larger bucket compared in one task with as many others
 
 
 def signatures(h: np.ndarray, row: np.ndarray, weight: np.ndarray, n: int, registers: int) -> np.ndarray:
@@ -97,6 +101,34 @@ def _hopeful(pairs: DataFrame, sigs: DataFrame, registers: int, similarity: floa
             .filter(equal >= int(registers * (similarity - SLACK))).select("a", "b"))
 
 
+def _across(state: DataFrame, sigs: DataFrame, registers: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of members (band, id, c, n) in different classes whose
+    registers agree often enough.  A bucket is dealt in blocks of ``BLOCK``
+    members, two blocks to a task, and only such pairs leave it."""
+    least = int(registers * (similarity - SLACK))
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id")
+        one, two = rows[rows["own"] == key[1]], rows[rows["own"] == key[2]]
+        if not len(one) or not len(two):
+            return pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64")})
+        x, y = np.stack(one["sig"].to_numpy()), np.stack(two["sig"].to_numpy())
+        same = np.zeros((len(x), len(y)), np.int16)
+        for r in range(registers):
+            same += x[:, r, None] == y[None, :, r]
+        i, j = np.nonzero((same >= least) & (one["c"].to_numpy()[:, None] != two["c"].to_numpy()[None, :]))
+        a, b = one["id"].to_numpy()[i], two["id"].to_numpy()[j]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    blocks = F.ceil(F.col("n") / BLOCK)
+    dealt = (state.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("id", "band"), blocks)})
+             .select("band", "id", "c", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+             .join(sigs.select("id", "sig"), "id")
+             .select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                     "id", "c", "own", "sig"))
+    return dealt.groupBy("band", "i", "j").applyInPandas(run, "a long, b long").distinct()
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """Pairs whose sets of distinct shingles have the Jaccard similarity asked for.
 
@@ -138,15 +170,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     band = F.explode(F.array(*[F.xxhash64(F.lit(b), *[F.get("sig", F.lit(b * rows + r)) for r in range(rows)])
                                for b in range(bands)]))
     spread = nodes.select("id", band.alias("band"))
-    mixed = F.struct(F.xxhash64("id"), "id")
-    hubs = (spread.groupBy("band").agg(F.min("id").alias("h1"), F.max("id").alias("h2"), F.min(mixed).alias("h3"))
-            .filter("h1 < h2").select("band", F.array_distinct(F.array("h1", "h2", "h3.id")).alias("hubs")))
-    members = saved(spread.join(hubs, "band"), "members")
+    # a text in the middle of its group shares buckets with most of it: the best hub
+    sizes = spread.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    crowd = saved(spread.join(sizes, "band"), "crowd")
+    middle = crowd.groupBy("id").agg(F.sum("n").alias("m"))
+    members = saved(crowd.join(middle, "id").select("band", "id", "m"), "members")
+    hubs = members.groupBy("band").agg(F.max(F.struct("m", "id")).alias("h1"), F.min("id").alias("h2"),
+                                       F.min(F.struct(F.xxhash64("id"), "id")).alias("h3")) \
+        .select("band", F.array_distinct(F.array("h1.id", "h2", "h3.id")).alias("hubs"))
 
     def pairs(df: DataFrame) -> DataFrame:
         return df.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
-    near = pairs(members.select(F.col("id").alias("x"), F.explode("hubs").alias("y")))
+    near = pairs(members.join(hubs, "band").select(F.col("id").alias("x"), F.explode("hubs").alias("y")))
     near = saved(_hopeful(near, sigs, registers, similarity), "near")
     links = saved(_verified(near, base, words, similarity), "links")
     # what the hubs left unconnected: pairs of members in different classes
@@ -155,10 +191,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
              .select("band", "id", F.coalesce("component", "id").alias("c")))
     loose = state.groupBy("band").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 < c2").select("band")
     state = saved(state.join(loose, "band", "left_semi"), "loose")
-    rest = (state.withColumnsRenamed({"id": "x", "c": "cx"}).join(
-        state.withColumnsRenamed({"id": "y", "c": "cy"}), "band").filter("x < y and cx <> cy"))
-    rest = pairs(rest).join(near, ["a", "b"], "left_anti")   # the hubs' pairs are settled
-    rest = saved(_hopeful(rest, sigs, registers, similarity), "rest")
+    counts = state.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+    state = state.join(counts, "band")
+    small = state.filter(F.col("n") <= SMALL).select("band", "id", "c")
+    rest = (small.withColumnsRenamed({"id": "x", "c": "cx"}).join(
+        small.withColumnsRenamed({"id": "y", "c": "cy"}), "band").filter("x < y and cx <> cy"))
+    rest = _hopeful(pairs(rest).join(near, ["a", "b"], "left_anti"), sigs, registers, similarity)
+    large = _across(state.filter(F.col("n") > SMALL), sigs, registers, similarity)
+    rest = saved(rest.unionByName(large.join(near, ["a", "b"], "left_anti")).distinct(), "rest")
     if not rest.isEmpty():
         links = links.unionByName(_verified(rest, base, words, similarity))
         class_of = saved(components(links), "classes")
