@@ -33,8 +33,9 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS = 25
 ROWS = 5                    # 25 bands of 5: a pair at 0.8 shares a band with probability 0.99995
-SLACK = 0.12                # a pair is dropped below an estimate of 0.68: 3.4 standard deviations under 0.8
+SLACK = 0.14                # a pair is dropped below an estimate of 0.66: 4 standard deviations under 0.8
 SMALL = 32                  # members of a bucket that a plain join pairs off
+_BAND_BITS = 8              # up to 256 bands
 BLOCK = 512                 # members of a larger bucket compared in one task with as many others
 
 
@@ -101,7 +102,7 @@ def _hopeful(pairs: DataFrame, sigs: DataFrame, registers: int, similarity: floa
             .filter(equal >= int(registers * (similarity - SLACK))).select("a", "b"))
 
 
-def _across(state: DataFrame, sigs: DataFrame, registers: int, similarity: float) -> DataFrame:
+def _across(state: DataFrame, sigs: DataFrame, bands: int, registers: int, similarity: float) -> DataFrame:
     """Pairs (a, b) of members (band, id, c, n) in different classes whose
     registers agree often enough.  A bucket is dealt in blocks of ``BLOCK``
     members, two blocks to a task, and only such pairs leave it."""
@@ -117,7 +118,10 @@ def _across(state: DataFrame, sigs: DataFrame, registers: int, similarity: float
         for r in range(registers):
             same += x[:, r, None] == y[None, :, r]
         i, j = np.nonzero((same >= least) & (one["c"].to_numpy()[:, None] != two["c"].to_numpy()[None, :]))
-        a, b = one["id"].to_numpy()[i], two["id"].to_numpy()[j]
+        # a pair that shares several bands leaves only the first one's bucket
+        first = (x[i] == y[j]).reshape(len(i), bands, -1).all(2).argmax(1)
+        here = first == (key[0] & ((1 << _BAND_BITS) - 1))
+        a, b = one["id"].to_numpy()[i[here]], two["id"].to_numpy()[j[here]]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     blocks = F.ceil(F.col("n") / BLOCK)
@@ -167,8 +171,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
                   .join(reps.withColumnRenamed("sha", "_sha"), (F.col("sha") == F.col("_sha")) & (F.col("id") == F.col("rep")))
                   .groupBy("id", "sha").agg(F.first("sig").alias("sig")), "nodes")
     sigs = nodes.groupBy("id").agg(F.min("sig").alias("sig"))
-    band = F.explode(F.array(*[F.xxhash64(F.lit(b), *[F.get("sig", F.lit(b * rows + r)) for r in range(rows)])
-                               for b in range(bands)]))
+    band = F.explode(F.array(*[                      # the low bits hold the band's number
+        F.shiftleft(F.xxhash64(*[F.get("sig", F.lit(b * rows + r)) for r in range(rows)]), _BAND_BITS) + b
+        for b in range(bands)]))
     spread = nodes.select("id", band.alias("band"))
     # a text in the middle of its group shares buckets with most of it: the best hub
     sizes = spread.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -197,7 +202,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     rest = (small.withColumnsRenamed({"id": "x", "c": "cx"}).join(
         small.withColumnsRenamed({"id": "y", "c": "cy"}), "band").filter("x < y and cx <> cy"))
     rest = _hopeful(pairs(rest).join(near, ["a", "b"], "left_anti"), sigs, registers, similarity)
-    large = _across(state.filter(F.col("n") > SMALL), sigs, registers, similarity)
+    large = _across(state.filter(F.col("n") > SMALL), sigs, bands, registers, similarity)
     rest = saved(rest.unionByName(large.join(near, ["a", "b"], "left_anti")).distinct(), "rest")
     if not rest.isEmpty():
         links = links.unionByName(_verified(rest, base, words, similarity))
