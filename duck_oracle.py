@@ -14,15 +14,18 @@ def _list(values) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
-STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+# the white space of Unicode; the engine's own class is ASCII
+WS = "[\\s\\pZ\\x{85}\\x0B]"
+STRIP = "regexp_replace({x}, '^" + WS.replace("{", "{{").replace("}", "}}") + "+|" \
+    + WS.replace("{", "{{").replace("}", "}}") + "+$', '', 'g')"
 
 
 def _strip(x: str) -> str:
     return STRIP.format(x=x)
 
 
-CORE = _strip("regexp_replace(regexp_replace(owner_reply, '^業主回應\\s*', ''), "
-              "'^\\d+\\s*(年|個月|週|天)前', '')")
+CORE = _strip(f"regexp_replace(regexp_replace(owner_reply, '^業主回應{WS}*', ''), "
+              f"'^\\pN+{WS}*(年|個月|週|天)前', '')")
 
 REVIEWS = f"reviews AS ({A.REVIEWS_SQL})"
 CLEANED = f"""cleaned AS (

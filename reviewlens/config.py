@@ -32,14 +32,16 @@ VERB_TAGS = (
 # Tag given to a word whose label is unknown or missing.
 UNKNOWN_TAG = "X"
 # Owner-reply header and relative-age prefix removed before the echo test.
-REPLY_HEADER_RE = r"^業主回應\s*"
-REPLY_AGE_RE = r"^\d+\s*(年|個月|週|天)前"
+REPLY_HEADER_RE = r"(?U)^業主回應\s*"
+REPLY_AGE_RE = r"(?U)^\d+\s*(年|個月|週|天)前"
 # Marker of the review-list API in captured response URLs.
 REVIEW_API_MARKER = "listugcposts"
 # Anti-hijacking prefix of captured API bodies.
 JSON_GUARD_PREFIX = ")]}'"
 # Smallest plausible post timestamp (epoch microseconds).
 MIN_POST_MICROS = 1_400_000_000_000_000
+# First timestamp that no zone writes with a four-digit year any more (a day before the year 10000).
+MAX_POST_MICROS = 253_402_214_400_000_000
 # Rating buckets of the histogram, highest first.
 RATING_BUCKETS = (5, 4, 3, 2, 1)
 # --- end of fixed values ----------------------------------------------------

@@ -9,4 +9,4 @@ from reviewlens.functions.text import (canonical_url, chart_label,  # noqa: F401
                                        lexical_words, ngrams, parse_rating,
                                        pick_text, reply_core, review_url,
                                        slugify, substring_count, token_words,
-                                       tokenize, truncate, ustrip)
+                                       tokenize, ustrip)

@@ -26,7 +26,7 @@ KANA_CLASS = r"[\x{3040}-\x{309F}\x{30A0}-\x{30FF}]"
 HANGUL_CLASS = r"[\x{AC00}-\x{D7AF}]"
 # Latin letters, Latin-1 letters, the whitespace of a browser regex, ASCII
 # digits and the listed punctuation.
-EN_CLASS = (r"[a-zA-Z\x{C0}-\x{FF}\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}"
+EN_CLASS = (r"[a-zA-ZÀ-ÿ\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}"
             r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}0-9.,!?'\"()\-:;]")
 # CJK block kept in chart labels besides word characters and whitespace.
 CJK_RANGE = r"\x{4E00}-\x{9FFF}"
@@ -53,7 +53,7 @@ def has_text(c) -> Column:
 
 def slugify(c) -> Column:
     """Non-word characters to ``_``, strip ``_``, lower-case, first 30 chars."""
-    x = F.regexp_replace(_c(c), r"(?U)[^\w]", "_")
+    x = F.regexp_replace(_c(c), r"[^\p{L}\p{N}_]", "_")
     x = F.regexp_replace(x, r"^_+|_+$", "")
     return F.left(F.lower(x), F.lit(30))
 
@@ -127,7 +127,7 @@ def is_reply_echo(text, reply) -> Column:
 
 def chart_label(c) -> Column:
     """Keep word chars, whitespace and CJK; strip; ``?`` when nothing is left."""
-    x = ustrip(F.regexp_replace(_c(c), r"(?U)[^\w\s" + CJK_RANGE + "]", ""))
+    x = ustrip(F.regexp_replace(_c(c), r"(?U)[^\p{L}\p{N}_\s" + CJK_RANGE + "]", ""))
     return F.when(x == "", F.lit("?")).otherwise(x)
 
 
@@ -138,11 +138,6 @@ def substring_count(text, word) -> Column:
     return ((F.length(t) - F.length(F.replace(t, w, F.lit("")))) / F.length(w)).cast("long")
 
 
-def truncate(c, n: int = 510) -> Column:
-    """First ``n`` code points."""
-    return F.substring(_c(c), 1, n)
-
-
 def tokenize(c, lower: bool = False) -> Column:
     """Default lexical tokenizer: maximal runs of letters, in order."""
     t = _c(c)

@@ -129,14 +129,15 @@ def keyword_counts(reviews: DataFrame, words, lower: bool = False) -> DataFrame:
 def neg_ratio(reviews: DataFrame, base_slug: str, max_neg: int = 2) -> DataFrame:
     """(slug, neg_rate_pct, base_rate_pct, ratio): negative rate relative to a base store.
 
-    The base rate is a scalar subquery (one value), not a join.
+    The base rate is a scalar subquery (one value), not a join.  The ratio is
+    NULL when the base store has no negative review.
     """
     rates = reviews.groupBy("slug").agg(
         (F.count_if(is_negative(max_neg)) / F.count("*") * 100).alias("rate"))
     base = rates.where(F.col("slug") == base_slug).select("rate").scalar()
     return rates.select("slug", F.round("rate", 4).alias("neg_rate_pct"),
                         F.round(base, 4).alias("base_rate_pct"),
-                        F.round(F.col("rate") / base, 4).alias("ratio"))
+                        F.round(F.try_divide(F.col("rate"), base), 4).alias("ratio"))
 
 
 def shared_neg_words(neg_words: DataFrame) -> DataFrame:

@@ -36,7 +36,12 @@ def ordinal(df: DataFrame, keys: list[str], order: list[tuple[str, bool]], name:
     sizes = x.groupBy(*keys, "_piece").agg(F.count("*").alias("_size"))
     before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_off", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
-    return (local.join(offsets, [*keys, "_piece"])
+    # null keys are groups too, as they are for row_number()
+    offsets = offsets.withColumnsRenamed({k: f"_o_{k}" for k in keys} | {"_piece": "_o_piece"})
+    same = F.col("_piece") == F.col("_o_piece")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_o_{k}"))
+    return (local.join(offsets, same).drop("_o_piece", *[f"_o_{k}" for k in keys])
             .withColumn(name, (F.col("_off") + F.col("_local")).cast("long"))
             .drop("_piece", "_local", "_off"))
 
@@ -46,7 +51,8 @@ def match_dates(reviews: DataFrame, posts: DataFrame) -> DataFrame:
 
     Matching is per store and name.  Posts are ordered by timestamp
     descending, equal timestamps by capture order; surplus reviews or posts
-    stay unmatched (the review's ``date_abs``/``timestamp_us`` are NULL).
+    stay unmatched (the review's ``date_abs``/``timestamp_us`` are NULL), as do
+    reviews without a name or store.
     Repeated posts are not de-duplicated.  Both sides get their ordinal with
     ``ordinal`` and meet in an equi-join on (slug, name, k), which is unique on
     both sides, so no hot name can skew it.

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
 from reviewlens.config import UNKNOWN_TAG
+from reviewlens.session import ship_package
 
 
 def _c(c) -> Column:
@@ -48,7 +49,7 @@ def _start_entries(t: Column, lab: Column, tags: Column | None = None) -> Column
     m = _span(t, lab)
     cols = [F.sequence(F.lit(0), m - 1).alias("i"), F.slice(lab, 2, m).alias("w")]
     if tags is not None:
-        cols.append(F.slice(tags, 2, F.least(m, F.size(tags) - 2)).alias("g"))
+        cols.append(F.slice(tags, 2, F.greatest(F.least(m, F.size(tags) - 2), F.lit(0))).alias("g"))
     z = F.arrays_zip(*cols)
     return F.when(m > 0, F.filter(z, lambda e: (e["i"] == 0) | (e["w"] == 0)))
 
@@ -145,8 +146,16 @@ def explode_tokens(tokens: DataFrame, col: str = "tokens") -> DataFrame:
 
 # --- scoring hook -------------------------------------------------------------
 
-def _chunks(text: str, max_len: int) -> list[str]:
-    return [text[i:i + max_len] for i in range(0, len(text), max_len)] or [""]
+def _windows(n: int, max_len: int) -> list[tuple[int, int, int]]:
+    """(start, from, to): windows of ``max_len`` characters that overlap by half,
+    and the characters that each one labels: those nearer to its middle than to
+    any other window's."""
+    if n <= max_len:
+        return [(0, 0, n)]
+    half = max_len // 2
+    starts = [*range(0, n - max_len, max(1, max_len - half)), n - max_len]
+    cuts = [0, *[(b + a + max_len + 1) // 2 for a, b in zip(starts, starts[1:])], n]
+    return list(zip(starts, cuts, cuts[1:]))
 
 
 def score_labels(df: DataFrame, loader: Callable[[], Callable[[list[str]], list[list[int]]]],
@@ -157,10 +166,16 @@ def score_labels(df: DataFrame, loader: Callable[[], Callable[[list[str]], list[
     ``loader()`` is called once per Python worker and returns a function that
     maps a batch of strings (each at most ``max_len`` characters) to label
     lists with a start-marker and end-marker prediction around the character
-    predictions.  Long texts are scored window by window so every character
-    gets a label; the result is one array of len(text) + 2 labels.
+    predictions.  Long texts are scored in windows that overlap by half, and a
+    character takes its label from the window in which it stands furthest from
+    an edge, so no word is cut where a window ends; ``max_len`` must be 3 or
+    more.  The result is one array of len(text) + 2 labels.
     Rows travel to Python as Arrow batches (iterator pandas UDF).
     """
+    if max_len < 3:
+        raise ValueError("max_len must be at least 3")
+    ship_package(df.sparkSession)
+
     @F.pandas_udf(TY.ArrayType(TY.IntegerType()))
     def _score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = loader()
@@ -168,19 +183,19 @@ def score_labels(df: DataFrame, loader: Callable[[], Callable[[list[str]], list[
             texts = ["" if t is None else str(t) for t in s]
             pieces, owner = [], []
             for row, t in enumerate(texts):
-                for c in _chunks(t, max_len):
-                    pieces.append(c)
-                    owner.append(row)
+                for start, lo, hi in _windows(len(t), max_len):
+                    pieces.append(t[start:start + max_len])
+                    owner.append((row, lo - start, hi - start))
             preds: list[list[int]] = []
             for i in range(0, len(pieces), batch_size):
                 preds.extend(model(pieces[i:i + batch_size]))
             merged: list[list[int]] = [[] for _ in texts]
             first: list[int | None] = [None] * len(texts)
             last: list[int | None] = [None] * len(texts)
-            for row, p in zip(owner, preds):
+            for (row, lo, hi), p in zip(owner, preds):
                 if first[row] is None:
                     first[row] = p[0]
-                merged[row].extend(p[1:-1])
+                merged[row].extend(p[1 + lo:1 + hi])
                 last[row] = p[-1]
             yield pd.Series([[first[r]] + merged[r] + [last[r]] for r in range(len(texts))])
 

@@ -17,23 +17,33 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
 
-# reviews: one review per document; store = source, scrape position = doc_id.
+# reviews: one review per document with its whole text; store = source, scrape
+# position = doc_id.  Reviews without text or name and replies that echo the
+# review (after a plain, ideographic or no-break space) are extra rows at
+# negative positions.
 REVIEWS_SQL = """
-SELECT d.source AS slug, d.doc_id AS pos,
-  concat('u', cast(d.doc_id % 19 AS string)) AS name,
-  cast(CASE WHEN d.doc_id % 41 = 0 THEN 0 WHEN l.toxic = 1 THEN 1
-            WHEN l.quality = 0 THEN 2 ELSE 3 + d.doc_id % 3 END AS int) AS rating,
-  CASE WHEN d.doc_id % 7 = 6 THEN '' ELSE d.text END AS text,
-  CASE WHEN d.doc_id % 11 = 3 AND d.doc_id % 3 = 0
-       THEN concat('translated ', substring(d.text, 1, 40)) ELSE '' END AS text_translated,
-  d.lang AS lang,
-  concat(cast(1 + d.doc_id % 11 AS string), ' 個月前') AS date,
-  CASE WHEN d.doc_id % 11 = 3 THEN concat('業主回應 3 個月前', d.text)
-       WHEN d.doc_id % 11 = 5 THEN '業主回應 2 週前感謝您的支持' ELSE '' END AS owner_reply,
-  cast(d.doc_id % 3 AS int) AS photos,
-  CASE WHEN d.doc_id % 13 = 0 THEN NULL
-       ELSE cast(date '2022-01-01' + cast((d.doc_id * 37) % 499 AS int) AS string) END AS date_abs
-FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+WITH base AS (
+  SELECT d.doc_id, d.source AS slug, concat('u', cast(d.doc_id % 19 AS string)) AS name,
+    cast(CASE WHEN d.doc_id % 41 = 0 THEN 0 WHEN l.toxic = 1 THEN 1
+              WHEN l.quality = 0 THEN 2 ELSE 3 + d.doc_id % 3 END AS int) AS rating,
+    d.text, d.lang, concat(cast(1 + d.doc_id % 11 AS string), ' 個月前') AS date,
+    CASE WHEN d.doc_id % 11 = 5 THEN '業主回應 2 週前感謝您的支持' ELSE '' END AS owner_reply,
+    cast(d.doc_id % 3 AS int) AS photos,
+    CASE WHEN d.doc_id % 13 = 0 THEN NULL
+         ELSE cast(date '2022-01-01' + cast((d.doc_id * 37) % 499 AS int) AS string) END AS date_abs
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
+SELECT slug, doc_id AS pos, name, rating, text, '' AS text_translated, lang, date, owner_reply, photos, date_abs
+FROM base
+UNION ALL
+SELECT slug, -1 - 3 * doc_id, CASE WHEN doc_id % 2 = 0 THEN name END, rating, '', '', lang, date, owner_reply,
+  photos, date_abs
+FROM base WHERE doc_id % 7 = 6
+UNION ALL
+SELECT slug, -2 - 3 * doc_id, name, rating, text,
+  CASE WHEN doc_id % 3 = 0 THEN concat('translated ', text) ELSE '' END, lang, date,
+  concat('業主回應', CASE doc_id % 3 WHEN 0 THEN ' ' WHEN 1 THEN '\u3000' ELSE '\u00a0' END, '3 個月前', text),
+  photos, date_abs
+FROM base WHERE doc_id % 11 = 3
 """
 
 # posts: review-list API posts (purchase events); name pool u0..u16, so the
@@ -89,21 +99,21 @@ FROM documents d
 FIXTURE_ID2LABEL = {0: "Na", 1: "VC", 2: "Nh", 3: "Nc", 4: "D", 5: "VH", 6: "PERIODCATEGORY",
                     7: "COMMACATEGORY", 8: "P", 9: "Neu", 10: "Nf", 11: "DE", 12: "VA"}
 
-# cards: rating label and text blocks of a review card, per document.
+# cards: rating label and text blocks of a review card, per document; cards
+# without a block are extra rows.
 CARDS_SQL = """
 SELECT d.source AS slug, d.doc_id AS pos,
   CASE WHEN d.doc_id % 41 = 0 THEN 'none'
        ELSE concat(cast(1 + d.doc_id % 5 AS string), CASE WHEN d.doc_id % 2 = 0 THEN '.5' ELSE '' END, ' 顆星') END AS aria,
-  CASE d.doc_id % 4 WHEN 0 THEN {empty} WHEN 1 THEN {one}
-       WHEN 2 THEN {two_a} ELSE {two_b} END AS blocks
+  CASE d.doc_id % 3 WHEN 0 THEN {one} WHEN 1 THEN {two_a} ELSE {two_b} END AS blocks
 FROM documents d
+UNION ALL
+SELECT d.source, -1 - d.doc_id, 'none', {empty} FROM documents d WHERE d.doc_id % 4 = 0
 """
 SPARK_CARD_BLOCKS = dict(empty="array()", one="array(d.text)",
-                         two_a="array(concat('translated ', substring(d.text, 1, 30)), d.text)",
-                         two_b="array(substring(d.text, 1, 30), '')")
+                         two_a="array(concat('translated ', d.text), d.text)", two_b="array(d.text, '')")
 DUCK_CARD_BLOCKS = dict(empty="[]::VARCHAR[]", one="[d.text]",
-                        two_a="[concat('translated ', substring(d.text, 1, 30)), d.text]",
-                        two_b="[substring(d.text, 1, 30), '']")
+                        two_a="[concat('translated ', d.text), d.text]", two_b="[d.text, '']")
 
 # places: what resolving a short link yields: page title, address label and
 # the final URL (place path segments, sometimes an ``?entry=`` tail).

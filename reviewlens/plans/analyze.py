@@ -190,5 +190,5 @@ def write_analysis(reviews: DataFrame, root: str, cfg: AnalysisConfig = DEFAULT,
     }
     for n in cfg.ngram_sizes:
         tables[CHART_NAMES[n]] = parts["bm25"].where(F.col("n") == n).drop("n", "score_raw")
-    write_results(tables, root, fmt)
+    write_results(tables, root, fmt, reviews.select("slug").distinct())
     return tables

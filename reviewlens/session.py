@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,9 +52,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
         master = spark.sparkContext.master
-        if not master.startswith("local"):
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        d = tempfile.mkdtemp(prefix="reviewlens-ckpt-")
+        d = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "checkpoints")
         try:
             spark.conf.set("spark.checkpoint.dir", d)
         except Exception:  # noqa: BLE001 - core confs may be read-only at runtime
@@ -73,9 +74,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder for written tables."""
-    return os.path.join(checkpoint_dir(spark), name)
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers (once per context).
+
+    Functions are pickled by module name, so the workers must be able to
+    import the package wherever the driver was started from.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_reviewlens_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.basename(root)
+    # the zip is the driver's own copy: addPyFile serves it to the executors
+    out = os.path.join(tempfile.mkdtemp(prefix="ship-"), f"{name}_{sc.applicationId}.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for d, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    p = os.path.join(d, f)
+                    z.write(p, os.path.join(name, os.path.relpath(p, root)))
+    sc.addPyFile(out)
+    sc._reviewlens_shipped = True
 
 
 def balance(df: DataFrame) -> DataFrame:

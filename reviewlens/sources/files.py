@@ -38,6 +38,13 @@ def _review_files(spark: SparkSession, root: str) -> DataFrame:
             .load(os.path.join(root, "*")))
 
 
+def _parsed():
+    """The file's array; a file that is no such array (cut short, a rating that
+    is no integer) fails the job instead of passing for an empty store."""
+    rows = F.from_json(F.decode("content", "UTF-8"), T.ArrayType(REVIEW_FIELDS), {"mode": "FAILFAST"})
+    return F.coalesce(rows, F.raise_error(F.concat(F.lit("no review array in "), F.col("path"))))
+
+
 def read_reviews_json(spark: SparkSession, root: str) -> DataFrame:
     """All ``<root>/<slug>/reviews.json`` files as one ``reviews`` table.
 
@@ -45,7 +52,7 @@ def read_reviews_json(spark: SparkSession, root: str) -> DataFrame:
     """
     files = _review_files(spark, root).select(
         F.regexp_extract("path", SLUG_FROM_PATH, 1).alias("slug"),
-        F.from_json(F.decode("content", "UTF-8"), T.ArrayType(REVIEW_FIELDS)).alias("rows"))
+        _parsed().alias("rows"))
     return (files.select("slug", F.posexplode_outer("rows").alias("pos", "r"))
             .where(F.col("pos").isNotNull())
             .select("slug", F.col("pos").cast("long").alias("pos"), "r.*"))
@@ -59,8 +66,7 @@ def list_stores(spark: SparkSession, root: str) -> DataFrame:
     """
     files = _review_files(spark, root).select(
         F.regexp_extract("path", SLUG_FROM_PATH, 1).alias("slug"),
-        F.coalesce(F.size(F.from_json(F.decode("content", "UTF-8"), T.ArrayType(REVIEW_FIELDS))),
-                   F.lit(0)).alias("reviews"))
+        F.coalesce(F.size(_parsed()), F.lit(0)).alias("reviews"))
     return files.where(F.col("slug") != "").orderBy("slug")
 
 
@@ -75,19 +81,61 @@ def write_reviews(reviews: DataFrame, path: str, fmt: str = "parquet") -> None:
      .partitionBy("slug").format(fmt).save(path))
 
 
+def merge_reviews(new: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Add reviews to the table at ``path``; (slug, pos) is a review's identity.
+
+    The stores of ``new`` are read, merged and staged beside the table, then
+    their partitions are replaced, so a store keeps its older reviews, a
+    replayed batch changes nothing, and a failed run leaves the table as it was.
+    """
+    spark = new.sparkSession
+    rows = new.dropDuplicates(["slug", "pos"])
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(p):
+        old = read_reviews(spark, path, fmt).join(new.select("slug").distinct(), "slug", "left_semi")
+        old = old.join(rows.select("slug", "pos"), ["slug", "pos"], "left_anti")
+        rows = rows.unionByName(old.select(*rows.columns))
+    staged = path.rstrip("/") + ".staged"
+    rows.write.mode("overwrite").format(fmt).save(staged)
+    write_reviews(spark.read.format(fmt).load(staged), path, fmt)
+    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(staged), True)
+
+
 def read_reviews(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Read a table written by ``write_reviews``."""
     return spark.read.format(fmt).load(path)
 
 
-def write_results(tables: dict[str, DataFrame], root: str, fmt: str = "json") -> None:
+def _drop_stale(df: DataFrame, stores: DataFrame, path: str) -> None:
+    """Delete the partitions of re-analysed ``stores`` that ``df`` has no rows for."""
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    p = hadoop.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return
+    gone = stores.select(F.col("slug").cast("string")).distinct().join(
+        df.select(F.col("slug").cast("string")), "slug", "left_anti")
+    for r in gone.toLocalIterator():                 # names only, one partition at a time
+        part = hadoop.Path(p, "slug=" + spark._jvm.org.apache.spark.sql.catalyst.catalog
+                           .ExternalCatalogUtils.escapePathName(r.slug)) if r.slug is not None else None
+        if part is not None:
+            fs.delete(part, True)
+
+
+def write_results(tables: dict[str, DataFrame], root: str, fmt: str = "json",
+                  stores: DataFrame | None = None) -> None:
     """Write each result table to ``<root>/<name>/slug=<slug>/``.
 
     JSON output keeps non-ASCII text as is (UTF-8).  Dynamic partition
-    overwrite replaces only the stores present in each table.
+    overwrite replaces only the stores present in each table; of the analysed
+    ``stores``, those without rows in a table lose their old partition there.
     """
     for name, df in tables.items():
         w = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         if "slug" in df.columns:
             w = w.partitionBy("slug")
         w.format(fmt).save(os.path.join(root, name))
+        if stores is not None and "slug" in df.columns:
+            _drop_stale(df, stores, os.path.join(root, name))

@@ -12,6 +12,8 @@ from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
 
+from reviewlens.session import ship_package
+
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
         "source", "track", "wbr"}
 
@@ -120,4 +122,5 @@ def extract_cards(pages: DataFrame, card: str, fields: dict[str, str],
                     rows.append({key: k, "card": i, **c})
             yield pd.DataFrame(rows, columns=cols)
 
+    ship_package(pages.sparkSession)
     return pages.select(key, html).mapInPandas(run, schema)

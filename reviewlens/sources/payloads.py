@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.config import JSON_GUARD_PREFIX, MIN_POST_MICROS, REVIEW_API_MARKER
+from reviewlens.config import JSON_GUARD_PREFIX, MAX_POST_MICROS, MIN_POST_MICROS, REVIEW_API_MARKER
 from reviewlens.functions.dates import micros_to_date
 from reviewlens.functions.text import ustrip
 
@@ -25,7 +25,7 @@ def parse_payload(body) -> Column:
     """Body -> VARIANT; drops the anti-hijacking prefix; NULL when not JSON."""
     b = F.col(body) if isinstance(body, str) else body
     cleaned = F.when(b.startswith(JSON_GUARD_PREFIX),
-                     ustrip(F.substring(b, len(JSON_GUARD_PREFIX) + 1, 1 << 30))).otherwise(b)
+                     ustrip(F.substr(b, F.lit(len(JSON_GUARD_PREFIX) + 1)))).otherwise(b)
     return F.try_parse_json(cleaned)
 
 
@@ -34,7 +34,7 @@ def explode_posts(payloads: DataFrame, tz: str = "UTC") -> DataFrame:
 
     Posts are element 2 of the top-level array.  A post is skipped when its
     timestamp or name path is missing, or its timestamp is not a number above
-    the plausibility threshold; a JSON-null name becomes ''.  ``arrival`` is
+    the plausibility threshold and before the year 10000; a JSON-null name becomes ''.  ``arrival`` is
     the capture order of the response, ``seq`` the post's index inside it.
     """
     v = payloads.select("slug", "arrival", parse_payload("body").alias("v"))
@@ -45,7 +45,7 @@ def explode_posts(payloads: DataFrame, tz: str = "UTC") -> DataFrame:
     kind = F.schema_of_variant(ts_v)
     ts = (F.when(kind.isin(*INTEGRAL), F.try_variant_get("post", TS_PATH, "long"))
           .when(kind.startswith("DECIMAL") | (kind == "DOUBLE") | (kind == "FLOAT"),
-                F.try_variant_get("post", TS_PATH, "double").cast("long")))
+                F.try_variant_get("post", TS_PATH, "double").try_cast("long")))
     ts_d = (F.when(kind.isin(*INTEGRAL), F.try_variant_get("post", TS_PATH, "double"))
             .when(kind.startswith("DECIMAL") | (kind == "DOUBLE") | (kind == "FLOAT"),
                   F.try_variant_get("post", TS_PATH, "double")))
@@ -53,6 +53,7 @@ def explode_posts(payloads: DataFrame, tz: str = "UTC") -> DataFrame:
     x = posts.select("slug", "arrival", "seq", ts.alias("timestamp_us"), ts_d.alias("ts_d"),
                      name_v.alias("name_v"),
                      F.coalesce(F.try_variant_get("post", NAME_PATH, "string"), F.lit("")).alias("name"))
-    x = x.where(F.col("name_v").isNotNull() & (F.col("ts_d") > F.lit(float(MIN_POST_MICROS))))
+    x = x.where(F.col("name_v").isNotNull() & (F.col("ts_d") > F.lit(float(MIN_POST_MICROS)))
+                & (F.col("timestamp_us") < F.lit(MAX_POST_MICROS)))
     return x.select("slug", "name", micros_to_date(F.col("timestamp_us"), tz).alias("date_abs"),
                     "timestamp_us", "arrival", "seq")

@@ -10,11 +10,10 @@ overwrite), so results always describe whole stores.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from reviewlens.config import DEFAULT, AnalysisConfig
 from reviewlens.plans.analyze import write_analysis
-from reviewlens.sources.files import REVIEWS_COLUMNS, read_reviews, write_reviews
+from reviewlens.sources.files import REVIEWS_COLUMNS, merge_reviews, read_reviews
 
 
 def review_stream(spark: SparkSession, incoming: str, schema: str) -> DataFrame:
@@ -27,13 +26,14 @@ def run_incremental(spark: SparkSession, incoming: str, table: str, results: str
                     once: bool = True):
     """Append arriving reviews to ``table`` and re-analyze the touched stores.
 
-    ``checkpoint`` must be on shared storage; the query is restartable and the
-    per-store overwrite makes a replayed batch harmless.
+    ``checkpoint`` must be on shared storage.  A batch is merged into the table
+    by (slug, pos), so older reviews of a store stay and a replayed batch is
+    harmless.
     """
     def batch(df: DataFrame, epoch: int) -> None:
         if df.isEmpty():
             return
-        write_reviews(df.select(*REVIEWS_COLUMNS), table)
+        merge_reviews(df.select(*REVIEWS_COLUMNS), table)
         touched = df.select("slug").distinct()
         full = read_reviews(spark, table).join(touched, "slug", "left_semi")
         write_analysis(full, results, cfg)
@@ -43,7 +43,3 @@ def run_incremental(spark: SparkSession, incoming: str, table: str, results: str
     q = q.trigger(availableNow=True) if once else q.trigger(processingTime="1 minute")
     return q.start()
 
-
-def touched_stores(df: DataFrame) -> DataFrame:
-    """Distinct stores of a batch (a small aggregate)."""
-    return df.select(F.col("slug")).distinct()
