@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import uuid
-import zipfile
 
-from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SHIPPED = "reviewlens_shipped"
+from reviewlens.session import ship_package
+
+__all__ = ["crc_class", "discard", "saved", "shared_dir", "ship_package", "table", "text_or_empty"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,30 +56,6 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers (once per context).
-
-    Functions are pickled by module name, so the workers must be able to
-    import the package wherever the driver was started from.
-    """
-    sc: SparkContext = spark.sparkContext
-    if getattr(sc, _SHIPPED, False):
-        return
-    import tempfile
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    name = os.path.basename(root)
-    # the zip is only the driver's copy: addPyFile serves it to the executors
-    out = os.path.join(tempfile.mkdtemp(prefix="ship-"), f"{name}_{sc.applicationId}.zip")
-    with zipfile.ZipFile(out, "w") as z:
-        for d, _, files in os.walk(root):
-            for f in files:
-                if f.endswith(".py"):
-                    p = os.path.join(d, f)
-                    z.write(p, os.path.join(name, os.path.relpath(p, root)))
-    sc.addPyFile(out)
-    setattr(sc, _SHIPPED, True)
-
-
 def text_or_empty(col: str = "text"):
     """The text, '' where it is null."""
     return F.coalesce(F.col(col), F.lit(""))
