@@ -24,11 +24,12 @@ from reviewlens.llm.hashing import distinct, slices, words
 
 SAMPLE = 20_000
 TERMS = 4_096
-CONTEXT = 256
+CONTEXT = 32
 LEAST_DOCS = 3
 LEAST_Z2 = 40.0             # squared z of a term's positives, so that rare words don't pass by chance
 FACTORS = 8
 EPOCHS = 12
+STEPS = 1_500               # at least, so that a small sample is learnt as far as a large one
 THRESHOLD = 0.3
 _FILTER_BITS = 22
 
@@ -76,6 +77,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, terms: int, factors: int = FACTOR
     """Logistic loss, AdaGrad, fixed seed; the penalty stands against all rows
     together.  rows: the term numbers of each text."""
     decay = ridge / len(rows)
+    epochs = max(epochs, -(-STEPS * batch // len(rows)))
     rng = np.random.default_rng(7)
     prior = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
     w0, w = float(np.log(prior / (1 - prior))), np.zeros(terms)
