@@ -119,7 +119,7 @@ def _across(state: DataFrame, sigs: DataFrame, bands: int, registers: int, simil
             same += x[:, r, None] == y[None, :, r]
         i, j = np.nonzero((same >= least) & (one["c"].to_numpy()[:, None] != two["c"].to_numpy()[None, :]))
         # a pair that shares several bands leaves only the first one's bucket
-        first = (x[i] == y[j]).reshape(len(i), bands, -1).all(2).argmax(1)
+        first = (x[i] == y[j]).reshape(len(i), bands, registers // bands).all(2).argmax(1)
         here = first == (key[0] & ((1 << _BAND_BITS) - 1))
         a, b = one["id"].to_numpy()[i[here]], two["id"].to_numpy()[j[here]]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
