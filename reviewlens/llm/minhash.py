@@ -10,9 +10,10 @@ a Jaccard similarity of distinct shingles of 0.8 or more.
 
 Equal texts are one node from the start.  In a band's bucket every member meets
 three hubs; members that the links found so far don't already connect are
-compared all with all, in blocks where the bucket is large, and only pairs whose
-registers agree leave a block.  So members of one class are not paired off, and
-no proposed link between classes is left out.
+compared all with all.  Where the bucket is large, that happens in blocks, which
+also hold the shingle sets of members whose registers agree, so that only links
+leave a block.  So members of one class are not paired off, and no proposed link
+between classes is left out.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ SLACK = 0.14                # a pair is dropped below an estimate of 0.66: 4 sta
 SMALL = 32                  # members of a bucket that a plain join pairs off
 _BAND_BITS = 8              # up to 256 bands
 BLOCK = 512                 # members of a larger bucket compared in one task with as many others
+BLOCK_SHINGLES = 2_000_000  # shingles of those members (16 MB), so that long texts make smaller blocks
+_CHUNK = 4096               # shingles compared at once
 
 
 def signatures(h: np.ndarray, row: np.ndarray, weight: np.ndarray, n: int, registers: int) -> np.ndarray:
@@ -102,35 +105,99 @@ def _hopeful(pairs: DataFrame, sigs: DataFrame, registers: int, similarity: floa
             .filter(equal >= int(registers * (similarity - SLACK))).select("a", "b"))
 
 
-def _across(state: DataFrame, sigs: DataFrame, bands: int, registers: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of members (band, id, c, n) in different classes whose
-    registers agree often enough.  A bucket is dealt in blocks of ``BLOCK``
-    members, two blocks to a task, and only such pairs leave it."""
+def _agreeing(band: int, one: pd.DataFrame, two: pd.DataFrame, bands: int, registers: int,
+              least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the pairs in different classes that agree in ``least``
+    registers, for the first band that a pair shares; other buckets skip it."""
+    x, y = np.stack(one["sig"].to_numpy()), np.stack(two["sig"].to_numpy())
+    same = np.zeros((len(x), len(y)), np.int16)
+    for r in range(registers):
+        same += x[:, r, None] == y[None, :, r]
+    hope = (same >= least) & (one["c"].to_numpy()[:, None] != two["c"].to_numpy()[None, :])
+    i, j = np.nonzero(hope & (one["id"].to_numpy()[:, None] != two["id"].to_numpy()[None, :]))
+    first = (x[i] == y[j]).reshape(len(i), bands, registers // bands).all(2).argmax(1)
+    here = first == (band & ((1 << _BAND_BITS) - 1))
+    return i[here], j[here]
+
+
+def _shared(left: list, right: list) -> np.ndarray:
+    """(left, right) counts of the values that two lists of sets have in common."""
+    def flat(sets: list) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(v) for v in sets])
+
+    (h1, r1), (h2, r2) = flat(left), flat(right)
+    common = np.intersect1d(h1, h2)
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not len(common):
+        return out
+
+    def placed(h: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        hit = common[at] == h
+        at, r = at[hit], r[hit]
+        order = np.argsort(at, kind="stable")
+        return at[order], r[order]
+
+    sides = [(*placed(h1, r1), len(left)), (*placed(h2, r2), len(right))]
+    for low in range(0, len(common), _CHUNK):
+        marks = []
+        for at, r, n in sides:
+            s, e = np.searchsorted(at, [low, low + _CHUNK])
+            m = np.zeros((n, _CHUNK), np.float32)
+            m[r[s:e], at[s:e] - low] = 1
+            marks.append(m)
+        out += marks[0] @ marks[1].T
+    return out
+
+
+def _across(state: DataFrame, sigs: DataFrame, texts: DataFrame, words: int, bands: int, registers: int,
+            similarity: float) -> DataFrame:
+    """Links (a, b) between members (band, id, c, n, total) in different classes.
+
+    A bucket is dealt in blocks of some ``BLOCK`` members and ``BLOCK_SHINGLES``
+    shingles, two blocks to a task.  A first pass names the members whose
+    registers agree with some other member's; a second pass brings those
+    members' shingle sets to the same blocks, compares the agreeing pairs there
+    and emits one link for every two classes that a block connects.  Pairs
+    that are no links never leave a task.
+    """
     least = int(registers * (similarity - SLACK))
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def sides(key: tuple, rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
         rows = rows.sort_values("id")
-        one, two = rows[rows["own"] == key[1]], rows[rows["own"] == key[2]]
+        return rows[rows["own"] == key[1]], rows[rows["own"] == key[2]]
+
+    def name(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        one, two = sides(key, rows)
+        if not len(one) or not len(two):
+            return rows.iloc[:0][["band", "i", "j", "id", "c", "own"]]
+        i, j = _agreeing(key[0], one, two, bands, registers, least)
+        at = np.union1d(one.index.to_numpy()[i], two.index.to_numpy()[j])
+        return rows.loc[at, ["band", "i", "j", "id", "c", "own"]]
+
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        one, two = sides(key, rows)
         if not len(one) or not len(two):
             return pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64")})
-        x, y = np.stack(one["sig"].to_numpy()), np.stack(two["sig"].to_numpy())
-        same = np.zeros((len(x), len(y)), np.int16)
-        for r in range(registers):
-            same += x[:, r, None] == y[None, :, r]
-        i, j = np.nonzero((same >= least) & (one["c"].to_numpy()[:, None] != two["c"].to_numpy()[None, :]))
-        # a pair that shares several bands leaves only the first one's bucket
-        first = (x[i] == y[j]).reshape(len(i), bands, registers // bands).all(2).argmax(1)
-        here = first == (key[0] & ((1 << _BAND_BITS) - 1))
-        a, b = one["id"].to_numpy()[i[here]], two["id"].to_numpy()[j[here]]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    blocks = F.ceil(F.col("n") / BLOCK)
+        i, j = _agreeing(key[0], one, two, bands, registers, least)
+        left, right = one["set"].tolist(), two["set"].tolist()
+        size = np.array([len(v) for v in left])[i] + np.array([len(v) for v in right])[j]
+        both = _shared(left, right)[i, j]
+        link = both >= similarity * (size - both)
+        found = pd.DataFrame({"a": one["id"].to_numpy()[i[link]], "b": two["id"].to_numpy()[j[link]],
+                              "ca": one["c"].to_numpy()[i[link]], "cb": two["c"].to_numpy()[j[link]]})
+        return found.drop_duplicates(["ca", "cb"])[["a", "b"]]
+
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_SHINGLES))
     dealt = (state.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("id", "band"), blocks)})
              .select("band", "id", "c", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-             .join(sigs.select("id", "sig"), "id")
-             .select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                     "id", "c", "own", "sig"))
-    return dealt.groupBy("band", "i", "j").applyInPandas(run, "a long, b long").distinct()
+             .select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "c", "own"))
+    sig = sigs.select("id", "sig")
+    named = saved(dealt.join(sig, "id").groupBy("band", "i", "j").applyInPandas(
+        name, "band long, i long, j long, id long, c long, own long"), "named")
+    sets = saved(texts.join(named.select("id").distinct(), "id", "left_semi").select("id", "text")
+                 .mapInArrow(_sets(words), "id long, set array<long>").distinct(), "block-sets")
+    return (named.join(sig, "id").join(sets, "id").groupBy("band", "i", "j").applyInPandas(compare, "a long, b long"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -167,10 +234,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     signed = saved(base.withColumn("sha", F.sha2("text", 256)).mapInArrow(
         _sign(words, registers), "id long, sha string, n long, sig array<int>"), "signed")
     reps = signed.groupBy("sha").agg(F.min("id").alias("rep"))
-    nodes = saved(signed.filter("id is not null and n > 0").select("id", "sha", "sig")
+    nodes = saved(signed.filter("id is not null and n > 0").select("id", "sha", "n", "sig")
                   .join(reps.withColumnRenamed("sha", "_sha"), (F.col("sha") == F.col("_sha")) & (F.col("id") == F.col("rep")))
-                  .groupBy("id", "sha").agg(F.first("sig").alias("sig")), "nodes")
-    sigs = nodes.groupBy("id").agg(F.min("sig").alias("sig"))
+                  .groupBy("id", "sha").agg(F.first("sig").alias("sig"), F.first("n").alias("n")), "nodes")
+    sigs = nodes.groupBy("id").agg(F.min("sig").alias("sig"), F.max("n").alias("size"))
     band = F.explode(F.array(*[                      # the low bits hold the band's number
         F.shiftleft(F.xxhash64(*[F.get("sig", F.lit(b * rows + r)) for r in range(rows)]), _BAND_BITS) + b
         for b in range(bands)]))
@@ -196,17 +263,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
              .select("band", "id", F.coalesce("component", "id").alias("c")))
     loose = state.groupBy("band").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 < c2").select("band")
     state = saved(state.join(loose, "band", "left_semi"), "loose")
-    counts = state.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+    counts = (state.join(sigs.select("id", "size"), "id").groupBy("band")
+              .agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")))
     state = state.join(counts, "band")
     small = state.filter(F.col("n") <= SMALL).select("band", "id", "c")
     rest = (small.withColumnsRenamed({"id": "x", "c": "cx"}).join(
         small.withColumnsRenamed({"id": "y", "c": "cy"}), "band").filter("x < y and cx <> cy"))
     rest = _hopeful(pairs(rest).join(near, ["a", "b"], "left_anti"), sigs, registers, similarity)
-    large = _across(state.filter(F.col("n") > SMALL), sigs, bands, registers, similarity)
-    rest = saved(rest.unionByName(large.join(near, ["a", "b"], "left_anti")).distinct(), "rest")
-    if not rest.isEmpty():
-        links = links.unionByName(_verified(rest, base, words, similarity))
-        class_of = saved(components(links), "classes")
+    more = _verified(saved(rest, "rest"), base, words, similarity).unionByName(
+        _across(state.filter(F.col("n") > SMALL), sigs, base, words, bands, registers, similarity))
+    more = saved(more, "more")
+    if not more.isEmpty():
+        class_of = saved(components(links.unionByName(more)), "classes")
     out = (signed.select("id", "sha").join(reps, "sha")
            .join(class_of, F.col("rep") == F.col("node"), "left")
            .withColumn("class_id", F.coalesce("component", "rep")))

@@ -167,7 +167,16 @@ def test_probminhash_estimates_the_probability_jaccard():
     assert abs((sig[0] == sig[1]).mean() - exact) < 0.04
 
 
-def test_near_duplicates_against_all_pairs(spark, docs, none):
+def test_shared_counts_of_sets():
+    rng = random.Random(5)
+    sets = [sorted(rng.sample(range(20000), rng.randint(1, 9000))) for _ in range(7)]
+    left, right = sets[:3], sets[3:] + [[-1]]
+    got = minhash._shared([np.array(v) for v in left], [np.array(v) for v in right])
+    assert got.tolist() == [[len(set(x) & set(y)) for y in right] for x in left]
+    assert minhash._shared([np.array([1])], [np.array([2])]).tolist() == [[0]]
+
+
+def test_near_duplicates_against_all_pairs(spark, docs, none, monkeypatch):
     rng = random.Random(3)
     texts = dict(enumerate([BASE, NEAR, BASE, "", "a b", "a b"]))
     for i in range(6, 120):
@@ -185,6 +194,11 @@ def test_near_duplicates_against_all_pairs(spark, docs, none):
             root = {i: low if r == high else r for i, r in root.items()}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r.doc_id: r.class_id for r in minhash.op4(spark, df).collect()} == root
+    # every bucket of over two members in small blocks
+    for name, value in (("SMALL", 2), ("BLOCK", 16)):
+        monkeypatch.setattr(minhash, name, value)
+    assert {r.doc_id: r.class_id for r in minhash.op4(spark, df).collect()} == root
+    monkeypatch.undo()
     got = {}
     for r in minhash.op4(spark, docs).collect():
         got.setdefault(r.doc_id, []).append((r.class_id, r.kept))
