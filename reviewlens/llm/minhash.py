@@ -195,7 +195,8 @@ def _across(state: DataFrame, sigs: DataFrame, texts: DataFrame, words: int, ban
     sig = sigs.select("id", "sig")
     named = saved(dealt.join(sig, "id").groupBy("band", "i", "j").applyInPandas(
         name, "band long, i long, j long, id long, c long, own long"), "named")
-    sets = saved(texts.join(named.select("id").distinct(), "id", "left_semi").select("id", "text")
+    need = saved(named.select("id").distinct(), "need")
+    sets = saved(texts.join(need, "id", "left_semi").select("id", "text")
                  .mapInArrow(_sets(words), "id long, set array<long>").distinct(), "block-sets")
     return (named.join(sig, "id").join(sets, "id").groupBy("band", "i", "j").applyInPandas(compare, "a long, b long"))
 
@@ -203,9 +204,12 @@ def _across(state: DataFrame, sigs: DataFrame, texts: DataFrame, words: int, ban
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """Pairs whose sets of distinct shingles have the Jaccard similarity asked for.
 
-    Only texts that stand in a pair are shingled again.
+    Only texts that stand in a pair are shingled again.  Their ids are written
+    first, so that the planner knows the list's size: under its threshold for
+    broadcasts no text is shuffled, over it texts and ids meet in a shuffle.
     """
     need = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    need = saved(need, "need")
     sets = saved(texts.join(need, "id", "left_semi").select("id", "text")
                  .mapInArrow(_sets(words), "id long, set array<long>"), "sets")
     both = F.size(F.array_intersect("x", "y"))
