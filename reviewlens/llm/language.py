@@ -31,6 +31,7 @@ GRAMS = 3
 LANDMARKS = 128
 PER_LANG = 400
 SAMPLE = 6_000
+PIECE = 64                  # input partitions whose rows of a language are cut to ``PER_LANG`` together
 RIDGE = 1e-3
 ROWS = 256                  # texts in one matrix product
 UNKNOWN = "und"
@@ -91,9 +92,12 @@ def train(docs: DataFrame, use: Column, per_lang: int = PER_LANG, sample: int =
     import pandas as pd
     ship_package(docs.sparkSession)
     by = Window.partitionBy("lang").orderBy("h", "doc_id")
+    split = Window.partitionBy("lang", "piece").orderBy("h", "doc_id")
     rows = (docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).filter(use)
-            .select("doc_id", "lang", F.xxhash64("doc_id").alias("h")))
-    # row_number <= k is cut per task before the shuffle: a frequent language moves few rows
+            .select("doc_id", "lang", F.xxhash64("doc_id").alias("h"),
+                    F.floor(F.spark_partition_id() / PIECE).alias("piece")))
+    # the first rows of a language are among the first rows of its pieces, however these are cut
+    rows = rows.withColumn("r", F.row_number().over(split)).filter(F.col("r") <= per_lang)
     chosen = saved(rows.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= per_lang)
                    .orderBy("r", "lang").limit(sample).select("doc_id", "r").distinct(), "chosen")
     texts = (docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
