@@ -47,13 +47,14 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a ``saved`` table that nothing reads any more."""
-    path = getattr(df, "_saved_path", None)
-    if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files behind ``saved`` tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_saved_path", None)
+        if path:
+            spark = df.sparkSession
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def text_or_empty(col: str = "text"):

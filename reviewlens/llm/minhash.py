@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.llm.common import saved, ship_package
+from reviewlens.llm.common import discard, saved, ship_package
 from reviewlens.llm.components import components
 from reviewlens.llm.hashing import distinct, mix, shingles, slices
 
@@ -198,7 +198,10 @@ def _across(state: DataFrame, sigs: DataFrame, texts: DataFrame, words: int, ban
     need = saved(named.select("id").distinct(), "need")
     sets = saved(texts.join(need, "id", "left_semi").select("id", "text")
                  .mapInArrow(_sets(words), "id long, set array<long>").distinct(), "block-sets")
-    return (named.join(sig, "id").join(sets, "id").groupBy("band", "i", "j").applyInPandas(compare, "a long, b long"))
+    out = saved(named.join(sig, "id").join(sets, "id").groupBy("band", "i", "j")
+                .applyInPandas(compare, "a long, b long"), "block-links")
+    discard(named, need, sets)
+    return out
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -213,11 +216,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
     sets = saved(texts.join(need, "id", "left_semi").select("id", "text")
                  .mapInArrow(_sets(words), "id long, set array<long>"), "sets")
     both = F.size(F.array_intersect("x", "y"))
-    return (pairs.join(sets.withColumnsRenamed({"id": "a", "set": "x"}), "a")
-            .join(sets.withColumnsRenamed({"id": "b", "set": "y"}), "b")
-            .withColumn("both", both)
-            .filter(F.col("both") >= similarity * (F.size("x") + F.size("y") - F.col("both")))
-            .select("a", "b"))
+    out = saved(pairs.join(sets.withColumnsRenamed({"id": "a", "set": "x"}), "a")
+                .join(sets.withColumnsRenamed({"id": "b", "set": "y"}), "b")
+                .withColumn("both", both)
+                .filter(F.col("both") >= similarity * (F.size("x") + F.size("y") - F.col("both")))
+                .select("a", "b"), "links")
+    discard(need, sets)
+    return out
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS,
@@ -241,6 +246,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     nodes = saved(signed.filter("id is not null and n > 0").select("id", "sha", "n", "sig")
                   .join(reps.withColumnRenamed("sha", "_sha"), (F.col("sha") == F.col("_sha")) & (F.col("id") == F.col("rep")))
                   .groupBy("id", "sha").agg(F.first("sig").alias("sig"), F.first("n").alias("n")), "nodes")
+    # the registers of copies aren't read again
+    named = saved(signed.select("id", "sha"), "named")
+    discard(signed)
+    reps = named.groupBy("sha").agg(F.min("id").alias("rep"))
     sigs = nodes.groupBy("id").agg(F.min("sig").alias("sig"), F.max("n").alias("size"))
     band = F.explode(F.array(*[                      # the low bits hold the band's number
         F.shiftleft(F.xxhash64(*[F.get("sig", F.lit(b * rows + r)) for r in range(rows)]), _BAND_BITS) + b
@@ -251,6 +260,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     crowd = saved(spread.join(sizes, "band"), "crowd")
     middle = crowd.groupBy("id").agg(F.sum("n").alias("m"))
     members = saved(crowd.join(middle, "id").select("band", "id", "m"), "members")
+    discard(crowd)
     hubs = members.groupBy("band").agg(F.max(F.struct("m", "id")).alias("h1"), F.min("id").alias("h2"),
                                        F.min(F.struct(F.xxhash64("id"), "id")).alias("h3")) \
         .select("band", F.array_distinct(F.array("h1.id", "h2", "h3.id")).alias("hubs"))
@@ -260,13 +270,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
     near = pairs(members.join(hubs, "band").select(F.col("id").alias("x"), F.explode("hubs").alias("y")))
     near = saved(_hopeful(near, sigs, registers, similarity), "near")
-    links = saved(_verified(near, base, words, similarity), "links")
+    links = _verified(near, base, words, similarity)
     # what the hubs left unconnected: pairs of members in different classes
     class_of = saved(components(links), "classes")
     state = (members.select("band", "id").join(class_of, F.col("id") == F.col("node"), "left")
              .select("band", "id", F.coalesce("component", "id").alias("c")))
     loose = state.groupBy("band").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 < c2").select("band")
     state = saved(state.join(loose, "band", "left_semi"), "loose")
+    discard(members)
     counts = (state.join(sigs.select("id", "size"), "id").groupBy("band")
               .agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")))
     state = state.join(counts, "band")
@@ -274,12 +285,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     rest = (small.withColumnsRenamed({"id": "x", "c": "cx"}).join(
         small.withColumnsRenamed({"id": "y", "c": "cy"}), "band").filter("x < y and cx <> cy"))
     rest = _hopeful(pairs(rest).join(near, ["a", "b"], "left_anti"), sigs, registers, similarity)
-    more = _verified(saved(rest, "rest"), base, words, similarity).unionByName(
+    rest = saved(rest, "rest")
+    discard(near)
+    more = _verified(rest, base, words, similarity).unionByName(
         _across(state.filter(F.col("n") > SMALL), sigs, base, words, bands, registers, similarity))
-    more = saved(more, "more")
+    discard(nodes, rest)
     if not more.isEmpty():
         class_of = saved(components(links.unionByName(more)), "classes")
-    out = (signed.select("id", "sha").join(reps, "sha")
+    out = (named.join(reps, "sha")
            .join(class_of, F.col("rep") == F.col("node"), "left")
            .withColumn("class_id", F.coalesce("component", "rep")))
     kept = F.coalesce(F.col("id") == F.col("class_id"), F.col("class_id").isNull())
