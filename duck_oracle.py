@@ -99,17 +99,6 @@ SELECT tf.slug, term, count(*) AS df, sum(f) AS tf,
 FROM tf JOIN stats USING (slug) GROUP BY tf.slug, term"""
 
 
-def oracle_sql() -> dict[str, str]:
-    return {
-        "bm25_unigram": bm25(1),
-        "bm25_2gram": bm25(2),
-        "bm25_3gram": bm25(3),
-        "word_freq": WORD_FREQ,
-        "corpus_stats": CORPUS_STATS,
-        "doc_freq": DOC_FREQ,
-    }
-
-
 def rr(num: str, den: str, digits: int) -> str:
     """Exact half-even rounding of num/den (non-negative integers)."""
     sc, d = f"(({num}) * {10 ** digits})", f"({den})"
@@ -234,27 +223,6 @@ NEG_CHART = f"""{BASE},
 nk AS (SELECT *, count(*) OVER (PARTITION BY slug) AS k FROM neg)
 SELECT slug, rank, word, count, least(k, 25) - rank AS bar FROM nk WHERE k >= 6 AND rank <= 25"""
 
-_BASIC = oracle_sql
-
-
-def oracle_sql() -> dict[str, str]:  # noqa: F811
-    d = _BASIC()
-    d.update({
-        "reply_echo": REPLY_ECHO,
-        "min_docs_guard": MIN_DOCS_GUARD,
-        "neg_reviews": NEG_REVIEWS,
-        "rating_summary": RATING_SUMMARY,
-        "rating_hist": RATING_HIST,
-        "monthly": MONTHLY,
-        "trend": TREND,
-        "neg_word_freq": NEG_WORD_FREQ,
-        "summary": SUMMARY,
-        "chart_manifest": CHART_MANIFEST,
-        "bm25_chart": bm25_chart(),
-        "neg_chart": NEG_CHART,
-    })
-    return d
-
 
 # --- ingest ------------------------------------------------------------------
 PAYLOADS = f"payloads AS ({A.PAYLOADS_SQL.format(ts_us=A.DUCK_TS_US, ts_ms=A.DUCK_TS_MS)})"
@@ -372,32 +340,6 @@ s AS (SELECT slug, pos, rating,
 r AS (SELECT *, row_number() OVER (PARTITION BY slug, sentiment ORDER BY mentions DESC, pos) AS rank FROM s)
 SELECT slug, sentiment, rank, pos, rating, mentions FROM r WHERE rank <= 3"""
 
-_MID = oracle_sql
-
-
-def oracle_sql() -> dict[str, str]:  # noqa: F811
-    d = _MID()
-    d.update({
-        "payload_filter": PAYLOAD_FILTER,
-        "payload_posts": PAYLOAD_POSTS,
-        "match_dates": MATCH_DATES,
-        "match_metrics": MATCH_METRICS,
-        "scalar_ingest": SCALAR_INGEST,
-        "detect_lang": DETECT_LANG,
-        "slugify": SLUGIFY,
-        "compare_stores": COMPARE_STORES,
-        "compare_rollup": COMPARE_ROLLUP,
-        "sentiment_share": SENTIMENT_SHARE,
-        "photo_share": PHOTO_SHARE,
-        "yearly": YEARLY,
-        "first_last_year": FIRST_LAST_YEAR,
-        "keyword_counts": KEYWORD_COUNTS,
-        "neg_ratio": NEG_RATIO,
-        "shared_neg_words": SHARED_NEG_WORDS,
-        "sample_reviews": SAMPLE_REVIEWS,
-    })
-    return d
-
 
 # --- text ----------------------------------------------------------------------
 TOKENIZE = f"""{PRE},
@@ -450,30 +392,7 @@ def bm25_tagged() -> str:
     return f"WITH {SEG_CTE},\n{KEPT_CTE},\n{docs},\n{body}"
 
 
-_TXT = oracle_sql
-
-
-def oracle_sql() -> dict[str, str]:  # noqa: F811
-    d = _TXT()
-    d.update({
-        "tokenize": TOKENIZE,
-        "ngrams": NGRAMS,
-        "decode_words": DECODE_WORDS,
-        "tag_words": TAG_WORDS,
-        "keep_tokens": KEEP_TOKENS,
-        "bm25_tagged": bm25_tagged(),
-    })
-    return d
-
-
 LIST_STORES = f"WITH {REVIEWS}\nSELECT slug, count(*) AS reviews FROM reviews GROUP BY slug ORDER BY slug"
-_LS = oracle_sql
-
-
-def oracle_sql() -> dict[str, str]:  # noqa: F811
-    d = _LS()
-    d["list_stores"] = LIST_STORES
-    return d
 
 
 def _unescape(x: str) -> str:
@@ -489,10 +408,70 @@ SELECT page_id, CAST(card AS INTEGER) AS card,
   {_unescape("regexp_extract(li, '<a[^>]*href=\"([^\"]*)\"', 1)")} AS href,
   CAST(len(regexp_extract_all(li, '<a[ >]')) AS INTEGER) AS links
 FROM c"""
-_PC = oracle_sql
 
 
-def oracle_sql() -> dict[str, str]:  # noqa: F811
-    d = _PC()
-    d["page_cards"] = PAGE_CARDS
-    return d
+# --- chart, buckets, scoring ---------------------------------------------------
+WORD_FREQ_CHART = f"""WITH w AS ({WORD_FREQ}), c AS (SELECT * FROM w WHERE rank <= 30)
+SELECT slug, rank, word, count, count(*) OVER (PARTITION BY slug) - rank AS bar FROM c"""
+YEARLY_BUCKETS = f"""{PRE},
+p AS (SELECT rating, slug, CASE WHEN left(date_abs, 4) BETWEEN '2018' AND '2022' THEN '2018-2022'
+      ELSE left(date_abs, 4) END AS period FROM cleaned WHERE {HAS.format(x='date_abs')})
+SELECT slug, period, count(*) AS reviews, {rr('sum(rating)', 'count(rating)', 2)} AS avg_rating
+FROM p GROUP BY slug, period"""
+# runs of letters, of digits and of white space; any other character alone
+SCORE_LABELS = f"""WITH {REVIEWS},
+t AS (SELECT slug, pos, regexp_extract_all(text, '(?s)\\pL+|[\\p{{Nd}}²³¹]+|[\\s\\pZ\\x{{1C}}-\\x{{1F}}\\x{{85}}\\x0B]+|.') AS w
+      FROM reviews WHERE {HAS.format(x='text')})
+SELECT slug, pos, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM t"""
+
+
+def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL by query key."""
+    return {
+        "bm25_unigram": bm25(1),
+        "bm25_2gram": bm25(2),
+        "bm25_3gram": bm25(3),
+        "word_freq": WORD_FREQ,
+        "corpus_stats": CORPUS_STATS,
+        "doc_freq": DOC_FREQ,
+        "reply_echo": REPLY_ECHO,
+        "min_docs_guard": MIN_DOCS_GUARD,
+        "neg_reviews": NEG_REVIEWS,
+        "rating_summary": RATING_SUMMARY,
+        "rating_hist": RATING_HIST,
+        "monthly": MONTHLY,
+        "trend": TREND,
+        "neg_word_freq": NEG_WORD_FREQ,
+        "summary": SUMMARY,
+        "chart_manifest": CHART_MANIFEST,
+        "bm25_chart": bm25_chart(),
+        "neg_chart": NEG_CHART,
+        "payload_filter": PAYLOAD_FILTER,
+        "payload_posts": PAYLOAD_POSTS,
+        "match_dates": MATCH_DATES,
+        "match_metrics": MATCH_METRICS,
+        "scalar_ingest": SCALAR_INGEST,
+        "detect_lang": DETECT_LANG,
+        "slugify": SLUGIFY,
+        "compare_stores": COMPARE_STORES,
+        "compare_rollup": COMPARE_ROLLUP,
+        "sentiment_share": SENTIMENT_SHARE,
+        "photo_share": PHOTO_SHARE,
+        "yearly": YEARLY,
+        "first_last_year": FIRST_LAST_YEAR,
+        "keyword_counts": KEYWORD_COUNTS,
+        "neg_ratio": NEG_RATIO,
+        "shared_neg_words": SHARED_NEG_WORDS,
+        "sample_reviews": SAMPLE_REVIEWS,
+        "tokenize": TOKENIZE,
+        "ngrams": NGRAMS,
+        "decode_words": DECODE_WORDS,
+        "tag_words": TAG_WORDS,
+        "keep_tokens": KEEP_TOKENS,
+        "bm25_tagged": bm25_tagged(),
+        "list_stores": LIST_STORES,
+        "page_cards": PAGE_CARDS,
+        "word_freq_chart": WORD_FREQ_CHART,
+        "yearly_buckets": YEARLY_BUCKETS,
+        "score_labels": SCORE_LABELS,
+    }

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from reviewlens.functions.dates import year_of
 from reviewlens.functions.text import has_text, substring_count
-from reviewlens.operators.match import ordinal
 from reviewlens.operators.ratings import is_negative, round_ratio
 
 
@@ -16,17 +15,17 @@ def _pct(num: Column, den: Column, digits: int = 1) -> Column:
 
 
 def global_rank(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
-    """``rank()`` by ``value`` descending over the whole table, without a one-task window.
+    """``rank()`` by ``value`` descending over the whole table; NULL values rank last.
 
-    Row ordinals come from ``ordinal`` (value-range pieces plus offsets); rows
-    with equal values then share the smallest ordinal of their value, as
-    ``rank()`` does.  NULL values rank last.
+    Rows are counted per distinct value, and only those counts are summed in
+    order: a rank is one more than the rows of all greater values.  The ordered
+    table has one row per distinct value (some 400 for two-decimal averages),
+    however many rows share one.
     """
-    keyed = df.withColumn("_one", F.lit(1))
-    o = ordinal(keyed, ["_one"], [(value, False)], "_ord")
-    first = o.groupBy(value).agg(F.min("_ord").alias(name))
-    return o.join(first, o[value].eqNullSafe(first[value]), "left") \
-            .drop(first[value]).drop("_one", "_ord")
+    ranks = df.groupBy(F.col(value).alias("_value")).agg(F.count("*").alias("_n"))
+    above = Window.orderBy(F.col("_value").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = ranks.select("_value", (F.coalesce(F.sum("_n").over(above), F.lit(0)) + 1).alias(name))
+    return df.join(ranks, F.col(value).eqNullSafe(F.col("_value")), "left").drop("_value")
 
 
 def compare_stores(reviews: DataFrame, max_neg: int = 2) -> DataFrame:

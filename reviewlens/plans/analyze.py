@@ -154,6 +154,13 @@ def chart_series(parts: dict, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
                     (F.count("*").over(w) - F.col("rank")).alias("bar"))
 
 
+def word_freq_chart(parts: dict, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
+    """(slug, rank, word, count, bar): the first 30 words, ``bar`` 0 at the bottom."""
+    x = parts["word_freq"].where(F.col("rank") <= cfg.chart_words)
+    w = Window.partitionBy("slug")
+    return x.select("slug", "rank", "word", "count", (F.count("*").over(w) - F.col("rank")).alias("bar"))
+
+
 def neg_chart(parts: dict, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
     """(slug, rank, word, count, bar): first 25 negative words, only with more than 5."""
     n = parts["neg_word_freq"]
@@ -187,6 +194,7 @@ def write_analysis(reviews: DataFrame, root: str, cfg: AnalysisConfig = DEFAULT,
         "summary": summary(reviews, cfg, parts),
         "charts": chart_manifest(parts, cfg),
         "bm25_chart": chart_series(parts, cfg),
+        "word_freq_chart": word_freq_chart(parts, cfg),
     }
     for n in cfg.ngram_sizes:
         tables[CHART_NAMES[n]] = parts["bm25"].where(F.col("n") == n).drop("n", "score_raw")

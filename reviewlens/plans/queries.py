@@ -117,6 +117,11 @@ def bm25_chart(spark, sf):
     return AN.chart_series(_parts(spark, sf), DEFAULT)
 
 
+def word_freq_chart(spark, sf):
+    """Word-frequency chart bars (first 30, bottom-up order)."""
+    return AN.word_freq_chart(_parts(spark, sf), DEFAULT)
+
+
 def neg_chart(spark, sf):
     """Negative-word chart bars (first 25, stores with more than 5 words)."""
     return AN.neg_chart(_parts(spark, sf), DEFAULT)
@@ -196,6 +201,14 @@ def yearly(spark, sf):
     return X.yearly(_cleaned(spark, sf))
 
 
+YEAR_BUCKETS = ((2018, 2022, "2018-2022"),)
+
+
+def yearly_buckets(spark, sf):
+    """Volume and average rating per period: 2018 to 2022 as one, later years alone."""
+    return X.yearly(_cleaned(spark, sf), YEAR_BUCKETS)
+
+
 def first_last_year(spark, sf):
     """First vs latest year average per store."""
     return X.first_last_year(X.yearly(_cleaned(spark, sf)))
@@ -263,6 +276,15 @@ def keep_tokens(spark, sf):
     return TK.explode_tokens(t)
 
 
+def score_labels(spark, sf):
+    """Words from labels that the scoring hook gives every review text, with the
+    model-free stand-in as its model."""
+    scored = TK.score_labels(A.reviews(spark, sf).select("slug", "pos", "text"), TK.script_run_loader)
+    x = scored.select("slug", "pos", F.posexplode_outer(TK.decode_words(F.col("text"), F.col("labels")))
+                      .alias("i", "word"))
+    return x.where(F.col("i").isNotNull())
+
+
 def bm25_tagged(spark, sf):
     """Unigram BM25 over documents built from model labels (segment, tag, keep)."""
     labelled = A.labels_in(spark, sf)
@@ -304,6 +326,7 @@ QUERIES = {
     "chart_manifest": chart_manifest,
     "bm25_chart": bm25_chart,
     "neg_chart": neg_chart,
+    "word_freq_chart": word_freq_chart,
     "payload_filter": payload_filter,
     "payload_posts": payload_posts,
     "match_dates": match_dates,
@@ -316,6 +339,7 @@ QUERIES = {
     "sentiment_share": sentiment_share,
     "photo_share": photo_share,
     "yearly": yearly,
+    "yearly_buckets": yearly_buckets,
     "first_last_year": first_last_year,
     "keyword_counts": keyword_counts,
     "neg_ratio": neg_ratio,
@@ -326,6 +350,7 @@ QUERIES = {
     "decode_words": decode_words,
     "tag_words": tag_words,
     "keep_tokens": keep_tokens,
+    "score_labels": score_labels,
     "bm25_tagged": bm25_tagged,
     "list_stores": list_stores,
     "page_cards": page_cards,
