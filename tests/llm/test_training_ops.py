@@ -105,6 +105,13 @@ def test_line_dedup_rules(spark, docs, none):
     assert line_dedup.op8(spark, none).count() == 0
 
 
+def test_lines_of_a_tenth_go_from_every_host(spark):
+    rows = [(h * 100 + i, f"own {h} {i}" + "\nmenu" * (i < 7 + h) + "\nrare" * (i >= 97), f"h{h}")
+            for h in range(7) for i in range(100)]              # menu: 7 to 13 pages of 100, rare: 3
+    got = line_dedup.op8(spark, spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert not [r.source for r in got if "menu" in r.text] and sum("rare" in r.text for r in got) == 21
+
+
 def winnow_by_hand(text, k, w, gram):
     tokens = re.findall(r"[一-鿿]|[^\s一-鿿]{1,16}", text)
     if not tokens:
