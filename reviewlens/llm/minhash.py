@@ -1,12 +1,18 @@
 """Near-duplicate documents by ProbMinHash.
 
-A text is its five-word shingles, weighted by 1 + ln(count).  Every shingle is
-a Poisson process with its weight as rate; each arrival picks a register, and
-the register keeps the earliest arrival's shingle.  A process ends as soon as
-its next arrival is later than every register's.  Equal registers estimate the
-probability Jaccard similarity.  Bands of registers propose pairs, the
-estimate drops hopeless ones, and the shingle sets themselves decide: a link is
-a Jaccard similarity of distinct shingles of 0.8 or more.
+A text is its five-word shingles.  Every shingle is a Poisson process with its
+weight as rate; each arrival picks a register, and the register keeps the
+earliest arrival's shingle.  A process ends as soon as its next arrival is later
+than every register's.  Equal registers estimate the probability Jaccard
+similarity.  Bands of registers propose pairs, the estimate drops hopeless ones,
+and the shingle sets themselves decide: a link is a Jaccard similarity of
+distinct shingles of 0.8 or more.
+
+There are two signatures: with weights of 1, whose probability Jaccard is the
+plain one of distinct shingles, so it bounds the links that can be missed
+whatever repeats; and with weights of 1 + ln(count).  Either one proposes a pair
+and either one keeps it.  The same arrivals make both, so they are equal where no
+shingle repeats, and the second is kept only for texts where one does.
 
 Equal texts are one node from the start.  In a band's bucket every member meets
 three hubs; members that the links found so far don't already connect are
@@ -18,6 +24,7 @@ between classes is left out.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,13 +79,19 @@ def _sign(words: int, registers: int):
             texts = batch.column(batch.schema.get_field_index("text"))
             for a, b in slices(texts, 8 << 20):
                 h, row, count = distinct(*shingles(texts.slice(a, b - a), words))
-                sig = signatures(h, row, 1 + np.log(count), b - a, registers)
+                sig = signatures(h, row, np.ones(len(h)), b - a, registers)
                 n = np.bincount(row, minlength=b - a)
                 flat = pa.ListArray.from_arrays(
                     pa.array(np.arange(0, (b - a) * registers + 1, registers, dtype=np.int32)), pa.array(sig.ravel()))
+                again = np.zeros(b - a, bool)        # texts in which a shingle repeats
+                again[row[count > 1]] = True
+                own, place = again[row], np.cumsum(again) - 1
+                few = signatures(h[own], place[row[own]], 1 + np.log(count[own]), int(again.sum()), registers)
+                off = np.concatenate([[0], np.cumsum(again) * registers]).astype(np.int32)
+                weighted = pa.ListArray.from_arrays(pa.array(off), pa.array(few.ravel()), mask=pa.array(~again))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(batch.schema.get_field_index(c)).slice(a, b - a) for c in ("id", "sha")]
-                    + [pa.array(n.astype(np.int64)), flat], names=["id", "sha", "n", "sig"])
+                    + [pa.array(n.astype(np.int64)), flat, weighted], names=["id", "sha", "n", "sig", "wsig"])
     return run
 
 
@@ -97,26 +110,44 @@ def _sets(words: int):
 
 
 def _hopeful(pairs: DataFrame, sigs: DataFrame, registers: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) whose registers agree often enough."""
-    s = sigs.select("id", "sig")
-    equal = F.size(F.filter(F.zip_with("s1", "s2", lambda x, y: x == y), lambda e: e))
-    return (pairs.join(s.withColumnsRenamed({"id": "a", "sig": "s1"}), "a")
-            .join(s.withColumnsRenamed({"id": "b", "sig": "s2"}), "b")
-            .filter(equal >= int(registers * (similarity - SLACK))).select("a", "b"))
+    """Pairs (a, b) whose registers agree often enough in either signature."""
+    s = sigs.select("id", "sig", "wsig")
+    least = int(registers * (similarity - SLACK))
+    equal = lambda x, y: F.size(F.filter(F.zip_with(x, y, lambda u, v: u == v), lambda e: e))
+    weighted = F.when(F.col("w1").isNotNull() | F.col("w2").isNotNull(),
+                      equal(F.coalesce("w1", "s1"), F.coalesce("w2", "s2")) >= least).otherwise(False)
+    return (pairs.join(s.withColumnsRenamed({"id": "a", "sig": "s1", "wsig": "w1"}), "a")
+            .join(s.withColumnsRenamed({"id": "b", "sig": "s2", "wsig": "w2"}), "b")
+            .filter((equal("s1", "s2") >= least) | weighted).select("a", "b"))
+
+
+def _registers(rows: pd.DataFrame) -> list[np.ndarray]:
+    """The members' registers with weights of 1 and, if any member has other ones, with its weights."""
+    plain = np.stack(rows["sig"].to_numpy())
+    if rows["wsig"].isna().all():
+        return [plain]
+    return [plain, np.stack([s if w is None else w for s, w in zip(rows["sig"], rows["wsig"])])]
 
 
 def _agreeing(band: int, one: pd.DataFrame, two: pd.DataFrame, bands: int, registers: int,
               least: int) -> tuple[np.ndarray, np.ndarray]:
     """Places (i, j) of the pairs in different classes that agree in ``least``
-    registers, for the first band that a pair shares; other buckets skip it."""
-    x, y = np.stack(one["sig"].to_numpy()), np.stack(two["sig"].to_numpy())
-    same = np.zeros((len(x), len(y)), np.int16)
-    for r in range(registers):
-        same += x[:, r, None] == y[None, :, r]
-    hope = (same >= least) & (one["c"].to_numpy()[:, None] != two["c"].to_numpy()[None, :])
+    registers of either signature, for the first band that a pair shares; other
+    buckets skip it."""
+    left, right = _registers(one), _registers(two)
+    hope = np.zeros((len(one), len(two)), bool)
+    for k in range(max(len(left), len(right))):
+        x, y = left[min(k, len(left) - 1)], right[min(k, len(right) - 1)]
+        same = np.zeros(hope.shape, np.int16)
+        for r in range(registers):
+            same += x[:, r, None] == y[None, :, r]
+        hope |= same >= least
+    hope &= one["c"].to_numpy()[:, None] != two["c"].to_numpy()[None, :]
     i, j = np.nonzero(hope & (one["id"].to_numpy()[:, None] != two["id"].to_numpy()[None, :]))
-    first = (x[i] == y[j]).reshape(len(i), bands, registers // bands).all(2).argmax(1)
-    here = first == (band & ((1 << _BAND_BITS) - 1))
+    shared = np.zeros((len(i), bands), bool)         # buckets hold both signatures' bands
+    for x, y in itertools.product(left, right):
+        shared |= (x[i] == y[j]).reshape(len(i), bands, registers // bands).all(2)
+    here = shared.argmax(1) == (band & ((1 << _BAND_BITS) - 1))
     return i[here], j[here]
 
 
@@ -192,7 +223,7 @@ def _across(state: DataFrame, sigs: DataFrame, texts: DataFrame, words: int, ban
     dealt = (state.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("id", "band"), blocks)})
              .select("band", "id", "c", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
              .select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "c", "own"))
-    sig = sigs.select("id", "sig")
+    sig = sigs.select("id", "sig", "wsig")
     named = saved(dealt.join(sig, "id").groupBy("band", "i", "j").applyInPandas(
         name, "band long, i long, j long, id long, c long, own long"), "named")
     need = saved(named.select("id").distinct(), "need")
@@ -241,20 +272,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     registers = bands * rows
     base = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     signed = saved(base.withColumn("sha", F.sha2("text", 256)).mapInArrow(
-        _sign(words, registers), "id long, sha string, n long, sig array<int>"), "signed")
+        _sign(words, registers), "id long, sha string, n long, sig array<int>, wsig array<int>"), "signed")
     reps = signed.groupBy("sha").agg(F.min("id").alias("rep"))
-    nodes = saved(signed.filter("id is not null and n > 0").select("id", "sha", "n", "sig")
+    nodes = saved(signed.filter("id is not null and n > 0").select("id", "sha", "n", "sig", "wsig")
                   .join(reps.withColumnRenamed("sha", "_sha"), (F.col("sha") == F.col("_sha")) & (F.col("id") == F.col("rep")))
-                  .groupBy("id", "sha").agg(F.first("sig").alias("sig"), F.first("n").alias("n")), "nodes")
+                  .groupBy("id", "sha").agg(F.first("sig").alias("sig"), F.first("wsig").alias("wsig"), F.first("n").alias("n")), "nodes")
     # the registers of copies aren't read again
     named = saved(signed.select("id", "sha"), "named")
     discard(signed)
     reps = named.groupBy("sha").agg(F.min("id").alias("rep"))
-    sigs = nodes.groupBy("id").agg(F.min("sig").alias("sig"), F.max("n").alias("size"))
-    band = F.explode(F.array(*[                      # the low bits hold the band's number
-        F.shiftleft(F.xxhash64(*[F.get("sig", F.lit(b * rows + r)) for r in range(rows)]), _BAND_BITS) + b
-        for b in range(bands)]))
-    spread = nodes.select("id", band.alias("band"))
+    sigs = nodes.groupBy("id").agg(F.min(F.struct("sig", "wsig")).alias("s"), F.max("n").alias("size")) \
+        .select("id", "s.sig", "s.wsig", "size")
+    band = lambda sig: F.array(*[                    # noqa: E731; the low bits hold the band's number
+        F.shiftleft(F.xxhash64(*[F.get(sig, F.lit(b * rows + r)) for r in range(rows)]), _BAND_BITS) + b
+        for b in range(bands)])
+    spread = nodes.select("id", F.explode(F.when(F.col("wsig").isNull(), band("sig")).otherwise(
+        F.array_union(band("sig"), band("wsig")))).alias("band"))
     # a text in the middle of its group shares buckets with most of it: the best hub
     sizes = spread.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     crowd = saved(spread.join(sizes, "band"), "crowd")

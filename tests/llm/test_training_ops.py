@@ -216,6 +216,21 @@ def test_near_duplicates_against_all_pairs(spark, docs, none, monkeypatch):
     assert kept.filter("doc_id in (2, 3)").count() == 1 and kept.columns == docs.columns
 
 
+def test_near_duplicates_with_unequal_repeats(spark, monkeypatch):
+    texts = {}
+    for g in range(12):                              # nearly the same shingles, 30 % of them once and 200 times
+        words = [f"g{g}w{i}" for i in range(200)]
+        texts |= {2 * g: " ".join(words), 2 * g + 1: " ".join(words[:60] * 200 + words[60:])}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    shingled = {i: {tuple(w[k:k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in texts.items())}
+    assert all(len(shingled[i] & shingled[i + 1]) >= 0.8 * len(shingled[i] | shingled[i + 1]) for i in range(0, 24, 2))
+    want = {i: i // 2 * 2 for i in texts}
+    assert {r.doc_id: r.class_id for r in minhash.op4(spark, df).collect()} == want
+    for name, value in (("SMALL", 2), ("BLOCK", 2)):
+        monkeypatch.setattr(minhash, name, value)
+    assert {r.doc_id: r.class_id for r in minhash.op4(spark, df).collect()} == want
+
+
 def test_packing_round_trip(spark, docs, none):
     path = public_tokenizers.path("byte_bpe_50k.json")
     from tokenizers import Tokenizer
