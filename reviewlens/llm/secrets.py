@@ -70,9 +70,11 @@ def _raw(text: Column, rule: Rule, order: int, todo: Column) -> Column:
 
 def spans_of(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(blob, kind, ord, start, end) of all matches in ``blobs`` (blob, text,
-    todo: array of the rule names to run).  Only lengths leave the scan."""
+    todo: array of the rule names to run).  Only lengths leave the scan; a blob in
+    several rows counts once, before the lengths are summed."""
     raw = F.concat(*[_raw(F.col("text"), r, k, F.array_contains("todo", r.kind)) for k, r in enumerate(rules)])
-    m = blobs.select("blob", raw.alias("_m")).filter(F.size("_m") > 0).select("blob", F.inline("_m"))
+    m = blobs.select("blob", raw.alias("_m")).filter(F.size("_m") > 0).select("blob", F.inline("_m")) \
+        .dropDuplicates(["blob", "ord", "i"])
     upto = Window.partitionBy("blob", "ord").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     return (m.withColumn("end", F.sum(F.col("gap").cast("long") + F.col("len")).over(upto))
@@ -115,11 +117,11 @@ def scan(versions: DataFrame, key: str = "doc_id", text: str = "text", ledger: D
                 .withColumn("todo", F.transform(fresh, lambda x: F.substring_index(x, "@", 1)))
                 .filter(F.size("todo") > 0).drop("had"))
         todo = saved(todo, "todo")
-    # one row of each unseen blob brings its text; equal keys and blobs are the same text
+    # one row of each unseen blob brings its text; repeated rows and null keys may bring it again
     sent = todo.withColumnsRenamed({"blob": "_blob", "key": "_key"})
     blobs = (rows.join(sent, F.col("key").eqNullSafe(F.col("_key")) & (F.col("blob") == F.col("_blob")))
              .select("blob", "text", "todo"))
-    new = spans_of(blobs, rules).dropDuplicates(["blob", "ord", "start"])
+    new = spans_of(blobs, rules)
     version = F.create_map(*[x for r in rules for x in (F.lit(r.kind), F.lit(r.version))])
     pairs = todo.select("blob", F.explode("todo").alias("rule")) \
         .withColumn("version", F.element_at(version, F.col("rule")))

@@ -83,6 +83,17 @@ def test_secret_spans(spark, docs, none):
     assert cut[1] == BASE and cut[6].count("[SECRET]") == 3 and "hunter2" not in cut[6]
 
 
+def test_secrets_of_repeated_rows(spark):
+    two = "AKIA" + "Q" * 16 + " and " + "deadbeef" * 4
+    rows = [(1, two), (1, two), (None, "x " + two), (None, "x " + two), (2, two + " " + two)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {(i, ",".join(f"{k}:{s}:{e}" for s, _, e, k in spans_by_re(t))) for i, t in rows}
+    got = secrets.op3(spark, df).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.spans) for r in got} == want
+    assert {r.text for r in secrets.redact(df).collect()} == {
+        "[SECRET] and [SECRET]", "x [SECRET] and [SECRET]", "[SECRET] and [SECRET] [SECRET] and [SECRET]"}
+
+
 def test_ledger_scans_only_what_is_new(spark, docs):
     paths, ledger, found = secrets.scan(docs.filter("doc_id < 6"))
     ledger, found = spark.createDataFrame(ledger.collect(), ledger.schema), spark.createDataFrame(found.collect(), found.schema)
