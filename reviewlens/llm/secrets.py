@@ -42,8 +42,17 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20, hint="AKIA"),
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),
 )
+# A pem span holds the key: header to footer (its headers' hyphens are single and few), or, without
+# a footer, the base64 lines after the header, up to 500 (a 16,384-bit key has under 300).  Line
+# ends may be written as backslash and n.  RE2 has no possessive forms and
+# limits nested counts, so 20 characters a line at least are written out.
+PEM = (r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+       r"(?:[^-]*(?:-[^-]+){0,20}-----END [A-Z ]*PRIVATE KEY-----"
+       r"|(?:[ \t\r\n\\]*(?:Proc-Type|DEK-Info):[^\r\n\\]*){0,2}"
+       r"(?:[ \t\r\n\\]*" + "[A-Za-z0-9+/]" * 20 + r"[A-Za-z0-9+/]*=?=?){0,500}"
+       r"(?:[ \t\r\n\\]*[A-Za-z0-9+/]+={1,2})?)")
 ADDED = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, hint="PRIVATE KEY-----"),
+    Rule("pem", PEM, 0, 1, version=2, hint="PRIVATE KEY-----"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30, hint="eyJ"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40, hint="gh"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15, hint="xox"),
