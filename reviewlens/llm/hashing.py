@@ -2,21 +2,56 @@
 
 Texts stay Arrow buffers: a word's hash is a difference of running polynomial
 sums over the bytes, so no Python string is made for it.
+
+A word is a run of Unicode letters, digits and combining marks.  Ideographs, kana
+and the letters and marks of Thai, Lao, Burmese and Khmer, which are written
+without spaces, are each a word of their own.
 """
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 _R = np.uint64(0x9E3779B97F4A7C15)                   # odd, so it has an inverse modulo 2**64
 _RINV = np.uint64(pow(int(_R), -1, 1 << 64))
-_WORD = np.zeros(256, bool)                          # letters, digits and every byte of non-ASCII characters
-_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_WORD = np.zeros(256, bool)                          # ASCII letters and digits
+_WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_ALONE = ((0x0E01, 0x0E4E), (0x0E81, 0x0EDF), (0x1000, 0x109F), (0x1780, 0x17DD), (0x3005, 0x3007), (0x3021, 0x3029),
+          (0x3031, 0x309F), (0x30A1, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF),
+          (0xFF66, 0xFF9F), (0x16FE4, 0x18DFF), (0x1AFF0, 0x1B2FF), (0x20000, 0x3FFFD))
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+@functools.cache
+def _classes() -> np.ndarray:
+    """Of every code point: 1 part of a word, 2 a word of its own, else 0."""
+    out = np.array([unicodedata.category(chr(c))[0] in "LNM" for c in range(0x110000)], np.uint8)
+    for a, b in _ALONE:
+        out[a:b + 1] *= 2
+    return out
+
+
+def _wide(b: np.ndarray, in_word: np.ndarray) -> np.ndarray:
+    """Marks the bytes of non-ASCII word characters in ``in_word``; (from, to) of
+    the characters that are words of their own."""
+    at = np.flatnonzero(b >= 0xC0)                   # first bytes
+    size = 2 + (b[at] >= 0xE0) + (b[at] >= 0xF0).astype(np.int64)
+    code = b[at] & (0x7F >> size)
+    code = code.astype(np.int64)
+    for k in range(1, 4):
+        more = size > k
+        code[more] = code[more] << 6 | b[at[more] + k] & 0x3F
+    kind = _classes()[code]
+    in_word[b >= 128] = np.repeat(kind > 0, size)
+    own = kind == 2
+    return np.stack([at[own], at[own] + size[own]])
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64 (a public constant set)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -46,8 +81,8 @@ def slices(texts: pa.Array, most_bytes: int = 4 << 20):
 
 
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of every word, in order.  A word is a run of letters and
-    digits of the lower-cased text; null counts as empty."""
+    """(hash, row) of every word (see the module), in order, of the lower-cased
+    text; null counts as empty."""
     arr = pc.fill_null(pc.utf8_lower(texts), "").cast(pa.large_string())
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
@@ -59,8 +94,12 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     b = np.frombuffer(data, np.uint8, n, int(off[0]))
     off = off - off[0]
     in_word = _WORD[b]
+    alone = _wide(b, in_word)
     begin = in_word.copy()
     begin[1:] &= ~in_word[:-1]
+    begin[alone[0]] = True
+    after = alone[1][alone[1] < n]
+    begin[after] |= in_word[after]
     inner = off[1:-1][off[1:-1] < n]
     begin[inner] |= in_word[inner]                   # texts lie side by side: a word never spans two
     stop = in_word.copy()

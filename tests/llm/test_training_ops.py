@@ -263,6 +263,22 @@ def test_near_duplicates_with_unequal_repeats(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in minhash.op4(spark, df).collect()} == want
 
 
+def test_words_follow_unicode_classes():
+    import pyarrow as pa
+    from reviewlens.llm.hashing import shingles, words
+    def of(*texts):
+        h, row = words(pa.array(texts))
+        return [h[row == i].tolist() for i in range(len(texts))]
+    a, b, c = of("vile café x", "“vile”\u3000(café)，x", "vile\u00a0café…\u2009x")
+    assert a == b == c and len(a) == 3
+    assert [len(w) for w in of("今日は良い天気", "カタカナ,abc中def", "한국어 텍스트", "été naïve Ωmega", "ไทย", "😀 a")] \
+        == [7, 7, 2, 3, 3, 1]
+    text = "".join(chr(0x4E00 + 7 * k) for k in range(200))
+    h, row = shingles(pa.array([text, text.replace(text[90], "新")]))
+    x, y = set(h[row == 0]), set(h[row == 1])
+    assert len(x) == 196 and len(x & y) == 191
+
+
 def test_packing_round_trip(spark, docs, none):
     path = public_tokenizers.path("byte_bpe_50k.json")
     from tokenizers import Tokenizer
