@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reviewlens.session import ship_package
 
-__all__ = ["crc_class", "discard", "saved", "shared_dir", "ship_package", "table", "text_or_empty"]
+__all__ = ["crc_class", "discard", "fresh", "saved", "shared_dir", "ship_package", "table", "text_or_empty"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,19 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores in front until no column of ``df`` is
+    called so (in any case), for columns that live inside one operator only."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        out.append(n)
+        taken.add(n.lower())
+    return out
+
+
 def text_or_empty(col: str = "text"):
     """The text, '' where it is null."""
     return F.coalesce(F.col(col), F.lit(""))
