@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import os
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.session import ship_package
 
-__all__ = ["crc_class", "discard", "fresh", "saved", "shared_dir", "ship_package", "table", "text_or_empty"]
+__all__ = ["crc_class", "discard", "fresh", "saved", "shared_dir", "ship_package", "table", "text_or_empty", "tidy"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +73,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def tidy() -> None:
+    """Gives a Python worker's freed memory back to the system at the end of a task:
+    workers live on from stage to stage, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+    if trim:
+        trim(0)
+
+
 def text_or_empty(col: str = "text"):
     """The text, '' where it is null."""
     return F.coalesce(F.col(col), F.lit(""))

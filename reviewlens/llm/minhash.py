@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.llm.common import discard, saved, ship_package
+from reviewlens.llm.common import discard, fresh, saved, ship_package, tidy
 from reviewlens.llm.components import components
 from reviewlens.llm.hashing import distinct, mix, shingles, slices
 
@@ -47,13 +47,13 @@ _BAND_BITS = 8              # up to 256 bands
 BLOCK = 512                 # members of a larger bucket compared in one task with as many others
 BLOCK_SHINGLES = 2_000_000  # shingles of those members (16 MB), so that long texts make smaller blocks
 _CHUNK = 4096               # shingles compared at once
+SLICE_BYTES = 1 << 20       # of text shingled at once; a longer text is a slice of its own
+_ARRIVALS = 1 << 17         # processes run at once
 
 
-def signatures(h: np.ndarray, row: np.ndarray, weight: np.ndarray, n: int, registers: int) -> np.ndarray:
-    """(n, registers) of int32: the registers of rows 0 .. n - 1, from distinct
-    shingle hashes ``h`` of ``row`` with weights.  Rows without shingles: 0."""
-    first = np.full(n * registers, np.inf)
-    keep = np.zeros(n * registers, np.uint64)
+def _arrive(first: np.ndarray, keep: np.ndarray, h: np.ndarray, row: np.ndarray, weight: np.ndarray,
+            n: int, registers: int) -> None:
+    """Runs the processes of ``h`` against the registers' earliest arrivals so far."""
     t = np.zeros(len(h))
     k = 0
     while len(h):
@@ -61,7 +61,7 @@ def signatures(h: np.ndarray, row: np.ndarray, weight: np.ndarray, n: int, regis
         r = mix(h + np.uint64(k * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF))
         u = ((r >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
         t = t - np.log(u) / weight
-        at = row * registers + (mix(r) % np.uint64(registers)).astype(np.int64)
+        at = row.astype(np.int64) * registers + (mix(r) % np.uint64(registers)).astype(np.int64)
         early = t < first[at]
         np.minimum.at(first, at[early], t[early])
         won = early.copy()
@@ -70,6 +70,16 @@ def signatures(h: np.ndarray, row: np.ndarray, weight: np.ndarray, n: int, regis
         late = first.reshape(n, registers).max(axis=1)
         alive = t < late[row]
         h, row, weight, t = h[alive], row[alive], weight[alive], t[alive]
+
+
+def signatures(h: np.ndarray, row: np.ndarray, weight: np.ndarray, n: int, registers: int) -> np.ndarray:
+    """(n, registers) of int32: the registers of rows 0 .. n - 1, from distinct
+    shingle hashes ``h`` of ``row`` with weights.  Rows without shingles: 0."""
+    first = np.full(n * registers, np.inf)
+    keep = np.zeros(n * registers, np.uint64)
+    for at in range(0, len(h), _ARRIVALS):           # later processes end sooner, as registers are filled
+        part = slice(at, at + _ARRIVALS)
+        _arrive(first, keep, h[part], row[part], weight[part], n, registers)
     return (mix(keep) & np.uint64(0x7FFFFFFF)).astype(np.int32).reshape(n, registers)
 
 
@@ -77,7 +87,7 @@ def _sign(words: int, registers: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
-            for a, b in slices(texts, 8 << 20):
+            for a, b in slices(texts, SLICE_BYTES):
                 h, row, count = distinct(*shingles(texts.slice(a, b - a), words))
                 sig = signatures(h, row, np.ones(len(h)), b - a, registers)
                 n = np.bincount(row, minlength=b - a)
@@ -92,6 +102,7 @@ def _sign(words: int, registers: int):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(batch.schema.get_field_index(c)).slice(a, b - a) for c in ("id", "sha")]
                     + [pa.array(n.astype(np.int64)), flat, weighted], names=["id", "sha", "n", "sig", "wsig"])
+        tidy()
     return run
 
 
@@ -100,12 +111,13 @@ def _sets(words: int):
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
             ids = batch.column(batch.schema.get_field_index("id"))
-            for a, b in slices(texts, 8 << 20):
+            for a, b in slices(texts, SLICE_BYTES):
                 h, row, _ = distinct(*shingles(texts.slice(a, b - a), words))
                 off = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b - a))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(a, b - a), pa.ListArray.from_arrays(pa.array(off), pa.array(h.astype(np.int64)))],
                     names=["id", "set"])
+        tidy()
     return run
 
 
@@ -340,14 +352,16 @@ def op4(spark, docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, ...) without all but one document of each class.
 
-    Of repeated rows with the kept key and text one stays.
+    Of repeated rows with the kept key and text one stays; rows without a key follow
+    ``near_duplicates``.  Other columns may have any names; an empty table stays empty.
     """
-    found = near_duplicates(docs).filter("kept").select(F.col("id").alias("_id"), F.col("sha").alias("_sha"))
-    again = found.groupBy("_id", "_sha").count().filter("count > 1 and _id is not null").limit(1)
+    id_, sha_ = fresh(docs, "id", "sha")
+    found = near_duplicates(docs).filter("kept").select(F.col("id").alias(id_), F.col("sha").alias(sha_))
+    again = found.groupBy(id_, sha_).count().filter((F.col("count") > 1) & F.col(id_).isNotNull()).limit(1)
     sha = F.sha2(F.coalesce("text", F.lit("")), 256)
-    out = docs.join(found.distinct(), F.col("doc_id").eqNullSafe(F.col("_id")) & (sha == F.col("_sha")), "left_semi")
+    out = docs.join(found.distinct(), F.col("doc_id").eqNullSafe(F.col(id_)) & (sha == F.col(sha_)), "left_semi")
     if not again.isEmpty():
         null_id = out.filter("doc_id is null")
-        out = out.filter("doc_id is not null").withColumn("_s", sha).dropDuplicates(["doc_id", "_s"]).drop("_s")
+        out = out.filter("doc_id is not null").withColumn(sha_, sha).dropDuplicates(["doc_id", sha_]).drop(sha_)
         out = out.unionByName(null_id)
     return out
