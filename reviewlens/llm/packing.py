@@ -23,14 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.llm.common import saved, ship_package, text_or_empty
+from reviewlens.llm.common import saved, ship_package, text_or_empty, tidy
 from reviewlens.llm.hashing import slices
 
 SIZE = 1024
 OPEN = 64
 FAN_IN = 64
 END_ID = 0
-CACHE = 1_000_000             # words whose ids a worker keeps
+CACHE = 250_000               # words whose ids a worker keeps
 
 _CUT = re.compile(r" (?=\S)")
 _RISKY = re.compile(r" (?:\s|$)")
@@ -77,6 +77,11 @@ class Encoder:
             encode = lambda t: slow(t) if special.search(t) else fast(t)
         self.first, self.later = Words(encode, ""), Words(encode, " ")
 
+    def forget(self) -> None:
+        """Empties the cache, so that an idle worker keeps the vocabulary alone."""
+        self.first.clear()
+        self.later.clear()
+
     def encode(self, text: str) -> bytes:
         parts = _CUT.split(text) if _RISKY.search(text) else text.split(" ")
         for cache in (self.first, self.later):
@@ -167,6 +172,8 @@ def _pack_partition(files: tuple, size: int, count: int, keep_ids: bool):
         for w, pieces in win.inside.items():
             emit(w, pieces, True)
         yield flush()
+        enc.forget()
+        tidy()
 
     return run
 

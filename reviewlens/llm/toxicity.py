@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.llm.common import crc_class, saved, ship_package
+from reviewlens.llm.common import crc_class, saved, ship_package, tidy
 from reviewlens.llm.hashing import distinct, slices, words
 
 SAMPLE = 20_000
@@ -37,12 +37,13 @@ _FILTER_BITS = 22
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, toxic, terms): the distinct word hashes of every text."""
     for batch in batches:
-        for a, b in slices(batch.column(1), 4 << 20):
+        for a, b in slices(batch.column(1), 1 << 20):
             h, row, _ = distinct(*words(batch.column(1).slice(a, b - a)))
             off = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b - a))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(a, b - a),
                  pa.ListArray.from_arrays(pa.array(off), pa.array(h.astype(np.int64)))], names=["toxic", "terms"])
+    tidy()
 
 
 class Machine:
@@ -173,10 +174,11 @@ def scores(docs: DataFrame, model: Machine | None, key: str = "doc_id", text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(1), 4 << 20):
+            for a, b in slices(batch.column(1), 1 << 20):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(model.score(batch.column(1).slice(a, b - a)))],
                     names=["key", "score"])
+        tidy()
 
     return rows.mapInArrow(run, "key long, score double")
 
@@ -199,8 +201,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(at), 4 << 20):
+            for a, b in slices(batch.column(at), 1 << 20):
                 part = batch.slice(a, b - a)
                 yield part.filter(pa.array(model.score(part.column(at)) < THRESHOLD))
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)
