@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewlens.llm.common import saved, text_or_empty
+from reviewlens.llm.common import fresh, saved, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -42,22 +42,25 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20, hint="AKIA"),
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),
 )
-# A pem span holds the key: header to footer (its headers' hyphens are single and few), or, without
-# a footer, the base64 lines after the header, up to 500 (a 16,384-bit key has under 300).  Line
-# ends may be written as backslash and n.  RE2 has no possessive forms and
-# limits nested counts, so 20 characters a line at least are written out.
-PEM = (r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
-       r"(?:[^-]*(?:-[^-]+){0,20}-----END [A-Z ]*PRIVATE KEY-----"
-       r"|(?:[ \t\r\n\\]*(?:Proc-Type|DEK-Info):[^\r\n\\]*){0,2}"
-       r"(?:[ \t\r\n\\]*" + "[A-Za-z0-9+/]" * 20 + r"[A-Za-z0-9+/]*=?=?){0,500}"
-       r"(?:[ \t\r\n\\]*[A-Za-z0-9+/]+={1,2})?)")
+# A pem span holds the header line and what follows it as a key does: its own header lines, base64
+# lines of 40 characters or more (the last may be shorter) up to 300 (a 16,384-bit key has under
+# 300), and the footer behind them.  Anything else ends the span, so prose that mentions a header
+# loses the header alone.  Line ends may be written as backslash and n.
+HEADER = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+_GAP = r"(?:[ \t\r\n]|\\[rn])"
+_LINE = "[A-Za-z0-9+/]{40,}"
+PEM = (HEADER + f"(?:{_GAP}+(?:Proc-Type|DEK-Info):" + r"[^\r\n\\]{0,100}){0,2}"
+       f"(?:(?:{_GAP}+{_LINE}=?=?)" "{1,300}"
+       f"(?:(?:{_GAP}+[A-Za-z0-9+/]+=?=?)?{_GAP}*-----END [A-Z ]*PRIVATE KEY-----|{_GAP}+" "[A-Za-z0-9+/]+={1,2})?)?")
 ADDED = (
-    Rule("pem", PEM, 0, 1, version=2, hint="PRIVATE KEY-----"),
+    Rule("pem", PEM, 0, 1, version=3, hint="PRIVATE KEY-----"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30, hint="eyJ"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40, hint="gh"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15, hint="xox"),
 )
 RULES = BASE + ADDED
+# the rules as of the ledger's first increment in the query: pem took the header alone
+EARLIER = tuple(Rule("pem", HEADER, 0, 1, version=1, hint=r.hint) if r.kind == "pem" else r for r in RULES)
 
 
 def _raw(text: Column, rule: Rule, order: int, todo: Column) -> Column:
@@ -92,14 +95,6 @@ def spans_of(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                     (F.col("end") - F.col("len")).alias("start"), "end"))
 
 
-def empty_ledger(spark) -> DataFrame:
-    return spark.createDataFrame([], "blob string, rule string, version int")
-
-
-def empty_findings(spark) -> DataFrame:
-    return spark.createDataFrame([], "blob string, kind string, ord int, start long, end long")
-
-
 def scan(versions: DataFrame, key: str = "doc_id", text: str = "text", ledger: DataFrame | None = None,
          findings: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(paths, ledger, findings) after scanning what the ledger doesn't have.
@@ -121,9 +116,9 @@ def scan(versions: DataFrame, key: str = "doc_id", text: str = "text", ledger: D
     else:
         now = F.array(*[F.concat_ws("@", F.lit(r.kind), F.lit(r.version)) for r in rules])
         had = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws("@", "rule", "version")).alias("had"))
-        fresh = F.array_except(now, F.coalesce("had", F.array().cast("array<string>")))
+        new = F.array_except(now, F.coalesce("had", F.array().cast("array<string>")))
         todo = (want.join(had, "blob", "left")
-                .withColumn("todo", F.transform(fresh, lambda x: F.substring_index(x, "@", 1)))
+                .withColumn("todo", F.transform(new, lambda x: F.substring_index(x, "@", 1)))
                 .filter(F.size("todo") > 0).drop("had"))
         todo = saved(todo, "todo")
     # one row of each unseen blob brings its text; repeated rows and null keys may bring it again
@@ -155,8 +150,17 @@ def join_back(paths: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def op3(spark, docs: DataFrame) -> DataFrame:
-    """Query op3: spans of secrets in every document (see ``scan``)."""
-    paths, _, findings = scan(docs)
+    """Query op3: spans of secrets in every document, scanned in two increments.
+
+    The first scans half of the blobs under the earlier rules and writes ledger and
+    findings; the second sees all documents and scans what the ledger lacks: the other
+    half, and the pem rule's new version everywhere.  See ``scan`` for odd rows; repeated
+    rows are rows of the result, and an empty table gives none.
+    """
+    half = F.pmod(F.xxhash64(text_or_empty("text")), F.lit(2)) == 0
+    _, ledger, findings = scan(docs.filter(half), rules=EARLIER)
+    ledger, findings = saved(ledger, "ledger"), saved(findings, "findings")
+    paths, _, findings = scan(docs, ledger=ledger, findings=findings)
     base = F.filter("spans", lambda s: s["ord"] < len(BASE))
     text = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(
         ":", s["kind"], s["start"], s["end"])), ",")
@@ -170,29 +174,36 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span replaced by ``mask`` and n_chars renewed.
 
     Overlapping spans count as one.  Rows without a finding stay untouched; a
-    null text stays null.  Texts move once, to meet their spans.
+    null text stays null, repeated rows stay repeated and an empty table empty.  Other
+    columns may have any names.  Texts move once, to meet their spans.
     """
+    blob, spans = fresh(docs, "blob", "spans")
     _, _, findings = scan(docs)
     per_blob = join_back(findings.select("blob").distinct(), findings).select(
-        F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    out = docs.join(per_blob, F.sha2(F.col("text"), 256) == F.col("_blob"), "left")
+        F.col("blob").alias(blob), F.col("spans").alias(spans))
+    out = docs.join(per_blob, F.sha2(F.col("text"), 256) == F.col(blob), "left")
     first = F.struct(F.lit("").alias("s"), F.lit(0).cast("bigint").alias("at"))
     # spans come by start: cut what lies between the last end and this start
     glue = F.aggregate(
-        "_spans", first,
+        spans, first,
         lambda acc, x: F.when(x["end"] <= acc["at"], acc).otherwise(F.struct(
             F.when(x["start"] < acc["at"], acc["s"]).otherwise(F.concat(
                 acc["s"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")),
                 F.lit(mask))).alias("s"),
             x["end"].alias("at"))),
         lambda acc: F.concat(acc["s"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
-    new = F.when(F.col("_spans").isNotNull(), glue).otherwise(F.col("text"))
+    new = F.when(F.col(spans).isNotNull(), glue).otherwise(F.col("text"))
     cols = [new.alias(c) if c == "text" else
-            F.when(F.col("_spans").isNotNull(), F.length(new)).otherwise(F.col(c)).cast("long").alias(c)
-            if c == "n_chars" else F.col(c) for c in docs.columns]
+            F.when(F.col(spans).isNotNull(), F.length(new)).otherwise(F.col(c)).cast("long").alias(c)
+            if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return out.select(*cols)
 
 
+def _sql_pattern(rule: Rule) -> str:
+    """The same pattern for RE2, which limits nested counts: the 40 characters are written out."""
+    return rule.pattern.replace(_LINE, "[A-Za-z0-9+/]" * 40 + "[A-Za-z0-9+/]*").replace("'", "''")
+
+
 _SQL_KIND = """
   SELECT doc_id, {k} AS ord, '{kind}' AS kind,
     string_split_regex(text, '{pat}') AS g, regexp_extract_all(text, '{pat}', 0) AS w,
@@ -200,7 +211,7 @@ _SQL_KIND = """
   FROM documents WHERE regexp_matches(text, '{pat}')"""
 
 ORACLE_SQL = ("WITH raw AS (" + "\n  UNION ALL".join(
-    _SQL_KIND.format(k=k, kind=r.kind, pat=r.pattern.replace("'", "''"), group=r.group, least=r.least)
+    _SQL_KIND.format(k=k, kind=r.kind, pat=_sql_pattern(r), group=r.group, least=r.least)
     for k, r in enumerate(RULES)) + """),
 m AS (SELECT doc_id, ord, kind, u.i, length(g[u.i]) + length(w[u.i]) AS step, length(w[u.i]) AS len,
         length(v[u.i]) >= least AS ok
