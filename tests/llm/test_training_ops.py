@@ -1,17 +1,21 @@
 """The training-data operators against brute force, and on awkward rows."""
 import hashlib
 import itertools
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from array import array
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from reviewlens.llm import hnsw, language, line_dedup, minhash, nbest, packing, secrets, sharding, toxicity, winnowing
+from reviewlens.llm import hashing, hnsw, language, line_dedup, minhash, nbest, packing, secrets, sharding, toxicity, winnowing
 from reviewlens.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, blob string, n_lines long"
@@ -426,3 +430,75 @@ def test_pipeline_stages_keep_the_columns(spark, tmp_path):
         docs = spark.read.parquet(str(tmp_path / name))
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert packed.select("doc_id").distinct().count() == docs.count() > 0
+
+
+def test_prose_between_pem_lines_stays(spark):
+    head, foot = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    prose = "A key starts with a line like this and goes on for a while. " * 300
+    line = "".join(random.Random(1).choice("ABCxyz019+/") for _ in range(64))
+    texts = [f"{head} {prose} {foot} tail", f"{head} and {foot}", f"{head}\n{line}\nwords that follow {foot}",
+             f"see {head}.\n\n{line}", f"{head}\nProc-Type: 4,ENCRYPTED\n{line}\n{line[:9]}\n{foot}{prose}", head + " " + "A" * 20_000 + "!"]
+    want = [f"[SECRET] {prose} {foot} tail", f"[SECRET] and {foot}", f"[SECRET]\nwords that follow {foot}",
+            f"see [SECRET].\n\n{line}", f"[SECRET]{prose}", "[SECRET]!"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_query_scans_in_two_increments(spark, monkeypatch):
+    head = "-----BEGIN PRIVATE KEY-----"
+    key = "\n".join([head, "A" * 64, "B" * 64, "-----END PRIVATE KEY-----"])
+    texts = [f"{i} password=abcdef{i} {key}" for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    todo = []
+    real = secrets.spans_of
+
+    def seen(blobs, rules):
+        todo.append(sorted(tuple(r.todo) for r in blobs.collect()))
+        return real(blobs, rules)
+
+    monkeypatch.setattr(secrets, "spans_of", seen)
+    for r in secrets.op3(spark, df).collect():      # the new version's spans, for old blobs too
+        assert r.spans == ",".join(f"{k}:{s}:{e}" for s, _, e, k in spans_by_re(texts[r.doc_id]))
+    every = tuple(r.kind for r in secrets.RULES)
+    first, second = todo
+    assert set(first) == {every} and 0 < len(first) < 40
+    assert second.count(every) == 40 - len(first) and second.count(("pem",)) == len(first) and len(second) == 40
+
+
+def test_clashing_names_and_blank_lines(spark):
+    schema = ("doc_id long, text string, source string, _lines int, _host int, _kept int, _split int, _spans int, _blob int, "
+              "_id int, _sha int, host_of int, marked int, split int, kept int, blob int, spans int, id int, sha int, n_new int, N_LOST int")
+    extra = tuple(range(18))
+    rows = [(i, f"menu\r\n\r\n \t\r\n　\nown {i}\r", "h", *extra) for i in range(20)] + [(99, None, None, *extra)]
+    df = spark.createDataFrame(rows, schema)
+    got = sorted(line_dedup.drop_lines(df).collect(), key=lambda r: r.doc_id)
+    assert [r.text for r in got] == [f"\r\n \t\r\n　\nown {i}\r" for i in range(20)] + [None]
+    assert {tuple(r)[3:21] for r in got} == {extra} and {r.n_dropped for r in got[:20]} == {1}
+    assert secrets.redact(df).columns == df.columns and secrets.redact(df).count() == 21
+    one = minhash.keep_one(df)
+    assert one.columns == df.columns and one.count() == 21 and one.filter("_sha = 7").count() == 21
+
+
+def test_words_across_chunks_and_memory_of_long_texts(monkeypatch):
+    rng = random.Random(0)
+    texts = [None, ""] + ["".join(rng.choice("abÄéß中文ねก  .-1\U00020001") for _ in range(rng.randrange(90))) for _ in range(60)]
+    h, row = hashing.words(pa.array(texts))
+    for size in (4, 5, 7, 16):
+        monkeypatch.setattr(hashing, "_CHUNK", size)
+        hashing._powers.cache_clear()
+        again = hashing.words(pa.array(texts))
+        assert (again[0] == h).all() and (again[1] == row).all()
+    monkeypatch.undo()
+    hashing._powers.cache_clear()
+    code = ("import resource, sys, random, numpy as np, pyarrow as pa; sys.path.insert(0, sys.argv[1])\n"
+            "from reviewlens.llm import hashing, minhash\n"
+            "peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10\n"
+            "rng = random.Random(1); text = ' '.join('w%x' % rng.getrandbits(40) for _ in range(4_000_000))\n"
+            "texts = pa.array([text]); size = len(text) >> 20; del text\n"
+            "hashing.words(pa.array(['warm up'])); before = peak()\n"
+            "h, row, n = hashing.distinct(*hashing.shingles(texts))\n"
+            "minhash.signatures(h, row, np.ones(len(h)), 1, 125); print(size, peak() - before)\n")
+    out = subprocess.run([sys.executable, "-c", code, os.path.dirname(os.path.dirname(os.path.dirname(__file__)))], capture_output=True, text=True)
+    size, used = map(int, out.stdout.split())
+    assert size >= 45 and used < 8 * size, out.stdout + out.stderr
