@@ -27,7 +27,7 @@ def _strip(x: str) -> str:
 CORE = _strip(f"regexp_replace(regexp_replace(owner_reply, '^業主回應{WS}*', ''), "
               f"'^\\pN+{WS}*(年|個月|週|天)前', '')")
 
-REVIEWS = f"reviews AS ({A.REVIEWS_SQL})"
+REVIEWS = f"reviews AS ({A.REVIEWS_SQL.format(each=A.DUCK_EACH)})"
 CLEANED = f"""cleaned AS (
   SELECT slug, pos, name, rating, text_translated, lang, date, owner_reply, photos, date_abs,
     CASE WHEN coalesce(length(owner_reply), 0) > 0 AND coalesce(length(text), 0) > 0

@@ -45,7 +45,12 @@ def doc_counts(reviews: DataFrame) -> DataFrame:
 
 def guard_min_docs(reviews: DataFrame, min_docs: int = 3) -> DataFrame:
     """Per store: its text count and ``ok`` or ``too few texts``."""
-    return (doc_counts(reviews)
+    return guard_status(doc_counts(reviews), min_docs)
+
+
+def guard_status(counts: DataFrame, min_docs: int = 3) -> DataFrame:
+    """``counts`` (slug, count, ...) with the guard's ``status``."""
+    return (counts
             .withColumn("error", F.when(F.col("count") < min_docs, F.lit("too few texts")))
             .withColumn("status", F.coalesce(F.col("error"), F.lit("ok")))
             .drop("error"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewlens.functions.dates import year_of
 from reviewlens.functions.text import has_text, substring_count
+from reviewlens.operators.patterns import pattern_counts
 from reviewlens.operators.ratings import is_negative, round_ratio
 
 
@@ -111,18 +112,31 @@ def first_last_year(yearly_df: DataFrame) -> DataFrame:
     return agg.withColumn("change", F.round(F.col("last_avg") - F.col("first_avg"), 2))
 
 
+# Keywords counted as expressions; longer lists go through one automaton per text.
+IN_ROW_KEYWORDS = 16
+
+
 def keyword_counts(reviews: DataFrame, words, lower: bool = False) -> DataFrame:
     """(slug, word, mentions, reviews): substring hits and reviews mentioning each keyword.
 
-    The keyword list is a parameter of fixed size; it is expanded in-row with
-    ``explode`` (no join), then aggregated with a map-side partial aggregate.
+    A short list is counted in-row: each keyword is one expression over the text, and
+    rows per (text, keyword) carry two numbers, never the text.  A list beyond
+    ``IN_ROW_KEYWORDS`` is found in one pass per text (``operators.patterns``).  Every
+    keyword has a row for every store with text, also where it occurs nowhere.
     """
     text = F.lower(F.col("text")) if lower else F.col("text")
+    words = list(dict.fromkeys(words))
     t = reviews.where(has_text(F.col("text"))).select("slug", text.alias("text"))
-    x = t.select("slug", "text", F.explode(F.array(*[F.lit(w) for w in words])).alias("word"))
-    c = substring_count(F.col("text"), F.col("word"))
-    return x.groupBy("slug", "word").agg(F.sum(c).alias("mentions"),
-                                         F.count_if(c > 0).alias("reviews"))
+    if len(words) <= IN_ROW_KEYWORDS:
+        counts = [F.struct(F.lit(w).alias("word"), substring_count(F.col("text"), F.lit(w)).alias("n")) for w in words]
+        x = t.select("slug", F.inline(F.array(*counts)))
+        return x.groupBy("slug", "word").agg(F.sum("n").alias("mentions"), F.count_if(F.col("n") > 0).alias("reviews"))
+    stores = t.select("slug").distinct()
+    vocab = stores.select("slug", F.posexplode(F.array(*[F.lit(w) for w in words])).alias("vrank", "word"))
+    found = pattern_counts(t, vocab).select(F.col("slug").alias("s"), F.col("word").alias("w"), "count", "texts")
+    zero = F.lit(0).cast("long")
+    return (vocab.join(found, vocab["slug"].eqNullSafe(F.col("s")) & (F.col("word") == F.col("w")), "left")
+            .select("slug", "word", F.coalesce("count", zero).alias("mentions"), F.coalesce("texts", zero).alias("reviews")))
 
 
 def neg_ratio(reviews: DataFrame, base_slug: str, max_neg: int = 2) -> DataFrame:

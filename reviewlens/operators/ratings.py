@@ -31,18 +31,32 @@ def is_negative(max_rating: int = 2) -> Column:
     return (F.coalesce(F.col("rating"), F.lit(5)) <= max_rating) & has_text(F.col("text"))
 
 
-def rating_summary(reviews: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
-    """(slug, total, with_text, avg_rating, neg_count, neg_rate_pct) per store.
+def _hist(buckets) -> list[Column]:
+    return [F.count_if(F.col("rating") == b).alias(f"r{b}") for b in buckets]
+
+
+def store_totals(reviews: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
+    """(slug, total, with_text, rating_sum, rating_n, neg_count, r5 .. r1): the counts that the
+    small-corpus guard, the rating summary and the histogram are made of, in one aggregate.
 
-    Expects echo-cleaned reviews.  The average includes unparsed (0) ratings;
-    the negative rate is negatives with text over all reviews, in percent.
+    Expects echo-cleaned reviews.
     """
-    agg = reviews.groupBy("slug").agg(
+    return reviews.groupBy("slug").agg(
         F.count("*").alias("total"),
         F.count_if(has_text(F.col("text"))).alias("with_text"),
         F.sum("rating").alias("rating_sum"),
         F.count("rating").alias("rating_n"),
-        F.count_if(is_negative(cfg.neg_max_rating)).alias("neg_count"))
+        F.count_if(is_negative(cfg.neg_max_rating)).alias("neg_count"), *_hist(RATING_BUCKETS))
+
+
+def rating_summary(reviews: DataFrame, cfg: AnalysisConfig = DEFAULT, totals: DataFrame | None = None) -> DataFrame:
+    """(slug, total, with_text, avg_rating, neg_count, neg_rate_pct) per store.
+
+    Expects echo-cleaned reviews, or their ``store_totals``.  The average includes
+    unparsed (0) ratings; the negative rate is negatives with text over all reviews,
+    in percent.
+    """
+    agg = store_totals(reviews, cfg) if totals is None else totals
     return agg.select(
         "slug", "total", "with_text",
         round_ratio(F.col("rating_sum"), F.col("rating_n"), 2).alias("avg_rating"),
@@ -52,8 +66,7 @@ def rating_summary(reviews: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFra
 
 def rating_hist(reviews: DataFrame, buckets=RATING_BUCKETS) -> DataFrame:
     """(slug, r5, r4, r3, r2, r1): zero-filled counts per star; 0 has no bucket."""
-    return reviews.groupBy("slug").agg(
-        *[F.count_if(F.col("rating") == b).alias(f"r{b}") for b in buckets])
+    return reviews.groupBy("slug").agg(*_hist(buckets))
 
 
 def monthly_raw(reviews: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:

@@ -2,15 +2,14 @@
 
 Shuffle plan of the BM25 family (per call, all n-gram sizes at once):
 
-1. ``lexical_docs``: tokenizer and keep rule are one regex evaluated in-row.
-2. ``term_freq``: documents are exploded in place and aggregated by
-   (slug, n, pos, term).  Every document lives in one row, so the partial
-   aggregate before the shuffle already holds the full per-document counts and
-   only distinct (document, term) pairs cross the network.  Skew-free: the
-   key includes the document.
+1. ``lexical_docs`` deals the cleaned texts out by (slug, pos) once, then tokenizes;
+   tokenizer and keep rule are one regex evaluated in-row.  A text is smaller than its
+   (document, term) pairs, and no store can skew the key, which names one document.
+2. ``term_freq`` explodes and aggregates by (slug, n, pos, term).  The documents'
+   partitioning already satisfies that key, so no pair crosses the network.
 3. ``stats_from_docs``: N and total length per store from document lengths
-   (a regex match count, no array, no explode); one row per store, broadcast
-   when the store count bounds it.
+   (a regex match count, no array, no explode), over the same exchange; one row per
+   store, broadcast when the store count bounds it.
 4. ``bm25_terms`` aggregates by (slug, n, term) with a partial aggregate per
    map task, so a term that is hot in a huge store is pre-combined before the
    shuffle.  The idf factor is constant per term and is applied after the sum.
@@ -24,9 +23,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlens.config import DEFAULT, AnalysisConfig
-from reviewlens.functions.text import (keep_tokens, lexical_count, lexical_words, ngrams,
-                                       substring_count, token_words)
+from reviewlens.functions.text import keep_tokens, lexical_count, lexical_words, ngrams, token_words
 from reviewlens.operators.clean import strip_reply_echo, with_text
+from reviewlens.operators.patterns import pattern_counts
 from reviewlens.session import broadcast_if, store_count
 
 
@@ -41,12 +40,14 @@ def lexical_docs(reviews: DataFrame, cfg: AnalysisConfig = DEFAULT,
 
     Uses the default lexical tokenizer; every word carries the unknown tag, so
     the keep rule drops one-letter words and stop words.  ``clean`` applies the
-    owner-reply echo removal first, as the analysis does.
+    owner-reply echo removal first, as the analysis does.  Rows are dealt out by
+    (slug, pos), which the term counts build on.
     """
     r = strip_reply_echo(reviews) if clean else reviews
+    r = with_text(r).select("slug", "pos", "text").repartition("slug", "pos")
     # tokenizer and keep rule are one regex; n_words counts the same matches
     # without building them, for statistics that need only lengths
-    return with_text(r).select(
+    return r.select(
         "slug", "pos", lexical_words(F.col("text"), cfg.lower, **_sets(cfg)).alias("words"),
         lexical_count(F.col("text"), cfg.lower, **_sets(cfg)).alias("n_words"))
 
@@ -70,10 +71,10 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
 def term_freq(docs: DataFrame, ns=(1,)) -> DataFrame:
     """(slug, n, pos, term, f, first_i, dl): distinct terms of each n-gram document.
 
-    Exploded and aggregated by (slug, n, pos, term).  A document lives in one
-    row, so the partial aggregate before the shuffle already holds its full
-    counts and only distinct (document, term) pairs are shuffled; the key
-    includes the document, so no store can skew it.  ``first_i`` is the
+    Exploded and aggregated by (slug, n, pos, term).  Documents that are dealt out by
+    (slug, pos), as those of ``lexical_docs`` are, need no further exchange; others
+    (``tagged_docs``, whose word arrays outweigh the pairs) shuffle their distinct
+    (document, term) pairs.  ``first_i`` is the
     term's first index in the document, ``dl`` the document length.  Empty
     documents yield no rows; their count enters through ``stats_from_docs``.
     """
@@ -115,55 +116,28 @@ def stats_from_docs(docs: DataFrame, ns=(1,)) -> DataFrame:
                         .otherwise(F.lit(1.0))))
 
 
-def stats_from_tf(tf: DataFrame) -> DataFrame:
-    """(slug, n, n_docs, total, avgdl) from a ``term_freq`` table.
-
-    Counts only documents with at least one term; use ``stats_from_docs``
-    when empty documents must count in N (the BM25 definition).
-    """
-    first = F.coalesce(F.col("first_i"), F.lit(0)) == 0
-    return (tf.groupBy("slug", "n")
-            .agg(F.count_if(first).alias("n_docs"), F.sum("f").alias("total"))
-            .withColumn("avgdl", F.when(F.col("n_docs") > 0, F.col("total") / F.col("n_docs"))
-                        .otherwise(F.lit(1.0))))
-
-
 def idf(n: Column, df: Column) -> Column:
     """ln((N - df + 0.5) / (df + 0.5) + 1)."""
     return F.log((n - df + F.lit(0.5)) / (df + F.lit(0.5)) + F.lit(1.0))
 
 
-def bm25_terms(tf: DataFrame, k1: float = 1.5, b: float = 0.75,
-               n_stores: int | None = None, n_levels: int = 3,
-               stats: DataFrame | None = None) -> DataFrame:
-    """See ``bm25``; ``stats`` should come from ``stats_from_docs``."""
-    return _bm25(tf, k1, b, n_stores, n_levels, stats)
-
-
 def bm25(docs: DataFrame, ns=(1,), k1: float = 1.5, b: float = 0.75,
          n_stores: int | None = None) -> DataFrame:
     """Corpus BM25 of every term of ``docs`` for each n in ``ns``."""
-    return _bm25(term_freq(docs, ns), k1, b, n_stores, len(tuple(ns)), stats_from_docs(docs, ns))
+    return bm25_terms(term_freq(docs, ns), stats_from_docs(docs, ns), k1, b, n_stores, len(tuple(ns)))
 
 
-def _bm25(tf: DataFrame, k1: float = 1.5, b: float = 0.75,
-          n_stores: int | None = None, n_levels: int = 3,
-          stats: DataFrame | None = None) -> DataFrame:
+def bm25_terms(tf: DataFrame, stats: DataFrame, k1: float = 1.5, b: float = 0.75,
+               n_stores: int | None = None, n_levels: int = 3) -> DataFrame:
     """(slug, n, term, df, tf, n_docs, score, first_pos, first_i): corpus BM25 of every term.
 
     score = sum over documents of idf * f * (k1 + 1) / (f + k1 * (1 - b + b * dl / avgdl)).
     (first_pos, first_i) is the term's first appearance (tie-break).
 
-    The NULL term of empty documents is kept as one group with a NULL score
-    (it sorts last and ``ranked_terms`` drops it after ranking): filtering it
-    earlier would be pushed into one branch only and stop Spark from reusing
-    the shuffled term table for the statistics.
-
-    The statistics (one row per store and n; ``stats_from_docs`` when
-    given, else derived from ``tf``) are broadcast when ``n_stores`` proves
-    them small; otherwise they are shuffle-joined.
+    ``stats`` (``stats_from_docs``: one row per store and n) is broadcast when
+    ``n_stores`` proves it small; otherwise it is shuffle-joined.
     """
-    st = stats if stats is not None else stats_from_tf(tf)
+    st = stats
     st = st.select("slug", "n", "n_docs", "avgdl")
     bound = None if n_stores is None else n_stores * n_levels
     t = tf.join(broadcast_if(st, bound), ["slug", "n"])
@@ -181,8 +155,7 @@ def _bm25(tf: DataFrame, k1: float = 1.5, b: float = 0.75,
 def word_freq(tf: DataFrame) -> DataFrame:
     """(slug, word, count, first_pos, first_i): corpus word counts from unigram ``term_freq``.
 
-    As in ``bm25_terms`` the NULL word of empty documents stays (count 0) and
-    is dropped after ranking.
+    Empty documents give no word.
     """
     return (tf.where(F.col("n") == 1)
             .groupBy("slug", F.col("term").alias("word"))
@@ -243,8 +216,7 @@ def top_terms(docs: DataFrame, ns=(1,), k: int = 100, cfg: AnalysisConfig = DEFA
     ``n_stores`` (counted when not given) bounds the statistics broadcast.
     """
     n_stores = store_count(docs) if n_stores is None else n_stores
-    bm = bm25_terms(term_freq(docs, ns), cfg.k1, cfg.b, n_stores, len(tuple(ns)),
-                    stats_from_docs(docs, ns))
+    bm = bm25(docs, ns, cfg.k1, cfg.b, n_stores)
     bm = bm.where(F.col("n_docs") >= cfg.min_docs)
     return (ranked_terms(bm, k)
             .select("slug", "n", "rank", "term", F.round("score", 2).alias("score")))
@@ -257,16 +229,10 @@ def mention_counts(neg_reviews: DataFrame, vocab: DataFrame, k: int = 50,
     ``vocab`` is (slug, rank, word), e.g. the top 100 words.  Counts are
     non-overlapping substring occurrences summed over the store's negative
     texts; words with no hit are dropped; ranked by count then vocabulary rank.
-    The vocabulary is joined on ``slug`` (an equi-join, never a nested loop):
-    broadcast when ``vocab_rows`` bounds it under the limit, otherwise a
-    shuffle join where AQE splits a store holding many negative reviews.
+    One pass over each text finds all words (``operators.patterns``).
     """
     text = F.lower(F.col("text")) if lower else F.col("text")
-    texts = neg_reviews.select("slug", text.alias("text"))
-    v = vocab.select("slug", F.col("rank").alias("vrank"), "word")
-    hits = (texts.join(broadcast_if(v, vocab_rows), "slug")
-            .groupBy("slug", "word", "vrank")
-            .agg(F.sum(substring_count(F.col("text"), F.col("word"))).alias("count"))
-            .where(F.col("count") > 0))
+    hits = pattern_counts(neg_reviews.select("slug", text.alias("text")),
+                          vocab.select("slug", F.col("rank").alias("vrank"), "word"), vocab_rows)
     return (top_k(hits, k, [F.col("count").desc(), F.col("vrank").asc()])
             .select("slug", "rank", "word", "count"))

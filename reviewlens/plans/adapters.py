@@ -20,7 +20,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 # reviews: one review per document with its whole text; store = source, scrape
 # position = doc_id.  Reviews without text or name and replies that echo the
 # review (after a plain, ideographic or no-break space) are extra rows at
-# negative positions.
+# negative positions (k 1 and 2), made in place from one reading of the tables.
 REVIEWS_SQL = """
 WITH base AS (
   SELECT d.doc_id, d.source AS slug, concat('u', cast(d.doc_id % 19 AS string)) AS name,
@@ -32,19 +32,16 @@ WITH base AS (
     CASE WHEN d.doc_id % 13 = 0 THEN NULL
          ELSE cast(date '2022-01-01' + cast((d.doc_id * 37) % 499 AS int) AS string) END AS date_abs
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
-SELECT slug, doc_id AS pos, name, rating, text, '' AS text_translated, lang, date, owner_reply, photos, date_abs
-FROM base
-UNION ALL
-SELECT slug, -1 - 3 * doc_id, CASE WHEN doc_id % 2 = 0 THEN name END, rating, '', '', lang, date, owner_reply,
-  photos, date_abs
-FROM base WHERE doc_id % 7 = 6
-UNION ALL
-SELECT slug, -2 - 3 * doc_id, name, rating, text,
-  CASE WHEN doc_id % 3 = 0 THEN concat('translated ', text) ELSE '' END, lang, date,
-  concat('業主回應', CASE doc_id % 3 WHEN 0 THEN ' ' WHEN 1 THEN '\u3000' ELSE '\u00a0' END, '3 個月前', text),
-  photos, date_abs
-FROM base WHERE doc_id % 11 = 3
+SELECT slug, CASE k WHEN 0 THEN doc_id WHEN 1 THEN -1 - 3 * doc_id ELSE -2 - 3 * doc_id END AS pos,
+  CASE WHEN k <> 1 OR doc_id % 2 = 0 THEN name END AS name, rating, CASE WHEN k = 1 THEN '' ELSE text END AS text,
+  CASE WHEN k = 2 AND doc_id % 3 = 0 THEN concat('translated ', text) ELSE '' END AS text_translated, lang, date,
+  CASE WHEN k = 2 THEN concat('業主回應', CASE doc_id % 3 WHEN 0 THEN ' ' WHEN 1 THEN '\u3000' ELSE '\u00a0' END,
+                              '3 個月前', text) ELSE owner_reply END AS owner_reply, photos, date_abs
+FROM base {each}
 """
+_KINDS = "0, CASE WHEN doc_id % 7 = 6 THEN 1 END, CASE WHEN doc_id % 11 = 3 THEN 2 END"
+SPARK_EACH = f"LATERAL VIEW explode(array_compact(array({_KINDS}))) v AS k"
+DUCK_EACH = f", unnest(list_filter([{_KINDS}], lambda x: x IS NOT NULL)) AS v(k)"
 
 # posts: review-list API posts (purchase events); name pool u0..u16, so the
 # reviewers u17 and u18 never find a post.
@@ -147,7 +144,7 @@ def _with_views(spark: SparkSession, sf_dir: str, names) -> None:
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     _with_views(spark, sf_dir, ("documents", "labels"))
-    return spark.sql(REVIEWS_SQL)
+    return spark.sql(REVIEWS_SQL.format(each=SPARK_EACH))
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:

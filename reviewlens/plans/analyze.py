@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewlens.config import DEFAULT, AnalysisConfig
+from reviewlens.config import DEFAULT, RATING_BUCKETS, AnalysisConfig
 from reviewlens.functions.text import chart_label
 from reviewlens.operators import clean as C
 from reviewlens.operators import ratings as R
@@ -41,19 +41,22 @@ def analysis(reviews: DataFrame, cfg: AnalysisConfig = DEFAULT, docs: DataFrame
 
     ``docs`` overrides the default lexical documents, e.g. with documents
     built from model labels (``tokens.segment`` + ``terms.tagged_docs``).
-    With ``materialize`` the top-word vocabulary (at most ``top_words`` rows
-    per store) is written once to the shared checkpoint folder: the word
-    lists and the negative-mention join both read it instead of tokenizing
-    the corpus twice.
+    The stores' totals (one row per store) are one aggregate over the reviews, written
+    once to the shared checkpoint folder; guard, ratings, histogram and the list of
+    analysed stores all read it.  With ``materialize`` so is the top-word vocabulary
+    (at most ``top_words`` rows per store): the word lists and the negative-mention
+    count both read it instead of tokenizing the corpus twice.
     """
-    from reviewlens.session import broadcast_if, cut_lineage, store_count
-    n_stores = store_count(reviews)  # bounds every per-store side table below
+    from reviewlens.session import broadcast_if, cut_lineage
     cleaned = C.strip_reply_echo(reviews)
-    ok = C.keep_analyzable(cleaned, cfg.min_docs, n_stores)
+    totals = cut_lineage(R.store_totals(cleaned, cfg))
+    n_stores = totals.count()  # bounds every per-store side table below
+    fits = totals.where(F.col("with_text") >= cfg.min_docs)
+    ok = cleaned.join(broadcast_if(fits.select("slug"), n_stores), "slug", "left_semi")
     if docs is None:
         docs = T.lexical_docs(ok, cfg, clean=False)
     else:
-        docs = docs.join(broadcast_if(ok.select("slug").distinct(), n_stores), "slug", "left_semi")
+        docs = docs.join(broadcast_if(fits.select("slug"), n_stores), "slug", "left_semi")
 
     def word_freq():
         wf = T.ranked_words(T.word_freq(T.term_freq(docs, (1,))), cfg.top_words)
@@ -61,8 +64,7 @@ def analysis(reviews: DataFrame, cfg: AnalysisConfig = DEFAULT, docs: DataFrame
         return cut_lineage(wf) if materialize else wf
 
     def bm25():
-        bm = T.bm25_terms(T.term_freq(docs, cfg.ngram_sizes), cfg.k1, cfg.b, n_stores,
-                          len(cfg.ngram_sizes), T.stats_from_docs(docs, cfg.ngram_sizes))
+        bm = T.bm25(docs, cfg.ngram_sizes, cfg.k1, cfg.b, n_stores)
         terms = T.ranked_terms(bm, cfg.top_terms)
         return terms.select("slug", "n", "rank", "term", F.round("score", 2).alias("score"),
                             F.col("score").alias("score_raw"))
@@ -73,14 +75,15 @@ def analysis(reviews: DataFrame, cfg: AnalysisConfig = DEFAULT, docs: DataFrame
                                 cfg.top_neg_words, cfg.lower, vocab_rows=n_stores * cfg.top_words)
 
     parts = _Parts({
-        "guard": lambda: C.guard_min_docs(cleaned, cfg.min_docs),
+        "totals": lambda: totals,
+        "guard": lambda: C.guard_status(totals.select("slug", F.col("with_text").alias("count")), cfg.min_docs),
         "word_freq": word_freq,
         "bm25": bm25,
         "neg_word_freq": neg_word_freq,
         "monthly": lambda: R.monthly(ok, cfg),
         "trend": lambda: R.trend(parts["monthly"], cfg),
-        "ratings": lambda: R.rating_summary(ok, cfg),
-        "hist": lambda: R.rating_hist(ok),
+        "ratings": lambda: R.rating_summary(ok, cfg, fits.where(F.col("slug").isNotNull())),
+        "hist": lambda: fits.where(F.col("slug").isNotNull()).select("slug", *[f"r{b}" for b in RATING_BUCKETS]),
     })
     return parts
 
@@ -105,20 +108,22 @@ def summary(reviews: DataFrame, cfg: AnalysisConfig = DEFAULT, parts: dict | Non
     with one row per store.
     """
     p = parts if parts is not None else analysis(reviews, cfg)
-    g = p["guard"].select("slug", F.col("count").alias("with_text"),
-                          F.when(F.col("status") != "ok", F.col("status")).alias("error"))
-    rs = p["ratings"].drop("with_text", "neg_count")
-    out = (g.join(rs, "slug", "left")
-           .join(p["hist"], "slug", "left")
-           .join(_joined_words(p["word_freq"], {"top_words": cfg.summary_words,
-                                                 "top_keywords": cfg.summary_keywords}), "slug", "left")
+    t = p["totals"]
+    status = C.guard_status(t.withColumn("count", F.col("with_text")), cfg.min_docs)
+    rated = status.select("slug", "with_text", F.when(F.col("status") != "ok", F.col("status")).alias("error"),
+                          *[f"r{b}" for b in RATING_BUCKETS])
+    rated = rated.join(R.rating_summary(reviews, cfg, t).drop("with_text", "neg_count"), "slug", "left")
+    out = (rated.join(_joined_words(p["word_freq"], {"top_words": cfg.summary_words,
+                                                     "top_keywords": cfg.summary_keywords}), "slug", "left")
            .join(_joined_words(p["neg_word_freq"], {"neg_top_words": cfg.summary_neg_words}), "slug", "left")
            .join(p["trend"], "slug", "left"))
     ok = F.col("error").isNull()
+    analysed = ok & F.col("slug").isNotNull()        # a store without a name is only counted
     return out.select(
-        "slug", "total", "with_text", "avg_rating",
-        *[f"r{b}" for b in (5, 4, 3, 2, 1)],
-        "neg_rate_pct",
+        "slug", F.when(analysed, F.col("total")).alias("total"), "with_text",
+        F.when(analysed, F.col("avg_rating")).alias("avg_rating"),
+        *[F.when(analysed, F.col(f"r{b}")).alias(f"r{b}") for b in RATING_BUCKETS],
+        F.when(analysed, F.col("neg_rate_pct")).alias("neg_rate_pct"),
         F.when(ok, F.coalesce("top_words", F.lit(""))).alias("top_words"),
         F.when(ok, F.coalesce("top_keywords", F.lit(""))).alias("top_keywords"),
         F.when(ok, F.coalesce("neg_top_words", F.lit(""))).alias("neg_top_words"),
