@@ -178,20 +178,19 @@ def neg_chart(parts: dict, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
 
 def write_analysis(reviews: DataFrame, root: str, cfg: AnalysisConfig = DEFAULT,
                    fmt: str = "json") -> dict:
-    """Compute every output once and write it under ``root`` (one folder per table,
-    one sub-folder per store).
+    """Compute every output once and write it under ``root`` (one folder per table, run and
+    store); the tables of a run are committed together (``sources.results``).
 
-    The tokenized documents feed several outputs, so they are written once to
-    the shared checkpoint folder (``spark.checkpoint.dir``) first; a lost
+    The tokenized documents and the ranked lists feed several outputs, so they are
+    written once to the shared checkpoint folder (``spark.checkpoint.dir``) first; a lost
     executor then re-reads them instead of re-tokenizing everything.
     """
-    from reviewlens.session import cut_lineage, store_count
-    from reviewlens.sources.files import write_results
+    from reviewlens.session import cut_lineage
+    from reviewlens.sources.results import write_results
 
-    cleaned = C.strip_reply_echo(reviews)
-    ok = C.keep_analyzable(cleaned, cfg.min_docs, store_count(reviews))
-    docs = cut_lineage(T.lexical_docs(ok, cfg, clean=False))
-    parts = analysis(reviews, cfg, docs=docs, materialize=False)
+    parts = analysis(reviews, cfg, docs=cut_lineage(T.lexical_docs(reviews, cfg)))
+    parts["bm25"] = cut_lineage(parts["bm25"])       # read by a table per n-gram size and the charts
+    parts["neg_word_freq"] = cut_lineage(parts["neg_word_freq"])
     tables = {
         "word_freq": parts["word_freq"],
         "neg_word_freq": parts["neg_word_freq"],

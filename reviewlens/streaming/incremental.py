@@ -10,6 +10,7 @@ overwrite), so results always describe whole stores.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from reviewlens.config import DEFAULT, AnalysisConfig
 from reviewlens.plans.analyze import write_analysis
@@ -35,7 +36,8 @@ def run_incremental(spark: SparkSession, incoming: str, table: str, results: str
             return
         merge_reviews(df.select(*REVIEWS_COLUMNS), table)
         touched = df.select("slug").distinct()
-        full = read_reviews(spark, table).join(touched, "slug", "left_semi")
+        touched = touched.withColumnRenamed("slug", "_touched")
+        full = read_reviews(spark, table).join(touched, F.col("slug").eqNullSafe(F.col("_touched")), "left_semi")
         write_analysis(full, results, cfg)
 
     q = (review_stream(spark, incoming, schema).writeStream

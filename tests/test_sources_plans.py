@@ -92,7 +92,7 @@ def test_streaming_incremental(spark, tmpdir_path):
 
 
 def test_a_store_that_loses_its_rows_loses_its_partition(spark, tmpdir_path):
-    from reviewlens.sources.files import write_results
+    from reviewlens.sources.results import write_results
     stores = spark.createDataFrame([("a",), ("b",)], "slug string")
     both = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "slug string, n int")
     write_results({"t": both}, tmpdir_path)
