@@ -410,6 +410,34 @@ SELECT page_id, CAST(card AS INTEGER) AS card,
 FROM c"""
 
 
+# straight from the documents: what the cards were made of, inner cards behind their outer one
+PAGE_REVIEWS = f"""WITH d AS (
+  SELECT source AS slug, CAST(floor(doc_id / 320) AS BIGINT) AS page, doc_id, 0 AS inner_card,
+    concat('u', doc_id % 19) AS name,
+    CASE WHEN doc_id % 41 = 0 THEN 0 ELSE 1 + doc_id % 5 END AS rating,
+    CASE WHEN doc_id % 3 = 2 THEN {_strip("concat('translated ', text)")} ELSE '' END AS tr,
+    CASE WHEN doc_id % 3 = 1 OR doc_id % 6 = 2 THEN {_strip('text')} ELSE '' END AS tx,
+    concat(1 + doc_id % 11, ' 個月前') AS date,
+    CASE WHEN doc_id % 11 = 5 THEN '業主回應 感謝 & 歡迎' ELSE '' END AS owner_reply,
+    doc_id % 3 + CASE WHEN doc_id % 29 = 0 THEN 1 ELSE 0 END AS photos FROM documents
+  UNION ALL
+  SELECT source, CAST(floor(doc_id / 320) AS BIGINT), doc_id, 1, 'inner', 0, '', '', '', '', 1
+  FROM documents WHERE doc_id % 29 = 0),
+r AS (SELECT *, page * 4294967296 + row_number() OVER (PARTITION BY slug, page ORDER BY doc_id, inner_card) - 1 AS pos,
+        CASE WHEN tx <> '' THEN tx ELSE tr END AS text FROM d),
+reviews AS (SELECT slug, CAST(pos AS BIGINT) AS pos, name, CAST(rating AS INT) AS rating, text,
+    CASE WHEN tr <> '' AND tr <> text THEN tr ELSE '' END AS text_translated,
+    CASE WHEN regexp_matches(text, '[\\x{{3040}}-\\x{{309F}}\\x{{30A0}}-\\x{{30FF}}]') THEN 'ja'
+         WHEN regexp_matches(text, '[\\x{{AC00}}-\\x{{D7AF}}]') THEN 'ko'
+         WHEN regexp_full_match(replace(text, chr(10), ''), '{EN}+') THEN 'en' ELSE 'zh' END AS lang,
+    date, owner_reply, CAST(photos AS INT) AS photos FROM r),
+{PAYLOADS},
+{PAYLOAD_FILTER_CTE},
+{POSTS_CTE},
+{MATCH_CTE}
+SELECT reviews.*, m.date_abs, m.timestamp_us FROM reviews JOIN matched m USING (slug, pos)"""
+
+
 # --- chart, buckets, scoring ---------------------------------------------------
 WORD_FREQ_CHART = f"""WITH w AS ({WORD_FREQ}), c AS (SELECT * FROM w WHERE rank <= 30)
 SELECT slug, rank, word, count, count(*) OVER (PARTITION BY slug) - rank AS bar FROM c"""
@@ -471,6 +499,7 @@ def oracle_sql() -> dict[str, str]:
         "bm25_tagged": bm25_tagged(),
         "list_stores": LIST_STORES,
         "page_cards": PAGE_CARDS,
+        "page_reviews": PAGE_REVIEWS,
         "word_freq_chart": WORD_FREQ_CHART,
         "yearly_buckets": YEARLY_BUCKETS,
         "score_labels": SCORE_LABELS,

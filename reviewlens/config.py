@@ -47,6 +47,14 @@ RATING_BUCKETS = (5, 4, 3, 2, 1)
 # --- end of fixed values ----------------------------------------------------
 
 
+# --- fixed values: the classes that mark a review card's parts on a page
+REVIEW_CARD = ".jftiEf"
+REVIEW_CARD_FIELDS = {"name": ".d4r55", "stars": ".kvMYJc@aria-label", "date": ".rsqaWe", "owner_reply": ".CDe7pd"}
+REVIEW_CARD_BLOCKS = ".wiI7pd"
+REVIEW_CARD_PHOTOS = "button.Tya61d"
+# --- end of fixed values
+
+
 @dataclass(frozen=True)
 class AnalysisConfig:
     """Parameters of one analysis run (defaults are the original tool's)."""

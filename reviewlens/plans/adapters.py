@@ -112,6 +112,29 @@ SPARK_CARD_BLOCKS = dict(empty="array()", one="array(d.text)",
 DUCK_CARD_BLOCKS = dict(empty="[]::VARCHAR[]", one="[d.text]",
                         two_a="[concat('translated ', d.text), d.text]", two_b="[d.text, '']")
 
+# review_pages: pages of review cards, some 16 to a page.  Every third card has no text block,
+# one or two of them; every 29th holds another card.
+REVIEW_PAGES_SQL = """
+WITH c AS (
+  SELECT source AS slug, cast(floor(doc_id / 320) AS bigint) AS page, doc_id,
+    replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS t FROM documents),
+h AS (
+  SELECT slug, page, doc_id, concat(
+    '<div class="x jftiEf"><div class="d4r55"> u', cast(doc_id % 19 AS string), '\n</div><p>',
+    CASE WHEN doc_id % 41 = 0 THEN '' ELSE concat('<span class="kvMYJc" aria-label="', cast(1 + doc_id % 5 AS string),
+      CASE WHEN doc_id % 2 = 0 THEN '.5' ELSE '' END, ' 顆星"><img></span>') END,
+    '<span class="rsqaWe">', cast(1 + doc_id % 11 AS string), ' 個月前</span>',
+    CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN concat('<div class="wiI7pd"><b>', t, '</b></div>')
+      ELSE concat('<div class="wiI7pd">translated ', t, '</div><div class="wiI7pd">', CASE WHEN doc_id % 2 = 0 THEN t ELSE '' END, '</div>') END,
+    CASE WHEN doc_id % 11 = 5 THEN '<div class="CDe7pd"><span>業主回應</span> 感謝 &amp; 歡迎 </div>' ELSE '' END,
+    repeat('<button class="Tya61d"></button>', cast(doc_id % 3 AS int)),
+    CASE WHEN doc_id % 29 = 0 THEN '<div class="jftiEf"><i class="d4r55">inner</i><button class="a Tya61d"></button></div>' ELSE '' END,
+    '</div>') AS card FROM c)
+SELECT slug, page, concat('<html><body>', {joined}, '</body></html>') AS html FROM h GROUP BY slug, page
+"""
+SPARK_JOINED = "listagg(card, '') WITHIN GROUP (ORDER BY doc_id)"
+DUCK_JOINED = "string_agg(card, '' ORDER BY doc_id)"
+
 # places: what resolving a short link yields: page title, address label and
 # the final URL (place path segments, sometimes an ``?entry=`` tail).
 PLACES_SQL = """
@@ -174,3 +197,8 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     _with_views(spark, sf_dir, ("pages",))
     return spark.sql(PLACES_SQL)
+
+
+def review_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _with_views(spark, sf_dir, ("documents",))
+    return spark.sql(REVIEW_PAGES_SQL.format(joined=SPARK_JOINED))

@@ -307,6 +307,13 @@ def page_cards(spark, sf):
     return extract_cards(A.pages(spark, sf), "li", {"text": "a", "href": "a@href"}, {"links": "a"})
 
 
+def page_reviews(spark, sf):
+    """Reviews assembled from pages of cards, with dates matched from the captured posts."""
+    from reviewlens.sources.pages import page_reviews as assemble
+    rows = cut_lineage(assemble(A.review_pages(spark, sf)))      # parsed once, read by both sides of the ordinal
+    return M.match_dates(rows, _posts(spark, sf))
+
+
 QUERIES = {
     "bm25_unigram": bm25(1),
     "bm25_2gram": bm25(2),
@@ -354,4 +361,5 @@ QUERIES = {
     "bm25_tagged": bm25_tagged,
     "list_stores": list_stores,
     "page_cards": page_cards,
+    "page_reviews": page_reviews,
 }
