@@ -6,6 +6,7 @@ import random
 import re
 import subprocess
 import sys
+import time
 import zlib
 from array import array
 
@@ -502,3 +503,30 @@ def test_words_across_chunks_and_memory_of_long_texts(monkeypatch):
     out = subprocess.run([sys.executable, "-c", code, os.path.dirname(os.path.dirname(os.path.dirname(__file__)))], capture_output=True, text=True)
     size, used = map(int, out.stdout.split())
     assert size >= 45 and used < 8 * size, out.stdout + out.stderr
+
+
+def test_long_parts_and_decoding(spark, docs):
+    m = nbest.model(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(2)
+    parts = ["▁" + "".join(rng.choice("abcdeinrst中文é\U0001F600") for _ in range(rng.randrange(1, 40))) for _ in range(200)]
+    m.cache.clear()
+    m.viterbi(parts)
+    want = dict(m.cache)
+    for p in parts:
+        m._alone(p)
+    for p in parts:
+        assert m.cache[p][0] == want[p][0] and m.cache[p][1:] == pytest.approx(want[p][1:])
+    start = time.process_time()
+    (best, *_), = m.n_best(["中文字無空格" * 20_000], 2)
+    assert time.process_time() - start < 30 and m.decode(array("I", best[1])) == "中文字無空格" * 20_000
+    # texts cut as a batch and one by one
+    texts = ["plain words here", "two  spaces", " lead", "tail ", "a ▁ mark", "", None, "x", "中 文", "same words same words"] * 2
+    spaced = m.n_best(texts, 4)
+    m.plain, was = False, m.plain
+    alone = m.n_best(texts, 4)
+    m.plain = was
+    assert [[i for _, i in f] for f in spaced] == [[i for _, i in f] for f in alone]
+    got = nbest.op6(spark, docs.union(docs.limit(0))).collect()
+    assert all(r.round_trip for r in got) and len(got) == len(ROWS)
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert all(r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest() for r in got if r.doc_id not in (None,))
