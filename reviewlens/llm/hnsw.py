@@ -3,14 +3,16 @@
 Vectors are split into shards by hash; each shard is a graph of layers, built
 in one task.  Every block of vectors then asks every shard: a search walks down
 the layers and keeps a beam of the nearest nodes found.  A query's beam widens
-while even its worst member is a link, and all beams widen until an audit (a
-spread of queries against every vector of the shard) misses no more than it
-may; a beam as wide as the shard is the exact scan.  Links are checked by cosine
-in double precision.
+while even its worst member is a link, and all beams widen until an audit against
+every vector of the shard misses no more than it may; a beam as wide as the shard
+is the exact scan.  The audit asks a spread of the queries and a spread of the
+shard's own nodes turned half-way to the least cosine, so it always knows links.
+Links are checked by cosine in double precision.
 
 A (block, shard) task emits counts and a spanning forest of its links, never the
 links themselves; connected components then unite the forests.  Equal vectors
-are one node from the start.
+are one node from the start; a node's number is its own, whatever the keys of
+its rows.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ BEAM = 48
 SHARD_ROWS = 100_000        # vectors of a shard at most; never fewer shards than LEAST_SHARDS
 LEAST_SHARDS = 12
 BLOCK_ROWS = 100_000        # vectors of a block of queries at most
-AUDIT = 64                  # audited queries per search
+AUDIT = 64                  # audited queries per search, and as many turned nodes
 RECALL = 0.999              # links found among those the audit knows
 
 
@@ -212,24 +214,44 @@ class Graph:
         return search(self.vecs, self.layers[-1], queries, entry, beam)
 
 
-def linked(graph: Graph, queries: np.ndarray, cosine: float):
-    """Yields (query numbers, node numbers) of the pairs near ``cosine`` or above.
+def turned(vecs: np.ndarray, cosine: float, n: int) -> np.ndarray:
+    """A spread of ``n`` unit vectors, each turned in a random direction to the
+    middle between ``cosine`` and 1, so that each has a link."""
+    v = vecs[np.unique(np.linspace(0, len(vecs) - 1, min(n, len(vecs))).astype(int))].astype(np.float64)
+    r = np.random.default_rng(11).normal(size=v.shape)
+    r -= (r * v).sum(1, keepdims=True) * v
+    size = np.linalg.norm(r, axis=1, keepdims=True)
+    c = (1 + cosine) / 2
+    # in one dimension there is nowhere to turn
+    return np.where(size > 1e-9, c * v + np.sqrt(1 - c * c) * r / np.maximum(size, 1e-9), v).astype(np.float32)
 
-    Beams widen for the queries whose worst beam member is still a link, and for
-    all while the audit misses links.
-    """
+
+def audited(graph: Graph, queries: np.ndarray, cosine: float) -> tuple[int, int, int]:
+    """(beam, known, found): the first beam whose search finds ``RECALL`` of the
+    links that an exact scan of the shard knows for the audited vectors, and the
+    sums of both.  Vectors whose beam is full of links are left out: ``linked``
+    widens theirs anyway."""
     low, n = cosine - 1e-4, len(graph.vecs)
-    audit = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int))
-    truth = queries[audit] @ graph.vecs.T >= low
+    spread = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int))
+    asked = np.concatenate([queries[spread], turned(graph.vecs, cosine, AUDIT)])
+    known = (asked @ graph.vecs.T >= low).sum(1)
     beam = BEAM
     while True:
-        ids, sims = graph.nearest(queries[audit], min(beam, n))
-        full = (sims >= low).all(1)
-        found = ((sims >= low) & (ids >= 0)).sum(1)
-        known = truth.sum(1)
-        if 2 * beam >= n or found[~full].sum() >= RECALL * known[~full].sum():
-            break
+        ids, sims = graph.nearest(asked, min(beam, n))
+        hit = (sims >= low) & (ids >= 0)
+        part = ~hit.all(1) | (2 * beam >= n)
+        sums = int(known[part].sum()), int(hit[part].sum())
+        if 2 * beam >= n or sums[1] >= RECALL * sums[0]:
+            return beam, *sums
         beam *= 2
+
+
+def linked(graph: Graph, queries: np.ndarray, cosine: float, beam: int):
+    """Yields (query numbers, node numbers) of the pairs near ``cosine`` or above.
+
+    Beams widen for the queries whose worst beam member is still a link.
+    """
+    low, n = cosine - 1e-4, len(graph.vecs)
     todo, rows = np.arange(len(queries)), max(16, (16 << 20) // n)
     while len(todo):
         again = []
@@ -280,7 +302,8 @@ def _ask(cosine: float):
     def run(key: tuple, graphs: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         import pickle
         empty = pd.DataFrame({"id": pd.Series([], dtype="int64"), "links": pd.Series([], dtype="int64"),
-                              "root": pd.Series([], dtype="int64")})
+                              "root": pd.Series([], dtype="int64"), "known": pd.Series([], dtype="int64"),
+                              "hits": pd.Series([], dtype="int64")})
         if not len(graphs) or not len(block):
             return empty
         ids, copies, unit, layers = pickle.loads(graphs["graph"].iloc[0])
@@ -291,15 +314,19 @@ def _ask(cosine: float):
         q = v / np.linalg.norm(v, axis=1, keepdims=True)
         both, at = np.unique(np.concatenate([ids, qid]), return_inverse=True)   # numbers grow with ids
         links, root = np.zeros(len(qid), np.int64), np.arange(len(both))
-        for i, j in linked(g, q.astype(np.float32), cosine):
+        asked = q.astype(np.float32)
+        beam, known, hits = audited(g, asked, cosine)
+        for i, j in linked(g, asked, cosine, beam):
             sure = np.einsum("ed,ed->e", q[i], unit[j]) >= cosine
             i, j = i[sure], j[sure]
             i, j = i[qid[i] != ids[j]], j[qid[i] != ids[j]]
             np.add.at(links, i, copies[j])
             root = forest(at[len(ids) + i], at[j], len(both), root)
         moved = np.flatnonzero(root != np.arange(len(both)))
-        return pd.concat([empty, pd.DataFrame({"id": qid, "links": links, "root": qid})[links > 0],
-                          pd.DataFrame({"id": both[moved], "links": 0, "root": both[root[moved]]})])
+        own = qid[links > 0]
+        return pd.concat([empty, pd.DataFrame({"id": own, "links": links[links > 0], "root": own, "known": 0, "hits": 0}),
+                          pd.DataFrame({"id": both[moved], "links": 0, "root": both[root[moved]], "known": 0, "hits": 0}),
+                          pd.DataFrame({"id": [-1], "links": 0, "root": -1, "known": known, "hits": hits})])
     return run
 
 
@@ -308,13 +335,16 @@ def _numbers(n: int):
 
 
 def link_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:
-    """(key, n_links, component_id, kept) for every row of ``df``.
+    """(key, n_links, component_id, kept, audited_recall) for every row of ``df``.
 
     n_links counts the other rows at ``cosine`` or more, equal vectors included;
     component_id is the smallest key that links lead to.  Vectors that are
     null, empty, zero or hold a null or non-finite component link with nothing,
     as do rows without a key; vectors of other lengths than most link among
-    their own length only.  Repeated keys with equal vectors count as rows.
+    their own length only.  A repeated key's rows are rows of their own, with equal
+    vectors or different ones: each links by its vector, and a component's id is
+    the smallest key of its rows.  audited_recall is the share of the links known
+    to the audits that the searches found, over all tasks (null without vectors).
     An empty table gives no rows; other columns are not read.
     """
     spark = df.sparkSession
@@ -331,9 +361,9 @@ def link_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
                  .withColumn("same", F.when(F.col("fine"), F.sha2(F.concat_ws(",", F.transform(
                      "v", lambda x: x.cast("string"))), 256))), "vectors")
     nodes = (rows.filter("fine").groupBy("same").agg(
-        F.min("key").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("v").alias("v")))
-    nodes = saved(nodes, "nodes")
-    out = []
+        F.min("key").alias("least"), F.count(F.lit(1)).alias("copies"), F.min("v").alias("v")))
+    nodes = saved(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")    # written once, so numbers stay
+    cols, out = "id long, links long, root long, known long, hits long", []
     sizes = [(r.d, r.n) for r in nodes.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()]
     for d, n in sizes:                               # as a rule one length
         shards, blocks = max(LEAST_SHARDS, -(-n // SHARD_ROWS)), max(4, -(-n // BLOCK_ROWS))
@@ -344,22 +374,26 @@ def link_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
                  .select("block", "id", "v", _numbers(shards).alias("shard")))
         served = graphs.withColumn("block", _numbers(blocks))
         out.append(served.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block"))
-                   .applyInPandas(_ask(cosine), "id long, links long, root long"))
-    cols = "id long, links long, root long"
+                   .applyInPandas(_ask(cosine), cols))
     found = spark.createDataFrame([], cols) if not out else out[0]
     for o in out[1:]:
         found = found.unionByName(o)
     found = saved(found, "found")
+    known, hits = found.agg(F.sum("known"), F.sum("hits")).first()
+    recall = F.lit(hits / known if known else None).cast("double")
     count = found.groupBy("id").agg(F.sum("links").alias("links"))
     class_of = components(found.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
-    per_node = (nodes.select("same", "id", "copies").join(count, "id", "left")
-                .join(class_of, F.col("id") == F.col("node"), "left")
-                .select("same", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-                        F.coalesce("component", "id").alias("component_id")))
+    per_node = saved(nodes.select("same", "id", "least", "copies").join(count, "id", "left")
+                     .join(class_of, F.col("id") == F.col("node"), "left")
+                     .select("same", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+                             F.coalesce("component", "id").alias("class")), "classes")
+    name = per_node.groupBy("class").agg(F.min("least").alias("component_id"))
+    per_node = per_node.join(name, "class").select("same", "n_links", "component_id")
     return (rows.select("key", "same").join(per_node, "same", "left")
             .select("key", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                     F.coalesce("component_id", "key").alias("component_id"))
-            .withColumn("kept", F.coalesce(F.col("key") == F.col("component_id"), F.lit(True))))
+            .withColumn("kept", F.coalesce(F.col("key") == F.col("component_id"), F.lit(True)))
+            .withColumn("audited_recall", recall))
 
 
 def op1(spark, vectors: DataFrame) -> DataFrame:

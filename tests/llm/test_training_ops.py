@@ -367,6 +367,107 @@ def test_links_and_components_of_vectors(spark):
     assert hnsw.op1(spark, df.limit(0)).count() == 0
 
 
+def test_vectors_of_repeated_keys(spark):
+    rng = np.random.default_rng(8)
+    v = np.concatenate([rng.normal(size=(60, 6)), [[-1, 0, 0, 0, 0, 0], [-1, 0.05, 0, 0, 0, 0], [0, 1, 0, 0, 0, 0],
+                                                   [0, 1, 0, 0, 0, 0]]])
+    keys = [*(i % 25 for i in range(60)), 103, 103, 101, 102]
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in zip(keys, v)], "vec_id long, embedding array<double>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    sim = unit @ unit.T >= 0.9
+    low = hnsw.forest(*np.nonzero(sim), len(v))
+    least = {c: min(k for k, x in zip(keys, low) if x == c) for c in set(low)}
+    want = sorted((k, int(n) - 1, least[c], k == least[c]) for k, n, c in zip(keys, sim.sum(1), low))
+    got = hnsw.op1(spark, df).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == want
+    assert {r.audited_recall for r in got} == {1.0}
+
+
+def test_audits_know_links_and_widen():
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(3000, 12))
+    unit = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    g = hnsw.Graph(unit, np.arange(len(unit)))
+    far = -unit[:1].repeat(10, 0)
+    beam, known, found = hnsw.audited(g, far, 0.9)      # the queries alone may know no link
+    assert known >= hnsw.AUDIT and found >= hnsw.RECALL * known
+    g.layers = [np.full_like(x, -1) for x in g.layers]   # a graph without edges finds nothing: the scan is left
+    beam, known, found = hnsw.audited(g, far, 0.9)
+    assert 2 * beam >= len(unit) and found == known >= hnsw.AUDIT
+    one = hnsw.turned(np.array([[1.0], [-1.0]], np.float32), 0.9, 4)
+    assert one.tolist() == [[1.0], [-1.0]]
+
+
+def walk(points, room, arcs):
+    """Every row by itself: own shards first, then those left over clockwise."""
+    room, at, over = list(room), {}, []
+    for arc, rank in arcs:
+        s = points[arc][1]
+        if room[s]:
+            room[s] -= 1
+            at[arc, rank] = s
+        else:
+            over.append((arc, rank))
+    for arc, rank in over:
+        k = (arc + 1) % len(points)
+        while not room[points[k][1]]:
+            k = (k + 1) % len(points)
+        room[points[k][1]] -= 1
+        at[arc, rank] = points[k][1]
+    return at
+
+
+@pytest.mark.parametrize("epsilon", [0.0, 0.25])
+def test_ring_against_a_walk_row_by_row(epsilon):
+    rng = random.Random(3)
+    spots = [rng.getrandbits(sharding.RING_BITS) for _ in range(6000)]
+    spots[:1500] = [spots[0]] * 1500                    # a hot key
+    placed = []
+    for shards in (12, 13):
+        points = sharding.ring(shards, 64)
+        pos = [p for p, _ in points]
+        arc_of = [next((i for i, p in enumerate(pos) if p >= x), 0) if x <= pos[-1] else 0 for x in spots]
+        per = {}
+        for row, arc in sorted(enumerate(arc_of), key=lambda r: (spots[r[0]], r[0])):
+            per.setdefault(arc, []).append(row)
+        room = sharding.bounds(len(spots), shards, epsilon)
+        runs = sharding.place(points, {a: len(r) for a, r in per.items()}, room)
+        got = {(a, i): s for a, lo, hi, s, _ in runs for i in range(lo, hi)}
+        want = walk(points, room, [(a, i) for a in sorted(per) for i in range(len(per[a]))])
+        assert got == want and len(got) == len(spots)
+        slots = sorted((s, f + i) for _, lo, hi, s, f in runs for i in range(hi - lo))
+        assert slots == [(s, i) for s in range(shards) for i in range(sum(x[0] == s for x in slots))]
+        placed.append({per[a][i]: s for (a, i), s in got.items()})
+    moved = sum(placed[0][r] != placed[1][r] for r in placed[0]) / len(spots)
+    between = sum(placed[0][r] != placed[1][r] != 12 for r in placed[0]) / len(spots)
+    assert moved < 0.3 and between < 0.2
+
+
+def test_likenesses_against_sets(spark):
+    words = [f"w{i}" for i in range(300)]
+    rng = random.Random(5)
+    texts = {i: " ".join(rng.choices(words, k=rng.choice([2, 30, 200]))) for i in range(12)} | {12: "", 13: None, 14: "a b"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in winnowing.op2(spark, docs).collect()}
+
+    def kept(text):
+        f = spark.createDataFrame([(text,)], "text string")
+        return {x for x in winnowing.with_fingerprint(f).select(winnowing.hashes(F.col("fp")).alias("h")).first().h}
+
+    def jaccard(a, b):
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    order = sorted(texts, reverse=True)
+    for i in (0, 5, 12, 13, 14):
+        after = texts[order[(order.index(i) + 1) % len(order)]] or ""
+        own = texts[i] or ""
+        half = len(own) // 2
+        edited = own[:len(own) - half] + after[:half]
+        assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert abs(got[i].near_edited - jaccard(kept(own), kept(edited))) < 1e-9
+        assert abs(got[i].near_next - jaccard(kept(own), kept(after))) < 1e-9
+
+
 def test_toxicity_learns_words_and_pairs(spark, docs, none):
     rng = random.Random(6)
     def text(i, bad):
