@@ -63,18 +63,24 @@ tf AS (SELECT slug, pos, dl, term, count(*) AS f, min(i) AS first_i
        FROM ex GROUP BY slug, pos, dl, term)"""
 
 
+# a document's share of a score, and its whole part in units of 2**-20: sums of whole
+# numbers don't depend on the order of rows
+SHARE = "(f * 2.5::DOUBLE / (f + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)))"
+WHOLE = f"floor({SHARE} * 1048576)::BIGINT"
+
+
 def bm25(n: int, k: int = 100) -> str:
     return f"""{BASE},
 {tf_ctes(n)},
 sc AS (
   SELECT tf.slug, term, count(*) AS df, max(n_docs) AS n_docs,
-    sum(f * 2.5::DOUBLE / (f + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS tfn,
+    (sum({WHOLE}) + sum(floor(({SHARE} * 1048576 - {WHOLE}) * 1073741824)::BIGINT)::DOUBLE / 1073741824) / 1048576 AS tfn,
     min(pos) AS first_pos, arg_min(first_i, pos) AS first_i
   FROM tf JOIN stats USING (slug) GROUP BY tf.slug, term),
 ranked AS (
   SELECT slug, term, ln((n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1.0::DOUBLE) * tfn AS score,
     row_number() OVER (PARTITION BY slug ORDER BY
-      round(ln((n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1.0::DOUBLE) * tfn, 9) DESC,
+      ln((n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1.0::DOUBLE) * tfn DESC,
       first_pos, first_i) AS rank
   FROM sc)
 SELECT slug, {n} AS n, rank, term, round(score, 2) AS score FROM ranked WHERE rank <= {k}"""
@@ -452,6 +458,29 @@ t AS (SELECT slug, pos, regexp_extract_all(text, '(?s)\\pL+|[\\p{{Nd}}²³¹]+|[
       FROM reviews WHERE {HAS.format(x='text')})
 SELECT slug, pos, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM t"""
 
+SCORE_HEADS = f"""WITH {REVIEWS},
+t AS (SELECT slug, pos, regexp_extract_all(text, '(?s)\\pL+|[\\p{{Nd}}²³¹]+|[\\s\\pZ\\x{{1C}}-\\x{{1F}}\\x{{85}}\\x0B]+|.') AS w
+      FROM reviews WHERE {HAS.format(x='text')}),
+x AS (SELECT slug, pos, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM t)
+SELECT *, CASE WHEN regexp_matches(word, '^\\pL') THEN 'letter' WHEN regexp_matches(word, '^[\\p{{Nd}}²³¹]') THEN 'digit'
+  WHEN regexp_matches(word, '^[\\s\\pZ\\x{{1C}}-\\x{{1F}}\\x{{85}}\\x0B]') THEN 'space' ELSE 'other' END AS tag FROM x"""
+PERIOD_RATINGS = f"""{PRE},
+d AS (SELECT slug, rating, TRY_CAST(date_abs AS DATE) AS day FROM cleaned WHERE {HAS.format(x='date_abs')}),
+p AS (SELECT DISTINCT year(day) AS y FROM d WHERE day IS NOT NULL)
+SELECT slug, y || '-' || (y + 3) AS period, count(*) AS reviews, {rr('sum(rating)', 'count(rating)', 2)} AS avg_rating
+FROM d JOIN p ON day BETWEEN make_date(y, 7, 1) AND make_date(y + 3, 6, 30) GROUP BY slug, y"""
+LISTED_DOCS = f"""WITH {REVIEWS},
+{CLEANED},
+stop AS (SELECT list(DISTINCT w) AS l FROM (SELECT unnest(regexp_extract_all(text, '\\p{{L}}+')) AS w FROM benchmark)),
+k AS (SELECT slug, pos, list_filter(regexp_extract_all(text, '\\p{{L}}+'), {KEEP}) AS words
+      FROM cleaned WHERE {HAS.format(x='text')}),
+e AS (SELECT slug, pos, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM k),
+o AS (SELECT slug, pos, list(word ORDER BY i) AS words FROM e
+      WHERE word NOT IN (SELECT unnest(l) FROM stop) GROUP BY slug, pos)
+SELECT k.slug, k.pos, coalesce(len(o.words), 0) AS n_words,
+  sha256(coalesce(array_to_string(o.words, ' '), '')) AS words_sha256
+FROM k LEFT JOIN o ON k.pos = o.pos AND k.slug IS NOT DISTINCT FROM o.slug"""
+
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query key."""
@@ -503,4 +532,7 @@ def oracle_sql() -> dict[str, str]:
         "word_freq_chart": WORD_FREQ_CHART,
         "yearly_buckets": YEARLY_BUCKETS,
         "score_labels": SCORE_LABELS,
+        "score_heads": SCORE_HEADS,
+        "period_ratings": PERIOD_RATINGS,
+        "listed_docs": LISTED_DOCS,
     }

@@ -104,6 +104,30 @@ def yearly(reviews: DataFrame, buckets=()) -> DataFrame:
                       round_ratio(F.col("_rs"), F.col("_rn"), 2).alias("avg_rating"))
 
 
+def by_period(reviews: DataFrame, periods: DataFrame) -> DataFrame:
+    """(slug, period, reviews, avg_rating) for the periods of a table.
+
+    ``periods`` is (label string, lo date, hi date), both ends included; periods may
+    overlap, and a review counts in each that holds its date.  Repeated rows count once; periods
+    of one label are united; a null end or lo > hi holds nothing.  Dates that are
+    no ``yyyy-MM-dd`` count nowhere, and a period without reviews has no row.
+
+    Reviews are counted per store and day first; days meet the periods that touch
+    their month in an equi-join, so there is no pair of every day and period, and no
+    review is copied per period.
+    """
+    day = F.try_to_date(F.col("date_abs"), "yyyy-MM-dd")
+    days = (reviews.select("slug", day.alias("day"), "rating").where(F.col("day").isNotNull())
+            .groupBy("slug", "day").agg(F.count("*").alias("n"), F.sum("rating").alias("rs"), F.count("rating").alias("rn"))
+            .withColumn("month", F.trunc("day", "month")))
+    p = periods.select("label", "lo", "hi").where(F.col("lo") <= F.col("hi")).distinct()
+    p = p.withColumn("month", F.explode(F.sequence(F.trunc("lo", "month"), F.trunc("hi", "month"), F.expr("interval 1 month"))))
+    hit = days.join(p, "month").where(F.col("day").between(F.col("lo"), F.col("hi")))
+    hit = hit.select("slug", "label", "day", "n", "rs", "rn").distinct()     # a label may hold a day twice
+    return hit.groupBy("slug", F.col("label").alias("period")).agg(
+        F.sum("n").alias("reviews"), round_ratio(F.sum("rs"), F.sum("rn"), 2).alias("avg_rating"))
+
+
 def first_last_year(yearly_df: DataFrame) -> DataFrame:
     """(slug, first_period, first_avg, last_period, last_avg, change)."""
     agg = yearly_df.groupBy("slug").agg(

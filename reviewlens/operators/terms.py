@@ -52,6 +52,31 @@ def lexical_docs(reviews: DataFrame, cfg: AnalysisConfig = DEFAULT,
         lexical_count(F.col("text"), cfg.lower, **_sets(cfg)).alias("n_words"))
 
 
+def listed_docs(docs: DataFrame, stop: DataFrame, rows_bound: int | None = None) -> DataFrame:
+    """``docs`` (slug, pos, words) without the words of a stop list too long for literals.
+
+    ``stop`` is (word) or (slug, word), where a null slug stands for every store; null and
+    repeated words in it do nothing.  The list is broadcast when ``rows_bound`` proves it
+    small, else both sides are shuffled by word, and AQE splits frequent words.  Words keep
+    their order and repeats; a document of listed words alone stays with none.  (slug, pos)
+    must name one document, null slugs included.  Equal to a stop list of literals.
+    """
+    words = docs.select("slug", "pos", F.posexplode_outer("words").alias("i", "word"))
+    stop = stop.filter(F.col("word").isNotNull())
+    if "slug" not in stop.columns:
+        stop = stop.withColumn("slug", F.lit(None).cast("string"))
+    own = broadcast_if(stop.filter("slug is not null").select("slug", "word").distinct(), rows_bound)
+    all_stores = broadcast_if(stop.filter("slug is null").select("word").distinct(), rows_bound)
+    # listed words are marked, not dropped, so that documents stay
+    one = F.lit(True)
+    words = (words.join(all_stores.withColumn("_all", one), "word", "left")
+             .join(own.withColumn("_own", one), ["slug", "word"], "left"))
+    kept = F.when(F.col("i").isNotNull() & F.col("_all").isNull() & F.col("_own").isNull(), F.struct("i", "word"))
+    out = words.groupBy("slug", "pos").agg(F.array_sort(F.collect_list(kept)).alias("w"))
+    return (out.select("slug", "pos", F.transform("w", lambda x: x["word"]).alias("words"))
+            .withColumn("n_words", F.size("words")))
+
+
 def tagged_docs(tokens: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
     """(slug, pos, words) from a (slug, pos, tokens array<struct<word,tag>>) table."""
     d = tokens.select("slug", "pos",
@@ -127,12 +152,30 @@ def bm25(docs: DataFrame, ns=(1,), k1: float = 1.5, b: float = 0.75,
     return bm25_terms(term_freq(docs, ns), stats_from_docs(docs, ns), k1, b, n_stores, len(tuple(ns)))
 
 
+_WHOLE, _REST = 1 << 20, 1 << 30
+
+
+def exact_parts(x: Column) -> list[Column]:
+    """A non-negative double as two whole numbers, x = (whole + rest / 2**30) / 2**20
+    up to 2**-50; their sums as longs are exact, whatever the order of rows, for
+    8 billion rows of a group."""
+    scaled = x * F.lit(float(_WHOLE))
+    whole = F.floor(scaled)
+    return [whole, F.floor((scaled - whole) * F.lit(float(_REST)))]
+
+
+def from_parts(whole: Column, rest: Column) -> Column:
+    return (whole + rest / F.lit(float(_REST))) / F.lit(float(_WHOLE))
+
+
 def bm25_terms(tf: DataFrame, stats: DataFrame, k1: float = 1.5, b: float = 0.75,
                n_stores: int | None = None, n_levels: int = 3) -> DataFrame:
     """(slug, n, term, df, tf, n_docs, score, first_pos, first_i): corpus BM25 of every term.
 
     score = sum over documents of idf * f * (k1 + 1) / (f + k1 * (1 - b + b * dl / avgdl)).
-    (first_pos, first_i) is the term's first appearance (tie-break).
+    (first_pos, first_i) is the term's first appearance (tie-break).  Documents'
+    shares are summed as whole numbers (``exact_parts``), so equal terms have equal
+    scores however the rows are partitioned.
 
     ``stats`` (``stats_from_docs``: one row per store and n) is broadcast when
     ``n_stores`` proves it small; otherwise it is shuffle-joined.
@@ -144,12 +187,15 @@ def bm25_terms(tf: DataFrame, stats: DataFrame, k1: float = 1.5, b: float = 0.75
     f = F.col("f")
     dl = F.col("dl")
     norm = f * F.lit(k1 + 1.0) / (f + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * dl / F.col("avgdl")))
-    agg = (t.groupBy("slug", "n", "term")
-           .agg(F.count("*").alias("df"), F.sum("f").alias("tf"), F.sum(norm).alias("tfn"),
+    whole, rest = exact_parts(F.col("norm"))
+    agg = (t.withColumn("norm", norm).groupBy("slug", "n", "term")
+           .agg(F.count("*").alias("df"), F.sum("f").alias("tf"),
+                F.sum(whole).alias("whole"), F.sum(rest).alias("rest"),
                 F.max("n_docs").alias("n_docs"), F.min("pos").alias("first_pos"),
                 F.min_by("first_i", "pos").alias("first_i")))
-    score = F.when(F.col("term").isNotNull(), idf(F.col("n_docs"), F.col("df")) * F.col("tfn"))
-    return agg.withColumn("score", score).drop("tfn")
+    score = F.when(F.col("term").isNotNull(), idf(F.col("n_docs"), F.col("df"))
+                   * from_parts(F.col("whole"), F.col("rest")))
+    return agg.withColumn("score", score).drop("whole", "rest")
 
 
 def word_freq(tf: DataFrame) -> DataFrame:
@@ -170,9 +216,8 @@ def top_k(df: DataFrame, k: int, order: list, by=("slug",), rank_col: str = "ran
 
 
 def score_order() -> list:
-    """Score descending (rounded to 9 places: summation order varies), then first appearance."""
-    return [F.round(F.col("score"), 9).desc_nulls_last(), F.col("first_pos").asc(),
-            F.col("first_i").asc()]
+    """Score descending, then first appearance."""
+    return [F.col("score").desc_nulls_last(), F.col("first_pos").asc(), F.col("first_i").asc()]
 
 
 def count_order() -> list:

@@ -65,9 +65,21 @@ def word_starts(text, labels) -> Column:
     return F.coalesce(F.transform(e, lambda x: x["i"]), F.array().cast("array<int>"))
 
 
-def _decoded(text, labels) -> Column:
+def _whole(text: Column, labels: Column, short: str) -> Column:
+    """``labels``, checked to reach the end of the text."""
+    if short == "cut":
+        return labels
+    if short != "error":
+        raise ValueError("short must be 'error' or 'cut'")
+    missing = F.size(labels) < F.length(text) + 2
+    return F.when(F.coalesce(missing, F.lit(False)) & labels.isNotNull() & (F.length(text) > 0), F.raise_error(F.concat(
+        F.lit("labels end before the text: "), F.size(labels).cast("string"), F.lit(" labels for "),
+        F.length(text).cast("string"), F.lit(" characters and two markers")))).otherwise(labels)
+
+
+def _decoded(text, labels, short: str) -> Column:
     t = F.coalesce(_c(text), F.lit(""))
-    lab = _c(labels)
+    lab = _whole(t, _c(labels), short)
     m = _span(t, lab)
     # Fast path: put a separator before each word start and split; linear in
     # the text length.
@@ -84,9 +96,13 @@ def _decoded(text, labels) -> Column:
             .when(F.instr(t, _SEP) > 0, slow).otherwise(fast))
 
 
-def decode_words(text, labels) -> Column:
-    """Words of ``text`` from per-character segmentation labels (in order)."""
-    return _decoded(text, labels)
+def decode_words(text, labels, short: str = "cut") -> Column:
+    """Words of ``text`` from per-character segmentation labels (in order).
+
+    ``short`` says what becomes of a text whose labels end before it does:
+    "cut" leaves out the characters beyond them, "error" stops the query.
+    """
+    return _decoded(text, labels, short)
 
 
 def _id2label_map(id2label: dict) -> Column:
@@ -103,10 +119,13 @@ def _tag_at(tag_labels: Column, idx: Column, mapping: Column) -> Column:
             .otherwise(F.lit(UNKNOWN_TAG))
 
 
-def segment(text, ws_labels, tag_labels, id2label: dict) -> Column:
-    """``array<struct<word,tag>>`` from segmentation and tagging labels of one text."""
+def segment(text, ws_labels, tag_labels, id2label: dict, short: str = "cut") -> Column:
+    """``array<struct<word,tag>>`` from segmentation and tagging labels of one text.
+
+    ``short`` as in ``decode_words``; a word beyond the tagging labels has the unknown tag.
+    """
     t = F.coalesce(_c(text), F.lit(""))
-    words = _decoded(t, _c(ws_labels))
+    words = _decoded(t, _c(ws_labels), short)
     mapping = _id2label_map(id2label)
     e = _start_entries(t, _c(ws_labels), _c(tag_labels))
     tags = F.transform(e, lambda x: F.coalesce(F.try_element_at(mapping, x["g"]), F.lit(UNKNOWN_TAG)))
@@ -130,9 +149,13 @@ def tag_words(words, tag_labels, id2label: dict) -> Column:
 
 
 def tokens_table(df: DataFrame, id2label: dict, text: str = "text", ws: str = "ws",
-                 tag: str = "tag") -> DataFrame:
-    """(slug, pos, tokens) from a labelled table (slug, pos, text, ws, tag)."""
-    return df.select("slug", "pos", segment(F.col(text), F.col(ws), F.col(tag), id2label).alias("tokens"))
+                 tag: str = "tag", short: str = "error") -> DataFrame:
+    """(slug, pos, tokens) from a labelled table (slug, pos, text, ws, tag).
+
+    No text is lost unseen: labels that end before their text are an error,
+    unless ``short="cut"`` asks for the labelled part.
+    """
+    return df.select("slug", "pos", segment(F.col(text), F.col(ws), F.col(tag), id2label, short).alias("tokens"))
 
 
 def explode_tokens(tokens: DataFrame, col: str = "tokens") -> DataFrame:
@@ -158,26 +181,27 @@ def _windows(n: int, max_len: int) -> list[tuple[int, int, int]]:
     return list(zip(starts, cuts, cuts[1:]))
 
 
-def score_labels(df: DataFrame, loader: Callable[[], Callable[[list[str]], list[list[int]]]],
-                 text: str = "text", out: str = "labels", max_len: int = 510,
-                 batch_size: int = 64) -> DataFrame:
-    """Add per-character model labels for every text, scored on the executors.
+def score_heads(df: DataFrame, loader: Callable[[], Callable[[list[str]], dict[str, list[list[int]]]]],
+                heads=("ws", "tag"), text: str = "text", max_len: int = 510, batch_size: int = 64) -> DataFrame:
+    """Add one array of per-character labels for each of ``heads``, all from one pass.
 
     ``loader()`` is called once per Python worker and returns a function that
-    maps a batch of strings (each at most ``max_len`` characters) to label
-    lists with a start-marker and end-marker prediction around the character
-    predictions.  Long texts are scored in windows that overlap by half, and a
-    character takes its label from the window in which it stands furthest from
-    an edge, so no word is cut where a window ends; ``max_len`` must be 3 or
-    more.  The result is one array of len(text) + 2 labels.
+    maps a batch of strings (each at most ``max_len`` characters) to a label list
+    per string for every head, with a start-marker and end-marker prediction
+    around the character predictions.  Long texts are scored in windows that
+    overlap by half, and a character takes its label from the window in which it
+    stands furthest from an edge, so no word is cut where a window ends;
+    ``max_len`` must be 3 or more.  Windows of similar length go into one batch,
+    so that a model pads little.  The results are arrays of len(text) + 2 labels.
     Rows travel to Python as Arrow batches (iterator pandas UDF).
     """
     if max_len < 3:
         raise ValueError("max_len must be at least 3")
     ship_package(df.sparkSession)
+    heads = list(heads)
 
-    @F.pandas_udf(TY.ArrayType(TY.IntegerType()))
-    def _score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(TY.StructType([TY.StructField(h, TY.ArrayType(TY.IntegerType())) for h in heads]))
+    def _score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = loader()
         for s in batches:
             texts = ["" if t is None else str(t) for t in s]
@@ -186,20 +210,39 @@ def score_labels(df: DataFrame, loader: Callable[[], Callable[[list[str]], list[
                 for start, lo, hi in _windows(len(t), max_len):
                     pieces.append(t[start:start + max_len])
                     owner.append((row, lo - start, hi - start))
-            preds: list[list[int]] = []
-            for i in range(0, len(pieces), batch_size):
-                preds.extend(model(pieces[i:i + batch_size]))
-            merged: list[list[int]] = [[] for _ in texts]
-            first: list[int | None] = [None] * len(texts)
-            last: list[int | None] = [None] * len(texts)
-            for (row, lo, hi), p in zip(owner, preds):
-                if first[row] is None:
-                    first[row] = p[0]
-                merged[row].extend(p[1 + lo:1 + hi])
-                last[row] = p[-1]
-            yield pd.Series([[first[r]] + merged[r] + [last[r]] for r in range(len(texts))])
-
-    return df.withColumn(out, _score(F.col(text)))
+            order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
+            preds: dict[str, list] = {h: [None] * len(pieces) for h in heads}
+            for i in range(0, len(order), batch_size):
+                part = order[i:i + batch_size]
+                got = model([pieces[j] for j in part])
+                for h in heads:
+                    for j, p in zip(part, got[h], strict=True):
+                        preds[h][j] = p
+            out = {}
+            for h in heads:
+                merged: list[list[int]] = [[] for _ in texts]
+                last: list[int] = [0] * len(texts)
+                for (row, lo, hi), p in zip(owner, preds[h]):
+                    if not merged[row]:
+                        merged[row].append(p[0])
+                    merged[row].extend(p[1 + lo:1 + hi])
+                    last[row] = p[-1]
+                out[h] = [m + [e] for m, e in zip(merged, last)]
+            yield pd.DataFrame(out, columns=heads)
+
+    scored = _score(F.col(text))
+    return df.withColumns({h: scored[h] for h in heads})
+
+
+def score_labels(df: DataFrame, loader: Callable[[], Callable[[list[str]], list[list[int]]]],
+                 text: str = "text", out: str = "labels", max_len: int = 510,
+                 batch_size: int = 64) -> DataFrame:
+    """``score_heads`` for a model with one head: adds its labels as ``out``."""
+    def one_head():
+        model = loader()
+        return lambda batch: {out: model(batch)}
+
+    return score_heads(df, one_head, (out,), text, max_len, batch_size)
 
 
 def script_run_loader() -> Callable[[list[str]], list[list[int]]]:
@@ -231,3 +274,21 @@ def script_run_loader() -> Callable[[list[str]], list[list[int]]]:
         return out
 
     return model
+
+
+# tags of the character classes that the model-free labellers tell apart
+CLASS_TAGS = {1: "letter", 2: "digit", 3: "space", 4: "other"}
+
+
+def script_run_heads() -> Callable[[list[str]], dict[str, list[list[int]]]]:
+    """A model-free labeller with two heads: word starts as ``script_run_loader``
+    gives them, and the class of every character (``CLASS_TAGS``)."""
+    starts = script_run_loader()
+
+    def cls(ch: str) -> int:
+        return 1 if ch.isalpha() else 2 if ch.isdigit() else 3 if ch.isspace() else 4
+
+    def model(batch: list[str]) -> dict[str, list[list[int]]]:
+        return {"ws": starts(batch), "tag": [[0, *map(cls, t), 0] for t in batch]}
+
+    return model

@@ -209,6 +209,17 @@ def yearly_buckets(spark, sf):
     return X.yearly(_cleaned(spark, sf), YEAR_BUCKETS)
 
 
+def period_ratings(spark, sf):
+    """Volume and average rating per overlapping period: every three years in a row that
+    start with a year of the reviews, from its 1st of July."""
+    rv = _cleaned(spark, sf)
+    year = TX.has_text(F.col("date_abs"))
+    y = rv.where(year).select(F.left("date_abs", F.lit(4)).try_cast("int").alias("y")).where("y is not null").distinct()
+    periods = y.select(F.concat(F.col("y").cast("string"), F.lit("-"), (F.col("y") + 3).cast("string")).alias("label"),
+                       F.make_date("y", F.lit(7), F.lit(1)).alias("lo"), F.make_date(F.col("y") + 3, F.lit(6), F.lit(30)).alias("hi"))
+    return X.by_period(rv, periods)
+
+
 def first_last_year(spark, sf):
     """First vs latest year average per store."""
     return X.first_last_year(X.yearly(_cleaned(spark, sf)))
@@ -260,7 +271,7 @@ def _tokens(spark, sf):
 def decode_words(spark, sf):
     """Words decoded from per-character segmentation labels."""
     l = A.labels_in(spark, sf)
-    x = l.select("slug", "pos", F.posexplode_outer(TK.decode_words(F.col("text"), F.col("ws")))
+    x = l.select("slug", "pos", F.posexplode_outer(TK.decode_words(F.col("text"), F.col("ws"), "error"))
                  .alias("i", "word"))
     return x.where(F.col("i").isNotNull())
 
@@ -276,11 +287,25 @@ def keep_tokens(spark, sf):
     return TK.explode_tokens(t)
 
 
+def listed_docs(spark, sf):
+    """Kept words of every review without a long stop list: all words of the benchmark's texts."""
+    words = A.table(spark, sf, "benchmark").select(F.explode(TX.tokenize(F.col("text"))).alias("word"))
+    stop = cut_lineage(words.distinct())                          # counted and joined
+    d = T.listed_docs(_docs(spark, sf), stop, stop.count())
+    return d.select("slug", "pos", "n_words", F.sha2(F.array_join("words", " "), 256).alias("words_sha256"))
+
+
+def score_heads(spark, sf):
+    """Words and tags from labels of two heads, scored in one pass by the model-free stand-in."""
+    scored = TK.score_heads(A.reviews(spark, sf).select("slug", "pos", "text"), TK.script_run_heads)
+    return TK.explode_tokens(TK.tokens_table(scored, TK.CLASS_TAGS))
+
+
 def score_labels(spark, sf):
     """Words from labels that the scoring hook gives every review text, with the
     model-free stand-in as its model."""
     scored = TK.score_labels(A.reviews(spark, sf).select("slug", "pos", "text"), TK.script_run_loader)
-    x = scored.select("slug", "pos", F.posexplode_outer(TK.decode_words(F.col("text"), F.col("labels")))
+    x = scored.select("slug", "pos", F.posexplode_outer(TK.decode_words(F.col("text"), F.col("labels"), "error"))
                       .alias("i", "word"))
     return x.where(F.col("i").isNotNull())
 
@@ -347,6 +372,7 @@ QUERIES = {
     "photo_share": photo_share,
     "yearly": yearly,
     "yearly_buckets": yearly_buckets,
+    "period_ratings": period_ratings,
     "first_last_year": first_last_year,
     "keyword_counts": keyword_counts,
     "neg_ratio": neg_ratio,
@@ -358,6 +384,8 @@ QUERIES = {
     "tag_words": tag_words,
     "keep_tokens": keep_tokens,
     "score_labels": score_labels,
+    "score_heads": score_heads,
+    "listed_docs": listed_docs,
     "bm25_tagged": bm25_tagged,
     "list_stores": list_stores,
     "page_cards": page_cards,
