@@ -66,10 +66,10 @@ class Model:
         return (x @ marks / norm) @ self.weight
 
 
-def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Landmarks are spread evenly over the languages, first come first."""
+def fit(x: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """``x``: the presence bits of every text.  Landmarks are spread evenly over the
+    languages, first come first."""
     names = sorted(set(langs))
-    x = np.stack([presence(t.lower()) for t in texts])
     each = max(2, landmarks // len(names))
     pick = [i for n in names for i in [j for j, g in enumerate(langs) if g == n][:each]]
     xf = x.astype(np.float32)
@@ -86,28 +86,48 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
     return Model(x[pick], (root @ w).astype(np.float32), names)
 
 
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, lang, r, bits): the presence bits of every text, packed."""
+    for batch in batches:
+        for a, b in slices(batch.column(3), 4 << 20):
+            texts = pc.utf8_lower(batch.column(3).slice(a, b - a)).to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i).slice(a, b - a) for i in range(3)),
+                 pa.array([np.packbits(presence(t)).tobytes() for t in texts], pa.binary())],
+                names=["doc_id", "lang", "r", "bits"])
+
+
 def train(docs: DataFrame, use: Column, per_lang: int = PER_LANG, sample: int = SAMPLE) -> Model | None:
     """The model learnt from texts with a language for which ``use`` holds;
-    None when there are none."""
+    None when there are none.
+
+    A doc_id counts once a language, however many rows repeat it (with different texts,
+    one of them).  Texts become ``DIM`` bits where they lie; the fit gets at most
+    ``sample`` rows of bits.
+    """
     import pandas as pd
     ship_package(docs.sparkSession)
     by = Window.partitionBy("lang").orderBy("h", "doc_id")
     split = Window.partitionBy("lang", "piece").orderBy("h", "doc_id")
-    rows = (docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).filter(use)
+    known = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()).filter(use)
+    rows = (known.select("doc_id", "lang").distinct()
             .select("doc_id", "lang", F.xxhash64("doc_id").alias("h"),
                     F.floor(F.spark_partition_id() / PIECE).alias("piece")))
-    # the first rows of a language are among the first rows of its pieces, however these are cut
+    # the first rows of a language are among the first rows of its pieces, however these are cut; every
+    # task keeps ``per_lang`` rows of a language before they move, so a piece is at most PIECE x per_lang rows
     rows = rows.withColumn("r", F.row_number().over(split)).filter(F.col("r") <= per_lang)
     chosen = saved(rows.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= per_lang)
-                   .orderBy("r", "lang").limit(sample).select("doc_id", "r").distinct(), "chosen")
-    texts = (docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-             .join(F.broadcast(chosen), "doc_id").select("r", "lang", "text"))   # bounded: ``sample`` rows
+                   .orderBy("r", "lang").limit(sample).select("doc_id", "lang", "r"), "chosen")
+    texts = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])   # bounded: ``sample`` rows
+    few = (texts.select("doc_id", "lang", "r", "text").mapInArrow(_bits, "doc_id long, lang string, r int, bits binary")
+           .groupBy("doc_id", "lang", "r").agg(F.min("bits").alias("bits")))
 
     def learn(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["r", "lang", "text"])
-        return pd.DataFrame({"model": [pickle.dumps(fit(list(part["text"]), list(part["lang"])))]})
+        part = part.sort_values(["r", "lang"])
+        x = np.stack([np.unpackbits(np.frombuffer(b, np.uint8)) for b in part["bits"]]).astype(bool)
+        return pd.DataFrame({"model": [pickle.dumps(fit(x, list(part["lang"])))]})
 
-    got = texts.groupBy(F.lit(0).alias("all")).applyInPandas(learn, "model binary").collect()
+    got = few.groupBy(F.lit(0).alias("all")).applyInPandas(learn, "model binary").collect()
     return pickle.loads(got[0].model) if got else None           # bounded: LANDMARKS x DIM bits
 
 

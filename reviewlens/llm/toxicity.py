@@ -35,14 +35,14 @@ _FILTER_BITS = 22
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, toxic, terms): the distinct word hashes of every text."""
+    """(doc_id, toxic, terms): the distinct word hashes of every text."""
     for batch in batches:
-        for a, b in slices(batch.column(1), 1 << 20):
-            h, row, _ = distinct(*words(batch.column(1).slice(a, b - a)))
+        for a, b in slices(batch.column(2), 1 << 20):
+            h, row, _ = distinct(*words(batch.column(2).slice(a, b - a)))
             off = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b - a))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a),
-                 pa.ListArray.from_arrays(pa.array(off), pa.array(h.astype(np.int64)))], names=["toxic", "terms"])
+                [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a),
+                 pa.ListArray.from_arrays(pa.array(off), pa.array(h.astype(np.int64)))], names=["doc_id", "toxic", "terms"])
     tidy()
 
 
@@ -129,9 +129,10 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, sample: int = SAMPLE,
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     chosen = saved(chosen, "labels")
     texts = (docs.select("doc_id", "text").filter("text is not null")
-             .join(F.broadcast(chosen), "doc_id").select("toxic", "text"))    # bounded: ``sample`` rows
-    seen = saved(texts.mapInArrow(_terms, "toxic int, terms array<long>")
-                 .select(F.monotonically_increasing_id().alias("row"), "toxic", "terms"), "terms")
+             .join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text"))    # bounded: ``sample`` rows
+    # rows that repeat a doc_id count once (with different texts, one of them), so the fit stays bounded
+    seen = saved(texts.mapInArrow(_terms, "doc_id long, toxic int, terms array<long>")
+                 .groupBy(F.col("doc_id").alias("row")).agg(F.max("toxic").alias("toxic"), F.min("terms").alias("terms")), "terms")
     n, pos = seen.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     if not n or not pos or pos == n:
         return None

@@ -1,7 +1,7 @@
 """Document fingerprints by winnowing.
 
 A text's tokens (runs of non-space characters, cut after 16;
-ideographs one by one) are hashed, k consecutive tokens give one rolling
+ideographs, kana and Thai, Lao, Burmese and Khmer characters one by one) are hashed, k consecutive tokens give one rolling
 polynomial hash, and the minimum of every window of w hashes is kept with its
 position, the rightmost where hashes tie.  Any run of w + k - 1 tokens that two
 texts share leaves a common hash in both fingerprints.
@@ -21,7 +21,9 @@ from reviewlens.llm.common import saved, text_or_empty
 
 K = 4                       # both are powers of two: sums and minima double their reach
 W = 8
-TOKEN = r"[\p{IsIdeographic}]|[^\s\p{IsIdeographic}]{1,16}"
+# scripts written without spaces: each character is a token, so an inserted one shifts nothing
+ALONE = r"\p{IsIdeographic}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsMyanmar}\p{IsKhmer}"
+TOKEN = rf"[{ALONE}]|[^\s{ALONE}]{{1,16}}"
 _P = (1 << 31) - 1          # mask of the rolling hash (polynomial modulo 2**31)
 _C = 1_000_003              # its base
 _ALL = 1 << 30              # more elements than an array holds
