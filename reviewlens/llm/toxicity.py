@@ -2,9 +2,11 @@
 
 A text is the set of its words' 64-bit hashes.  The machine has a weight and a
 factor vector for each of at most ``TERMS`` terms: those that tell the labels
-apart beyond chance and the ``CONTEXT`` most frequent ones.  The product of two
-factor vectors is the weight of the pair, so two words can count together more
-or less than they do alone.
+apart beyond chance, the ``CONTEXT`` most frequent ones, and those that tell
+them apart among the texts that hold a word of the first kind, such as mentions
+of a group, which are neutral alone.  The product of two factor vectors is the
+weight of the pair, so two words can count together more or less than they do
+alone.
 
 It is fitted on a bounded sample of labelled rows (``SAMPLE``, the smallest
 hashes of doc_id); every text is scored, whole.
@@ -27,6 +29,7 @@ TERMS = 4_096
 CONTEXT = 32
 LEAST_DOCS = 3
 LEAST_Z2 = 20.0             # squared z of a term's positives: 3 of 3 toxic passes up to a share of 13 %
+PAIR_Z2 = 4.0               # squared z, two standard deviations, of a term's positives beside a telling toxic one
 FACTORS = 8
 EPOCHS = 12
 STEPS = 1_500               # at least, so that a small sample is learnt as far as a large one
@@ -113,6 +116,22 @@ def fit(rows: list[np.ndarray], y: np.ndarray, terms: int, factors: int = FACTOR
     return w0, w, v
 
 
+def _partners(flat: DataFrame, telling: DataFrame, found: set[int], terms: int) -> set[int]:
+    """Terms of ``flat`` (row, toxic, term) that raise the share of toxic rows among
+    those that hold one of ``telling``; as many as fit beside ``found``."""
+    company = saved(flat.join(F.broadcast(telling), "term", "left_semi").select("row", "toxic").distinct(), "company")
+    n, pos = company.agg(F.count(F.lit(1)), F.sum("toxic")).first()
+    if not n or pos in (0, n) or len(found) >= terms:
+        return set()
+    share = pos / n
+    z2 = F.pow(F.col("p") - F.col("d") * share, 2) / (F.col("d") * share * (1 - share))
+    best = (flat.join(company.select("row"), "row", "left_semi")
+            .groupBy("term").agg(F.count(F.lit(1)).alias("d"), F.sum("toxic").cast("double").alias("p"))
+            .filter((F.col("d") >= LEAST_DOCS) & (F.col("p") > F.col("d") * share) & (z2 >= PAIR_Z2))
+            .orderBy(z2.desc(), "term").limit(terms).select("term").collect())  # bounded: ``terms``
+    return set([r.term for r in best if r.term not in found][:terms - len(found)])
+
+
 def train(docs: DataFrame, labels: DataFrame, use: Column, sample: int = SAMPLE, terms: int = TERMS) -> Machine | None:
     """The machine learnt from labelled rows for which ``use`` holds; None when
     there are none or only one class.
@@ -143,7 +162,10 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, sample: int = SAMPLE,
                    .filter(F.col("d") >= LEAST_DOCS), "counts")
     telling = counts.filter(z2 >= LEAST_Z2).orderBy(z2.desc(), "term").limit(terms - CONTEXT).select("term")
     common = counts.orderBy(F.col("d").desc(), "term").limit(CONTEXT).select("term")
-    keys = np.array(sorted({r.term for r in telling.union(common).collect()}), np.int64)   # bounded: ``terms``
+    found = {r.term for r in telling.union(common).collect()}                   # bounded: ``terms``
+    found |= _partners(flat, telling.join(counts.filter(F.col("p") > F.col("d") * share), "term").select("term"),
+                       found, terms)
+    keys = np.array(sorted(found), np.int64)
     if not len(keys):
         return None
     table = spark.createDataFrame([(int(k), i) for i, k in enumerate(keys)], "term long, no long")

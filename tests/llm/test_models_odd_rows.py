@@ -28,6 +28,23 @@ def test_score_is_the_machine_formula():
         assert abs(score - 1 / (1 + np.exp(-z))) < 1e-9
 
 
+def test_pairs_of_neutral_words_are_learnt(spark):
+    """Toxic is the insult beside one of 50 group words only; neither group words nor other words tell anything alone."""
+    rng = random.Random(1)
+    rows = []
+    for i in range(4000):
+        insult, group = rng.random() < 0.2, rng.random() < 0.5
+        held = [f"w{rng.randrange(500)}" for _ in range(30)] + ["insult"] * insult + [f"group{rng.randrange(50)}"] * group
+        rng.shuffle(held)
+        rows.append((i, " ".join(held), int(insult and group), insult))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int, insult boolean")
+    got = toxicity.op9(spark, df.select("doc_id", "text"), df.select("doc_id", "toxic")).filter("held_out").collect()
+    toxic = [r.predicted for r in got if rows[r.doc_id][2]]
+    alone = [r.predicted for r in got if rows[r.doc_id][3] and not rows[r.doc_id][2]]
+    other = [r.predicted for r in got if not rows[r.doc_id][3]]
+    assert np.mean(toxic) > 0.75 and np.mean(alone) < 0.25 and np.mean(other) < 0.01
+
+
 def test_kernel_ridge_is_the_direct_solution():
     """With every text a landmark, Nystroem is exact: the scores are those of weighted kernel ridge regression."""
     rng = random.Random(2)
