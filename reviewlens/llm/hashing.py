@@ -24,9 +24,9 @@ _R = np.uint64(0x9E3779B97F4A7C15)                   # odd, so it has an inverse
 _RINV = np.uint64(pow(int(_R), -1, 1 << 64))
 _WORD = np.zeros(256, bool)                          # ASCII letters and digits
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
-_ALONE = ((0x0E01, 0x0E4E), (0x0E81, 0x0EDF), (0x1000, 0x109F), (0x1780, 0x17DD), (0x3005, 0x3007), (0x3021, 0x3029),
-          (0x3031, 0x309F), (0x30A1, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF),
-          (0xFF66, 0xFF9F), (0x16FE4, 0x18DFF), (0x1AFF0, 0x1B2FF), (0x20000, 0x3FFFD))
+UNSPACED = ((0x0E01, 0x0E4E), (0x0E81, 0x0EDF), (0x1000, 0x109F), (0x1780, 0x17DD), (0x3005, 0x3007), (0x3021, 0x3029),
+            (0x3031, 0x309F), (0x30A1, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF),
+            (0xFF66, 0xFF9F), (0x16FE4, 0x18DFF), (0x1AFF0, 0x1B2FF), (0x20000, 0x3FFFD))
 _CHUNK = 1 << 18                                     # bytes hashed, or shingles made, at once
 
 
@@ -34,7 +34,7 @@ _CHUNK = 1 << 18                                     # bytes hashed, or shingles
 def _classes() -> np.ndarray:
     """Of every code point: 1 part of a word, 2 a word of its own, else 0."""
     out = np.array([unicodedata.category(chr(c))[0] in "LNM" for c in range(0x110000)], np.uint8)
-    for a, b in _ALONE:
+    for a, b in UNSPACED:
         out[a:b + 1] *= 2
     return out
 
