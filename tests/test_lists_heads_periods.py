@@ -136,3 +136,19 @@ def test_scores_do_not_depend_on_partitioning(spark):
         fs = [(w.count(term), len(w)) for *_, w in rows if term in w]
         idf = math.log((len(rows) - len(fs) + 0.5) / (len(fs) + 0.5) + 1)
         assert math.isclose(score, math.fsum(idf * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * n / avg)) for f, n in fs), rel_tol=1e-12)
+
+
+def test_a_batch_is_labelled_in_chunks(spark):
+    """A batch of many texts is given back in pieces of bounded size, whole and in order."""
+    def loader():
+        def model(batch):
+            # the pieces of one call are those of a chunk, never those of the whole batch
+            assert sum(map(len, batch)) <= 3 * TK.CHUNK_CHARS // 2, "a whole batch at once"
+            return {"ws": [[len(batch[0]) and 7, *map(ord, t), 9] for t in batch]}
+        return model
+
+    n = 60
+    df = spark.range(n).coalesce(1).selectExpr("id", "repeat(chr(int(65 + id % 26)), int(20000 + id)) AS text")
+    rows = TK.score_heads(df, loader, ("ws",), max_len=1 << 20, batch_size=n).select(
+        "id", F.size("ws").alias("n"), F.array_distinct("ws").alias("d")).collect()
+    assert {r.id: (r.n, r.d) for r in rows} == {i: (20002 + i, [7, 65 + i % 26, 9]) for i in range(n)}
