@@ -103,3 +103,47 @@ def test_lexical_pattern_equals_tokenize_and_keep(spark):
                          RF.lexical_count("t", **sets).alias("c")).collect()
         for r in rows:
             assert r.a == r.b and r.c == len(r.b), (sets, r)
+
+
+def test_decoding_equals_plain_python(spark, monkeypatch):
+    """Words and tags of whole batches against one character at a time; null, short and long labels."""
+    import random
+    rnd = random.Random(11)
+    rows = [("ab", None, [0, 1, 1, 0]), (None, [9, 9], [9, 9]), ("ab", [9, 0, 0, 9], None), ("", None, None), ("é", [], [])]
+    for _ in range(300):
+        t = "".join(rnd.choice(["a", "é", "好", "😀", "￿", " ", "\n"]) for _ in range(rnd.randint(0, 30)))
+        ws = [rnd.choice([0, 1, 2, None]) for _ in range(max(0, len(t) + rnd.choice([2, 2, 2, 0, -3, 5])))]
+        tag = [rnd.choice([0, 1, 7, -1, None]) for _ in range(max(0, len(t) + rnd.choice([2, 2, 1, 4])))]
+        rows.append((t, ws, tag))
+    names = {0: "Na", 1: "VC", -1: "Q"}
+
+    def plain(t, ws, tag):
+        if ws is None:
+            return None if t else []
+        t = t or ""
+        m = max(0, min(len(t), len(ws) - 2))
+        starts = [i for i in range(m) if i == 0 or ws[i + 1] == 0]
+        words = [t[a:b] for a, b in zip(starts, [*starts[1:], m])]
+        if tag is None:
+            return [(w, None) for w in words]
+        return [(w, names.get(tag[i + 1], "X") if i < len(tag) - 2 and tag[i + 1] is not None else "X")
+                for w, i in zip(words, starts)]
+
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, text string, ws array<int>, tag array<int>")
+    for size in (1 << 20, 40):
+        monkeypatch.setattr(TK, "DECODE_BYTES", size)
+        got = df.coalesce(2).select("i", TK.decode_words("text", "ws").alias("w"), TK.word_starts("text", "ws").alias("s"),
+                                    TK.segment("text", "ws", "tag", names).alias("t")).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            want = plain(*rows[r.i])
+            assert (None if r.t is None else [tuple(x) for x in r.t]) == want, rows[r.i]
+            assert r.w == (None if want is None else [w for w, _ in want])
+            assert len(r.s) == len(want or [])
+
+
+def test_label_decoding_runs_no_lambda_per_character(spark):
+    df = spark.createDataFrame([("s", 1, "ab", [9, 0, 1, 9], [9, 1, 1, 9])],
+                               "slug string, pos long, text string, ws array<int>, tag array<int>")
+    plan = TK.tokens_table(df, {1: "VC"})._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and plan.count("ArrowEvalPython") == 1
