@@ -76,3 +76,17 @@ def test_a_store_without_a_name_is_only_counted(spark):
     got = {r.slug: r for r in AN.summary(reviews_df(spark, rows)).collect()}
     assert got["a"].total == 4 and got["few"].total is None and got["few"].error == "too few texts"
     assert got[None].with_text == 4 and got[None].total is None
+
+
+def test_the_text_of_a_task_does_not_grow_with_the_table(spark, monkeypatch):
+    from conftest import reviews_df
+    monkeypatch.setattr(T, "TASK_TEXT_BYTES", 1000)
+    cores = spark.sparkContext.defaultParallelism
+    for n in (20 * cores, 80 * cores):
+        rv = reviews_df(spark, [dict(slug="ab"[k % 2], pos=k, text="alpha beta " * 9, text_translated="é" * 10) for k in range(n)])
+        assert T.text_bytes(rv) == 99 * n
+        tf = T.term_freq(T.lexical_docs(rv), (1, 2))
+        plan = _plan(tf)
+        assert f", {max(cores, -(-99 * n // 1000))})" in plan and "REPARTITION_BY_NUM" in plan
+        assert tf.count() == 4 * n
+    assert T.text_bytes(rv.limit(0)) == 0 and T.lexical_docs(rv.limit(0)).count() == 0
