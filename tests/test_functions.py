@@ -147,3 +147,10 @@ def test_label_decoding_runs_no_lambda_per_character(spark):
                                "slug string, pos long, text string, ws array<int>, tag array<int>")
     plan = TK.tokens_table(df, {1: "VC"})._jdf.queryExecution().executedPlan().toString()
     assert "lambda" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_decoding_ships_the_package(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(TK, "ship_package", seen.append)
+    TK.decode_words("text", "ws"), TK.segment("text", "ws", "tag", {}), TK.word_starts("text", "ws")
+    assert len(seen) == 3
