@@ -3,6 +3,7 @@ import datetime as dt
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from reviewlens.functions import text as TX
 from reviewlens.operators import compare as X
 from reviewlens.operators import terms as T
 from reviewlens.operators import tokens as TK
+from reviewlens.plans.queries import QUERIES
 
 
 @pytest.mark.parametrize("bound", [None, 100])
@@ -152,3 +154,38 @@ def test_a_batch_is_labelled_in_chunks(spark):
     rows = TK.score_heads(df, loader, ("ws",), max_len=1 << 20, batch_size=n).select(
         "id", F.size("ws").alias("n"), F.array_distinct("ws").alias("d")).collect()
     assert {r.id: (r.n, r.d) for r in rows} == {i: (20002 + i, [7, 65 + i % 26, 9]) for i in range(n)}
+
+
+def test_decoding_gives_a_batch_back_in_pieces():
+    """Words of a batch leave the worker piece by piece, not as one array of the whole batch."""
+    texts = pa.array(["ab " * 100_000, None, "", "é" * 300_000, "x" * (TK.DECODE_BYTES + 5), "y"])
+    labels = pa.array([[1] * (len(t.as_py() or "") + 2) for t in texts], pa.list_(pa.int32()))
+    seen = []
+
+    def decode(t, lab):
+        seen.append((t.to_pylist(), [len(x) for x in lab]))
+        return t
+
+    got = TK._pieces(decode, iter([(texts, labels), (texts.slice(0, 0), labels.slice(0, 0)), (texts[-1:], labels[-1:])]))
+    assert iter(got) is got and not seen                             # nothing is decoded before it is asked for
+    pieces = [x.to_pylist() for x in got]
+    assert len(pieces) >= 4 and sum(pieces, []) == [*texts.to_pylist(), "y"]
+    assert all(len(p) == 1 or sum(len((t or "").encode()) for t in p) <= TK.DECODE_BYTES for p in pieces)
+    assert [n for _, ns in seen for n in ns] == [len(t or "") + 2 for t in sum(pieces, [])]
+
+
+def test_scoring_queries_deal_texts_to_bounded_tasks(spark, tmp_path):
+    """A task's text, and so its labels in Arrow, doesn't grow with the table; words stay whole."""
+    n, size = 80, 1 << 20
+    spark.range(n).coalesce(1).selectExpr(
+        "nullif(id, 7) AS doc_id", f"CASE WHEN id % 40 = 3 THEN NULL WHEN id = 5 THEN '' ELSE concat(id, repeat(' ', {size})) END AS text",
+        "'en' AS lang", "'s' AS source", f"cast({size} AS bigint) AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    for name in ("score_heads",):
+        df = QUERIES[name](spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() >= max(cores, (n - 3) * size // T.TASK_TEXT_BYTES)
+        rows = df.where("pos >= 0 OR pos IS NULL").select("pos", "i", F.substring("word", 1, 9).alias("w"), F.length("word").alias("n")).collect()
+        want = {(None if k == 7 else k, i, *w) for k in range(n) if k % 40 != 3 and k != 5
+                for i, w in enumerate([(str(k), len(str(k))), (" " * 9, size)])}
+        assert {tuple(r) for r in rows} == want and len(rows) == len(want)
