@@ -182,7 +182,7 @@ def test_scoring_queries_deal_texts_to_bounded_tasks(spark, tmp_path):
         "'en' AS lang", "'s' AS source", f"cast({size} AS bigint) AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     cores = spark.sparkContext.defaultParallelism
-    for name in ("score_heads",):
+    for name in ("score_heads", "score_labels"):
         df = QUERIES[name](spark, str(tmp_path))
         assert df.rdd.getNumPartitions() >= max(cores, (n - 3) * size // T.TASK_TEXT_BYTES)
         rows = df.where("pos >= 0 OR pos IS NULL").select("pos", "i", F.substring("word", 1, 9).alias("w"), F.length("word").alias("n")).collect()
