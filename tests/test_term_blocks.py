@@ -70,7 +70,7 @@ def test_terms_leave_a_task_packed(spark):
     assert sum(r["tf"] for r in merged) == grams and len({r["term"] for r in merged}) == len(merged)
 
 
-@pytest.mark.parametrize("name", ["bm25_3gram"])
+@pytest.mark.parametrize("name", ["bm25_3gram", "bm25_chart"])
 def test_no_row_a_term_is_shuffled(spark, name):
     import re
 
